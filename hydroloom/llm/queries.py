@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, mixing, quality, simhash
+from . import bpe, chat, exact_dedup, langid, line_dedup, mixing, quality, simhash, toxicity, url_filter
 from .common import table
 
 #: The tokenizer file of the BPE query; its folder's path is a setting.
@@ -21,6 +24,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_url_filters(spark, sf_dir):
+    judged = url_filter.with_verdict(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", *[F.col("url_filter")[c].alias(c) for c in ("host", "path", "rule", "score", "verdict")])
+
+
 def op2_quality_rules(spark, sf_dir):
     judged = quality.with_quality(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", *[F.col("quality_rules")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat", "base_failed", "kept")])
@@ -44,5 +52,111 @@ def op6_mixing(spark, sf_dir):
     return mixing.mix_shares(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op2_quality_rules, op3_line_dedup, op4_bpe, op5_simhash, op6_mixing)}
-ORACLES: dict[str, str] = {}
+def op7_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 3
+    found = langid.with_language(docs, learn=remainder != 1)
+    return found.select("doc_id", F.coalesce(remainder == 1, F.lit(False)).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
+#: A conversation whose texts look like the format itself.
+TRICKY = [(-7, turn, role, r"\### Assistant: </turn> ok") for turn, role in enumerate(("user", "assistant"))]
+
+
+def op8_chat(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.createDataFrame(TRICKY, "conv_id long, turn long, role string, text string")
+    formatted = chat.format_conversations(turns.unionByName(tricky))
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+        for batch in batches:
+            rows = []
+            for conv_id, text, spans in zip(batch["conv_id"], batch["formatted"], batch["loss_spans"], strict=True):
+                back = chat.read_back(text)
+                loss = "".join(chat.unescape(text[s["start"] : s["end"]]) for s in spans)
+                rows.append((conv_id, len(back), sha("".join(f"{role}\n{said}\n" for role, said in back)), len(loss), sha(loss), len(text)))
+            yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
+    return formatted.mapInPandas(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+def op9_exact_dedup(spark, sf_dir):
+    return exact_dedup.with_groups(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learn = F.crc32(F.col("doc_id").cast("string")) % 5 != 0
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), learn)
+    scored = toxicity.with_toxicity(docs, model, "score")
+    return scored.select("doc_id", F.coalesce(~learn, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {q.__name__: q for q in (op1_url_filters, op2_quality_rules, op3_line_dedup, op4_bpe, op5_simhash, op6_mixing, op7_language, op8_chat, op9_exact_dedup, op10_toxicity)}
+
+#: Host and path of a URL, and the longest rule that fits (DuckDB); the model's own verdict has no SQL.
+ORACLES = {
+    "op3_line_dedup": r"""
+        WITH split AS (
+            SELECT doc_id, source, text, pos, string_split(text, chr(10))[pos] AS line
+            FROM (SELECT doc_id, source, text, unnest(generate_series(1, len(string_split(text, chr(10))))) AS pos FROM documents)
+        ), trimmed AS (
+            SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM split
+        ), totals AS (SELECT source, count(*) AS host_pages FROM documents GROUP BY source),
+        bad AS (
+            SELECT source, bare FROM (SELECT DISTINCT doc_id, source, bare FROM trimmed WHERE bare <> '') JOIN totals USING (source)
+            GROUP BY source, bare, host_pages HAVING count(*) >= 5 AND count(*) > 0.08 * host_pages
+        )
+        SELECT t.doc_id, t.source, coalesce(string_agg(t.line, chr(10) ORDER BY t.pos) FILTER (WHERE b.bare IS NULL), '') AS text,
+               count(*) AS n_lines, count(b.bare) AS n_dropped
+        FROM trimmed t LEFT JOIN bad b ON t.source = b.source AND t.bare = b.bare
+        GROUP BY t.doc_id, t.source""",
+    "op6_mixing": r"""
+        WITH sized AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+        ), sources AS (
+            SELECT source, sum(size)::BIGINT AS source_size,
+                   [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight
+            FROM sized GROUP BY source
+        ), levels AS (
+            SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER (need ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                   / sum(weight) OVER (need ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+            FROM sources WINDOW need AS (ORDER BY 2 * source_size / weight::DOUBLE, source NULLS LAST)
+        ), cut AS (
+            SELECT arg_min(level, row(2 * source_size / weight::DOUBLE, source IS NULL, coalesce(source, ''))) AS level FROM levels WHERE 2 * source_size >= weight * level
+        ), targets AS (
+            SELECT l.source, source_size, CASE WHEN 2 * source_size < weight * l.level THEN (2 * source_size)::DOUBLE ELSE weight * c.level END AS target
+            FROM levels l, cut c
+        ), queues AS (
+            SELECT doc_id, s.source, size, source_size, target, copy, md5('42:' || copy || ':' || doc_id) AS mix_key,
+                   sum(size) OVER (PARTITION BY s.source ORDER BY copy, md5('42:' || copy || ':' || doc_id), doc_id ROWS UNBOUNDED PRECEDING) / target AS finish
+            FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source, (VALUES (0), (1)) AS c(copy)
+        ), total AS (
+            SELECT *, sum(size) OVER (ORDER BY finish, source NULLS LAST, copy, mix_key, doc_id ROWS UNBOUNDED PRECEDING) AS until FROM queues
+        )
+        SELECT doc_id, size, source_size, any_value(target) AS target,
+               coalesce(sum(size) FILTER (WHERE until <= (SELECT sum(target) FROM targets)), 0)::BIGINT AS taken
+        FROM total GROUP BY doc_id, size, source_size""",
+    "op8_chat": r"""
+        WITH every AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+            UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               sum(14 + length(role) + length(text) + length(regexp_replace(text, '[^\\#<]', '', 'g')))::BIGINT AS formatted_chars
+        FROM every GROUP BY conv_id""",
+    "op9_exact_dedup": r"""
+        WITH norm AS (
+            SELECT doc_id, length(coalesce(text, '')) AS size, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256,
+                   regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS bare
+            FROM documents
+        ), ranked AS (
+            SELECT *, first_value(doc_id) OVER (PARTITION BY bare ORDER BY size DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY bare) AS group_size FROM norm
+        )
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM ranked""",
+}
