@@ -31,7 +31,7 @@ def op1_url_filters(spark, sf_dir):
 
 def op2_quality_rules(spark, sf_dir):
     judged = quality.with_quality(table(spark, sf_dir, "documents"))
-    return judged.select("doc_id", *[F.col("quality_rules")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat", "base_failed", "kept")])
+    return judged.select("doc_id", *[F.col("quality_rules")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "base_failed", "kept")])
 
 
 def op3_line_dedup(spark, sf_dir):
@@ -95,8 +95,36 @@ def op10_toxicity(spark, sf_dir):
 
 QUERIES = {q.__name__: q for q in (op1_url_filters, op2_quality_rules, op3_line_dedup, op4_bpe, op5_simhash, op6_mixing, op7_language, op8_chat, op9_exact_dedup, op10_toxicity)}
 
-#: Host and path of a URL, and the longest rule that fits (DuckDB); the model's own verdict has no SQL.
+#: DuckDB SQL of the queries; learned scores, XXH64 fingerprints and BPE have none.
 ORACLES = {
+    "op2_quality_rules": r"""
+        WITH split AS (
+            SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), places AS (
+            SELECT doc_id, words, len(words) AS n, unnest(generate_series(1, len(words))) AS pos FROM split
+        ), windows AS (
+            SELECT doc_id, n, pos,
+                   pos + 2 <= n AND count(*) OVER (PARTITION BY doc_id, hash(words[pos:pos + 2])) > 1 AS twice3,
+                   pos + 7 <= n AND count(*) OVER (PARTITION BY doc_id, hash(words[pos:pos + 7])) > 1 AS twice8,
+                   pos + 150 <= n AND count(*) OVER (PARTITION BY doc_id, hash(words[pos:pos + 150])) > 1 AS twice151
+            FROM places
+        ), marked AS (
+            SELECT doc_id, bool_or(twice3) OVER (PARTITION BY doc_id ORDER BY pos ROWS 2 PRECEDING) AS in3,
+                   bool_or(twice8) OVER (PARTITION BY doc_id ORDER BY pos ROWS 7 PRECEDING) AS in8, twice151 FROM windows
+        ), sums AS (
+            SELECT doc_id, count(*) FILTER (WHERE in3) AS n_repeat_words, count(*) FILTER (WHERE in8) AS covered_words, bool_or(twice151) AS long FROM marked GROUP BY doc_id
+        ), lines AS (
+            SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines
+            FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM split) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+        ), base AS (
+            SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+                   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+                   coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(covered_words, 0) AS covered_words, coalesce(long, false) AS long
+            FROM split LEFT JOIN sums USING (doc_id) LEFT JOIN lines USING (doc_id)
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, covered_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+               NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND covered_words <= 0.3 * n_words AND NOT long AS kept
+        FROM base""",
     "op3_line_dedup": r"""
         WITH split AS (
             SELECT doc_id, source, text, pos, string_split(text, chr(10))[pos] AS line
