@@ -218,12 +218,12 @@ def with_tokens(docs: DataFrame, path: str, text: str = "text", ids: str = "toke
 
     done = short.mapInArrow(encode, schema)
     # long texts: leaves dealt out, joined by text
-    key = free_name(base, "long_key")
+    key, of = free_name(base, "long_key"), free_name(base, "long_of")
     long = base.filter(size > leaf)
     keyed = long.withColumn(key, F.sha2(F.col(f"`{text}`"), 256))
     whole = written(keyed.groupBy(key).agg(F.first(F.col(f"`{text}`")).alias("whole")).toDF("key", "whole"), "long-texts")
-    tokens = _long_tokens(whole, path, leaf).toDF("of", ids, decoded)
-    joined = keyed.join(tokens, F.col(key) == F.col("of")).select(*[F.col(f"`{c}`") for c in base.columns], ids, decoded)
+    tokens = _long_tokens(whole, path, leaf).toDF(of, ids, decoded)
+    joined = keyed.join(tokens, F.col(key) == F.col(of)).select(*[F.col(f"`{c}`") for c in base.columns], ids, decoded)
     return done.unionByName(joined)
 
 
