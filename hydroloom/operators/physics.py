@@ -16,7 +16,7 @@ MAGNUS = (6.112, 17.67, 243.5)
 SOLAR_CONSTANT = 118.08 / 1440
 STATION_SLOPE = 2e-4
 #: Rain from (inclusive), to (exclusive), cloud factor; None is open.
-CLOUD_FACTORS = ((None, 0.0, 0.95), (0.0, 1.0, 0.95), (1.0, 3.0, 0.75), (3.0, 5.0, 0.65), (5.0, 10.0, 0.50), (10.0, None, 0.15))
+CLOUD_FACTORS = ((0.0, 1.0, 0.95), (1.0, 3.0, 0.75), (3.0, 5.0, 0.65), (5.0, 10.0, 0.50), (10.0, None, 0.15))
 
 
 def to_celsius(value: Column, units: Column) -> Column:
@@ -67,19 +67,19 @@ def middle_of(end: Column, seconds: float) -> Column:
 
 
 def lookup(value: Column, table: Sequence[tuple[float | None, float | None, float]], other: float | None = 0.0) -> Column:
-    """A LUT of half-open ranges as one CASE: open below means `<= end` is not reached from below, open above `>= start`; NaN and NULL give NULL."""
+    """A LUT as one CASE: ranges hold their start but not their end; a range open below holds its end; NaN and NULL give NULL."""
     out = F.when(nothing(value), F.lit(None).cast("double"))
     for low, high, result in table:
         fits = F.lit(True)
         if low is not None:
             fits = value >= low
         if high is not None:
-            fits = (value < high) if low is not None else (value <= high)
+            fits &= (value < high) if low is not None else (value <= high)
         out = out.when(fits, F.lit(float(result)))
     return out.otherwise(F.lit(other))
 
 
-def cloud_factor(rain: Column, table: Sequence[tuple[float | None, float | None, float]] = CLOUD_FACTORS[1:]) -> Column:
+def cloud_factor(rain: Column, table: Sequence[tuple[float | None, float | None, float]] = CLOUD_FACTORS) -> Column:
     """Share of clear-sky radiation by rain; rain in no range gives 0, NaN and NULL give NULL."""
     return lookup(rain, table)
 
