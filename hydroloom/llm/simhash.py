@@ -116,7 +116,8 @@ def _forest(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame
             part = at[done:until]
             left = np.repeat(part, size[part])
             right = first[left] + np.arange(len(left)) - np.repeat(np.cumsum(size[part]) - size[part], size[part])
-            near = np.bitwise_count(fp[left] ^ fp[right]) <= bits
+            # counted on unsigned numbers: of signed ones numpy counts the absolute value
+            near = np.bitwise_count((fp[left] ^ fp[right]).view(np.uint64)) <= bits
             node, root = _roots(np.concatenate((node, fp[left[near]])), np.concatenate((root, fp[right[near]])))
             done = until
         apart = node != root
