@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear classifier on hashed words is trained in numpy from confirmed toxic texts (P) and
+A linear classifier on hashed words and word beginnings is trained in numpy from confirmed toxic texts (P) and
 unlabelled ones (U).  With class prior p its risk is
 
     p * R+(P) + max(0, R-(U) - p * R-(P)),
@@ -14,8 +14,8 @@ words that tell P from U best are kept.  Scoring is one pass over whole texts, n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -26,10 +26,12 @@ from pyspark.sql import functions as F
 from .common import free_name
 
 MAX_POSITIVE, MAX_UNLABELLED, SIZE, KEPT = 1_500, 6_000, 1 << 18, 256
+#: Lengths of word beginnings in bytes.
+STEMS = (4, 5, 6, 7, 8)
 #: Prior where no label says one; steps, their length, weight penalty, tolerance and pace of the correction.
 PRIOR, STEPS, RATE, PENALTY, BETA, GAMMA = 0.1, 400, 0.1, 2e-4, 0.0, 1.0
-#: Words of one scored batch.
-BATCH_WORDS = 400_000
+#: Words of one scored batch, and words whose columns a task remembers.
+BATCH_WORDS, MEMO = 400_000, 200_000
 
 #: ASCII other than letters and digits separates words; other chars belong to words.
 _SEPARATE = bytes(b if b >= 0x80 or chr(b).isalnum() else 32 for b in range(256))
@@ -39,8 +41,10 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_SEPARATE).lower().split()
 
 
-def place_of(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word) % SIZE
+def places_of(word: bytes) -> list[int]:
+    """Hashed places of a word and of its beginnings, which inflected forms share."""
+    parts = [word, *(b"^" + word[:n] for n in STEMS if len(word) >= n)]
+    return [xxhash.xxh64_intdigest(part) % SIZE for part in parts]
 
 
 @dataclass
@@ -48,6 +52,18 @@ class ToxicModel:
     places: np.ndarray  # ascending
     weights: np.ndarray
     bias: float
+    #: Columns of words seen before, up to MEMO of them.
+    seen: dict[bytes, list[int]] = field(default_factory=dict)
+
+    def columns_of(self, words: Sequence[bytes]) -> list[list[int]]:
+        if len(self.seen) > MEMO:
+            self.seen.clear()
+        if not hasattr(self, "index"):
+            self.index = {p: i for i, p in enumerate(self.places.tolist())}
+        for w in words:
+            if w not in self.seen:
+                self.seen[w] = [self.index[p] for p in places_of(w) if p in self.index]
+        return [self.seen[w] for w in words]
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros(len(texts))
@@ -63,13 +79,19 @@ class ToxicModel:
             flat = np.empty(n, object)
             flat[:] = [w for own in split for w in own]
             code, distinct = pd.factorize(flat)
-            place = np.fromiter(map(place_of, distinct), np.int64, len(distinct))
-            at = np.minimum(np.searchsorted(self.places, place), max(len(self.places) - 1, 0))
-            known = self.places[at] == place if len(self.places) else np.zeros(len(place), bool)
-            hit = known[code] if n else np.zeros(0, bool)
-            text = np.repeat(np.arange(len(split)), list(map(len, split)))[hit]
-            cell = np.unique(text * len(self.places) + at[code[hit]]) if hit.any() else np.empty(0, np.int64)
-            z = self.bias + np.bincount(cell // max(len(self.places), 1), self.weights[cell % max(len(self.places), 1)], minlength=len(split))
+            found = self.columns_of(distinct)
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            columns = np.fromiter((c for own in found for c in own), np.int64, int(sizes.sum()))
+            ends = np.cumsum(sizes)
+            # only words with a known part go on
+            hit = np.flatnonzero(sizes[code]) if n else np.empty(0, np.int64)
+            word = code[hit]
+            many = sizes[word]
+            text = np.repeat(np.repeat(np.arange(len(split)), list(map(len, split)))[hit], many)
+            place = np.repeat(ends[word], many) - np.repeat(np.cumsum(many), many) + np.arange(int(many.sum()))
+            width = max(len(self.places), 1)
+            cell = np.unique(text * width + columns[place])
+            z = self.bias + np.bincount(cell // width, self.weights[cell % width], minlength=len(split))
             out[start : start + len(split)] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             start += len(split)
         return out
@@ -138,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id: str = "doc_id",
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for toxic_id, drawn, text in zip(batch["toxic_id"].notna(), batch["drawn"], batch["text"], strict=True):
-                own = np.unique(np.fromiter(map(place_of, set(words_of(text))), np.int32))
+                own = np.unique(np.fromiter((p for w in set(words_of(text)) for p in places_of(w)), np.int32))
                 yield pd.DataFrame({"toxic": [toxic_id], "drawn": [drawn], "places": [own.tobytes()]})
 
     found = both.select("toxic_id", "drawn", "text").mapInPandas(places, "toxic boolean, drawn boolean, places binary").toPandas()
