@@ -6,7 +6,7 @@ from collections import Counter
 
 import corpus_pipeline
 from hydroloom.llm import bpe, common, queries
-from test_operators import WORDS, brute_components, brute_fingerprint, brute_repeats
+from test_text_operators import WORDS, brute_components, brute_fingerprint, brute_repeats
 
 SF = "/root/testdata/sf0.001"
 
