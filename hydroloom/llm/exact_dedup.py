@@ -50,7 +50,8 @@ def equal_groups(rows: DataFrame) -> DataFrame:
     left = written(rows.select("row", "norm").join(going.select("row"), "row", "left_semi"), "radix-texts")
     start, width = FIRST, FIRST * (GROWTH - 1)
     while True:
-        step = written(_split(digits(left.join(going, "row"), start, width)), "radix")
+        # the digit is cut out before the join, so texts stay where they are
+        step = written(_split(digits(left, start, width).join(going, "row")), "radix")
         done = done.unionByName(step.filter("ended").select("row", "group"))
         going = step.filter("not ended").select("row", "group")
         if going.isEmpty():
@@ -70,7 +71,8 @@ def with_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     met = rows.select("row", "id", "size", "digest").join(groups, "row", "left")
     order = F.struct("size", F.col("id").isNotNull().alias("named"), F.negative("id").alias("low"), F.negative("row").alias("first"))
     best = met.filter("group is not null").groupBy(F.col("group").alias("of")).agg(F.max_by(F.struct("row", "id"), order).alias("best"), F.count("*").alias("n"))
-    out = met.join(best, F.col("group") == F.col("of"), "left")
+    # rows without a group get a number that no group has, each its own, and so are spread
+    out = met.join(best, F.coalesce("group", -F.col("row") - 1) == F.col("of"), "left")
     alone = F.col("of").isNull()
     return out.select(
         F.col("id").alias(id),
