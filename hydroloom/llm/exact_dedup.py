@@ -19,6 +19,8 @@ from .common import SPACE_CLASS, written
 
 #: Bytes of the first digit, and the growth of the next ones.
 FIRST, GROWTH = 64, 4
+#: Row numbers (16 bytes each with their group) up to which they are sent to every executor.
+BROADCAST_ROWS = 4_000_000
 
 
 def normalised(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -41,20 +43,24 @@ def equal_groups(rows: DataFrame) -> DataFrame:
     def digits(of: DataFrame, start: int, width: int) -> DataFrame:
         return of.withColumn("digit", F.substring("norm", start + 1, width)).withColumn("ended", F.length("norm") < start + width).drop("norm")
 
+    def few(numbers: DataFrame, n: int) -> DataFrame:
+        """Counted rows are broadcast if they are few; beyond that both sides of the join are shuffled."""
+        return F.broadcast(numbers) if n <= BROADCAST_ROWS else numbers
+
     first = written(_split(digits(rows.select("row", "norm", F.lit(0).cast("long").alias("group")), 0, FIRST)), "radix")
     done = first.filter("ended").select("row", "group")
     going = first.filter("not ended").select("row", "group")
-    if going.isEmpty():
+    if not (n := going.count()):
         return done
     # only rows that share their first digit are read again
-    left = written(rows.select("row", "norm").join(going.select("row"), "row", "left_semi"), "radix-texts")
+    left = written(rows.select("row", "norm").join(few(going.select("row"), n), "row", "left_semi"), "radix-texts")
     start, width = FIRST, FIRST * (GROWTH - 1)
     while True:
         # the digit is cut out before the join, so texts stay where they are
-        step = written(_split(digits(left, start, width).join(going, "row")), "radix")
+        step = written(_split(digits(left, start, width).join(few(going, n), "row")), "radix")
         done = done.unionByName(step.filter("ended").select("row", "group"))
         going = step.filter("not ended").select("row", "group")
-        if going.isEmpty():
+        if not (n := going.count()):
             return done
         start, width = start + width, (start + width) * (GROWTH - 1)
 
@@ -71,6 +77,8 @@ def with_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     met = rows.select("row", "id", "size", "digest").join(groups, "row", "left")
     order = F.struct("size", F.col("id").isNotNull().alias("named"), F.negative("id").alias("low"), F.negative("row").alias("first"))
     best = met.filter("group is not null").groupBy(F.col("group").alias("of")).agg(F.max_by(F.struct("row", "id"), order).alias("best"), F.count("*").alias("n"))
+    # written, so that the join below reads two plain shuffles, of which Spark splits crowded parts
+    best = written(best, "radix-best")
     # rows without a group get a number that no group has, each its own, and so are spread
     out = met.join(best, F.coalesce("group", -F.col("row") - 1) == F.col("of"), "left")
     alone = F.col("of").isNull()
