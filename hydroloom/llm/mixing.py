@@ -13,7 +13,7 @@ of rows, so a source that holds most rows is spread like the others.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import free_name, word_count, written
