@@ -19,8 +19,8 @@ from .common import SPACE_CLASS, written
 
 #: Bytes of the first digit, and the growth of the next ones.
 FIRST, GROWTH = 64, 4
-#: Row numbers (16 bytes each with their group) up to which they are sent to every executor.
-BROADCAST_ROWS = 4_000_000
+#: Row numbers up to which they are sent to every executor: with their groups about 100 bytes each in a broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def normalised(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -33,7 +33,8 @@ def normalised(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
 def _split(members: DataFrame) -> DataFrame:
     """(row, group, ended) of the rows (row, group, digit, ended) whose digit another row of their group has, under the new group's number."""
     shared = members.groupBy("group", "digit").agg(F.count("*").alias("n"), F.min("row").alias("new")).filter("n > 1")
-    shared = shared.select(F.col("group").alias("g"), F.col("digit").alias("d"), "new")
+    # written, so that the join reads two plain shuffles, of which Spark splits crowded parts
+    shared = written(shared.select(F.col("group").alias("g"), F.col("digit").alias("d"), "new"), "radix-groups")
     return members.join(shared, (F.col("group") == F.col("g")) & (F.col("digit") == F.col("d"))).select("row", F.col("new").alias("group"), "ended")
 
 
