@@ -171,6 +171,18 @@ def merge_time_with_terrain(spark, sf_dir):
     return pipelines.multi_time([(None, g)], adapters.ref(spark, sf_dir))
 
 
+@query(with_views("grid") + "SELECT var, time, row, col, lat, lon, coalesce(value, -9999) AS value FROM grid")
+def merge_time_every_step(spark, sf_dir):
+    """All steps of the grid; merge_time_stack's SQL takes two of them."""
+    return pipelines.multi_time([(None, adapters.grid(spark, sf_dir))])
+
+
+@query(with_views("grid", "ref") + "SELECT var, time, row, col, lat, lon, coalesce(value, -9999) AS value FROM grid UNION ALL SELECT 'terrain', NULL, row, col, lat, lon, ref_value FROM ref")
+def merge_time_every_step_with_terrain(spark, sf_dir):
+    """All steps of the grid and the terrain; merge_time_with_terrain's SQL takes one step."""
+    return pipelines.multi_time([(None, adapters.grid(spark, sf_dir))], adapters.ref(spark, sf_dir))
+
+
 POINTS = ", points AS (SELECT s_suppkey AS point, 46.0::DOUBLE - (s_suppkey * 37 % 200) / 100.0::DOUBLE AS lat, 10.0::DOUBLE + (s_suppkey * 53 % 140) / 100.0::DOUBLE AS lon, s_acctbal AS value FROM supplier)"
 
 
