@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free_name, written
 
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
 #: Rows of an anchor from which it is cut into blocks of as many rows.
@@ -175,6 +175,12 @@ def components(edges: DataFrame) -> DataFrame:
             return edges
 
 
+def _rooted(distinct: DataFrame, bits: int) -> DataFrame:
+    """`distinct`, one row a fingerprint fp, with the smallest fingerprint of its component as root."""
+    roots = components(links(distinct.select("fp"), bits))
+    return distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+
+
 def with_components(docs: DataFrame, id: str = "doc_id", text: str = "text", bits: int = MAX_BITS) -> DataFrame:
     """(id, fingerprint, component_id) for each row of `docs`.
 
@@ -184,19 +190,23 @@ def with_components(docs: DataFrame, id: str = "doc_id", text: str = "text", bit
     """
     rows = written(docs.select(F.col(id).alias("id"), fingerprint(text).alias("fp")), "fingerprints")
     distinct = written(rows.groupBy("fp").agg(F.min("id").alias("low")), "distinct-fingerprints")
-    roots = components(links(distinct.select("fp"), bits))
-    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(distinct, bits)
     lowest = rooted.groupBy(F.col("root").alias("of")).agg(F.min("low").alias("component_id"))
     numbered = written(rooted.join(lowest, F.col("root") == F.col("of")).select(F.col("fp").alias("of"), "component_id"), "components")
     return rows.join(numbered, F.col("fp") == F.col("of")).select(F.col("id").alias(id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", bits: int = MAX_BITS) -> DataFrame:
-    """One row of `docs` for each component: a row with the component's smallest id, columns as they were.
+    """One row of `docs` for each component, columns as they were: the smallest id, nulls last, then the first row.
 
-    Of rows that repeat that id, any one stays; rows whose id is null stay only where a
-    whole component has none, then one of them.
+    Rows are told apart by a written number, not by their id, so components may share an id
+    or have none.
     """
-    found = with_components(docs, id, text, bits).select(F.col(id).alias("__id"), F.col("component_id").alias("__component"))
-    keep = found.filter(F.col("__id").eqNullSafe(F.col("__component"))).select("__id").distinct()
-    return docs.join(keep, F.col(f"`{id}`").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([id])
+    number = free_name(docs, "row_number")
+    # written: the number has to be the same wherever it is read
+    numbered = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    rows = numbered.select(F.col(number).alias("row"), F.col(f"`{id}`").alias("id"), fingerprint(text).alias("fp"))
+    first = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
+    distinct = written(rows.groupBy("fp").agg(F.min(first).alias("low")), "distinct-fingerprints")
+    keep = _rooted(distinct, bits).groupBy("root").agg(F.min("low").alias("low")).select(F.col("low")["row"].alias(number))
+    return numbered.join(keep, number, "left_semi").drop(number)
