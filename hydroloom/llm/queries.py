@@ -39,8 +39,8 @@ def op3_line_dedup(spark, sf_dir):
 
 
 def op4_bpe(spark, sf_dir):
-    tokens = bpe.with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
-    decimal = F.array_join(F.transform("token_ids", lambda i: i.cast("string")), " ")
+    tokens = bpe.with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), carry=False)
+    decimal = F.array_join(F.col("token_ids").cast("array<string>"), " ")
     return tokens.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

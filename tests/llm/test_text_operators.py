@@ -72,6 +72,45 @@ def words():
     return bpe.word_table(queries.tokenizer_path())
 
 
+def edged(words, text, ends):
+    """Leaves that know places near their edges only, as the tasks send them."""
+    parts = [(a, bpe.Part.leaf(words, text[a:b])) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    moved = lambda places, a: tuple(x + a for x in places)
+    return [bpe.Part(a, a + p.end, p.ids, moved(p.first, a), moved(p.last, a), a + p.low, a + p.high) for a, p in parts]
+
+
+@pytest.mark.parametrize("edge", [1, 4, 30])
+def test_leaves_with_places_at_their_edges_only(words, monkeypatch, edge):
+    monkeypatch.setattr(bpe, "EDGE", edge)
+    rng = random.Random(edge)
+    parts = ["a", "the", "ing", "é", "'s", "3", "#", " ", " ", "\n", "\xa0", "<|endoftext|>", "日本", "🙂", "İ", "hello", "x" * 50]
+    special = bpe.specials(words.tokenizer)
+    for _ in range(300):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 120)))
+        leaves = edged(words, text, bpe.cuts(text, rng.choice([6, 20, 60]), special))
+        assert bpe.join_tree(words.tokenizer, text, leaves).ids.tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_texts_without_ascii_are_cut_near_their_middle():
+    text = "x" * 10 + "日本語" * 400
+    ends = bpe.cuts(text, 100)
+    assert ends[-1] == len(text) and max(b - a for a, b in zip([0, *ends], ends)) <= 100
+
+
+@pytest.mark.parametrize("size", [10, 10**6])
+def test_word_table_equals_the_tokenizer(monkeypatch, size):
+    monkeypatch.setattr(bpe, "WORDS", size)
+    table, rng = bpe.WordTable(queries.tokenizer_path()), random.Random(size)
+    parts = ["a", "B", "ing", "é", "É", "ß", "ŉ", "ſ", "İ", "'s", "'", "3", "#", ".", ",", "(", '"', "÷", "×", "ñ", "n\u0303", "\xa0", "\x1c", "\u200b", "<|endoftext|>", "<|", "|>", "日", "🙂", "\u0338", "=", "Σ", "Ω", "ǆ"]
+    for _ in range(400):
+        texts = [" ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(0, 30))) for _ in range(3)]
+        flat, sizes, decoded = table.encode(texts)
+        want = [table.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert flat.tolist() == [i for ids in want for i in ids] and sizes.tolist() == [len(ids) for ids in want]
+        assert decoded == [table.tokenizer.decode(ids, skip_special_tokens=False) for ids in want]
+        assert len(table.new) <= size
+
+
 def test_joined_halves_equal_the_plain_encoding(words):
     rng = random.Random(1)
     parts = ["a", "b", "the", "ing", "é", "é", "ß", "'s", "3", "##", " ", "\n", "\xa0", "<|endoftext|>", "日本", "🙂", "́", "İ", "</w>", "hello"]
@@ -82,6 +121,7 @@ def test_joined_halves_equal_the_plain_encoding(words):
         ends = bpe.cuts(text, rng.choice([3, 10, 40]), special)
         leaves = [bpe.Part.of(words.tokenizer, text, a, b) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
         assert bpe.join_tree(words.tokenizer, text, leaves).ids.tolist() == want
+        assert bpe.join_tree(words.tokenizer, text, edged(words, text, ends)).ids.tolist() == want
         ids, sizes, decoded = words.encode([text, "x y", text])
         assert ids[: sizes[0]].tolist() == want and decoded[2] == words.tokenizer.decode(want, skip_special_tokens=False)
 
