@@ -12,14 +12,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name
 
 #: n-gram lengths, size of the hashed feature space, and the most labelled rows that training reads.
-GRAMS, SIZE, MAX_LABELS = (3, 4, 5), 1 << 14, 20_000
-THRESHOLD = 0.5
+GRAMS, SIZE, MAX_LABELS = (3, 4, 5), 1 << 16, 20_000
+#: Above 0.5: at most about one in fifty URLs of ordinary words that training did not see is then blocked.
+THRESHOLD = 0.65
 
 
 @dataclass(frozen=True)
@@ -38,28 +40,52 @@ class Rule:
 #: The production rules.
 RULES = (Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Rule("allow", "net", "/de/"), Rule("block", "example.net", "/de/8"), Rule("block", "org", "/es/"))
 
-#: Words that label a seed URL: unwanted sites are named for what they sell, others for what they treat.
-UNWANTED = "casino poker slots jackpot bet bets betting roulette pills viagra pharma-deal spam linkfarm seo-farm adult porn xxx sex cams escort ads tracker popunder clickbait loan payday fast-cash win-prize lottery replica-watch warez torrent crack keygen".split()
-WANTED = "news blog library garden school science history museum weather travel recipes music cinema sport football health doctor city council forum wiki photo bakery books letters village ocean mountain river forest engine kitchen market journal research other within report center river-side north-side old-town data-atlas art-work".split()
-#: The most common letter pairs of English; made-up names of three stand for the many hosts that say nothing.
-PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve".split()
-#: Beginnings of the host names of the given pages; no made-up name of the seeds has them.
-HELD_OUT = ("th", "tion")
+#: Subjects of public block lists of URLs: gambling, drugs by post, adult, advertising and tracking, piracy, fraud, link farms.
+UNWANTED = {
+    "gambling": "casino poker slots jackpot betting roulette bingo lottery blackjack wager sportsbook baccarat gamble bookmaker",
+    "drugs": "viagra cialis pharmacy pills tablets steroids tramadol xanax weightloss potency",
+    "adult": "porn xxx sex nude escort erotic webcam hentai milf fetish adult hookup",
+    "ads": "adserver tracker popunder banner adclick affiliate telemetry pixel retarget doubleclick impression ads",
+    "piracy": "warez torrent keygen crack serials nulled cracked pirate leaked modapk",
+    "fraud": "payday loans prize giveaway winner phishing malware bitcoin-doubler fastcash getrich replica fake",
+    "farms": "spam linkfarm backlinks doorway autoblog contentfarm clickbait seoboost botnet trafficbot",
+}
+#: Subjects of ordinary sites.
+WANTED = {
+    "learning": "school college university library science history physics biology chemistry mathematics language dictionary lessons museum academy archive",
+    "news": "news times herald gazette journal magazine radio weather tribune courier chronicle report",
+    "home": "garden kitchen recipes bakery furniture cleaning family parents wedding knitting pottery flowers",
+    "health": "health doctor clinic dental hospital nursing fitness yoga nutrition therapy",
+    "places": "travel city village mountain river forest island harbour hotel railway airport bridge council parish",
+    "arts": "music cinema theatre gallery books poetry painting orchestra photo dance festival opera",
+    "work": "office legal accounting builders plumbing engineering software hardware farming logistics energy printing bank insurance",
+    "people": "community forum wiki blog charity church football tennis cycling chess scouts hiking fishing sailing",
+}
+#: What stands around a subject in a host name, whether the site is wanted or not.
+AROUND = ("{0}", "my{0}", "the-{0}", "{0}online", "{0}-world", "go{0}", "super{0}", "{0}24", "{0}-hub", "{0}zone", "best-{0}", "daily{0}")
+PREFIXES = ("", "www.", "m.", "blog.", "static.", "shop.")
+DOMAINS = ("com", "org", "net", "info", "io", "co.uk", "de", "fr", "es", "biz")
+PATHS = ("", "/", "/index.html", "/about", "/{1}/{0}", "/{0}/{1}.html", "/en/{1}", "/{1}", "/articles/{1}-{0}", "/category/{0}/page/{1}", "/login", "/wiki/{0}")
 #: Share of unwanted URLs that training assumes.
 PRIOR = 0.2
 
 
-def seed_labels() -> pd.DataFrame:
-    """The small labelled table (url, unwanted) made by rule: each name as a host, with common prefixes, domains and paths."""
-    made = [a + PAIRS[(i * 7 + 3) % len(PAIRS)] + PAIRS[(i * 11 + j * 5) % len(PAIRS)] for j in range(4) for i, a in enumerate(PAIRS)]
-    made = [name for name in made if not name.startswith(HELD_OUT)]
+def seed_words() -> list[tuple[str, int]]:
+    """(word, unwanted) of the seed subjects."""
+    return [(word, label) for label, lists in ((1, UNWANTED), (0, WANTED)) for words in lists.values() for word in words.split()]
+
+
+def seed_labels(words: Sequence[tuple[str, int]] | None = None) -> pd.DataFrame:
+    """The small labelled table (url, unwanted) made by rule from subject words.
+
+    Each word takes every surrounding of AROUND once, with prefixes, domains and paths in turn
+    that do not depend on the label.
+    """
     rows = []
-    for label, names in ((1, UNWANTED), (0, WANTED + made)):
-        for i, name in enumerate(names):
-            for j, (prefix, domain) in enumerate((p, d) for p in ("", "www.", "m.", "blog.") for d in ("example.com", "example.org", "example.net")):
-                path = ("", "/", f"/en/{i * 7 + j}", f"/de/{i * 11 + j}/", f"/fr/{i * 13 + j}.html", f"/es/{i + j * 17}")[(i + j) % 6]
-                rows.append((f"https://{prefix}{name}.{domain}{path}", label))
-            rows.append((f"https://www.site{i}.example.com/{name}/{i}", label))
+    for i, (word, label) in enumerate(seed_words() if words is None else words):
+        for j, around in enumerate(AROUND):
+            host = PREFIXES[(i + j) % len(PREFIXES)] + around.format(word) + "." + DOMAINS[(i * 3 + j) % len(DOMAINS)]
+            rows.append((f"https://{host}{PATHS[(i * 5 + j) % len(PATHS)].format(word, i * 7 + j * 31)}", label))
     return pd.DataFrame(rows, columns=["url", "unwanted"])
 
 
@@ -130,27 +156,40 @@ class UrlModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(labels: pd.DataFrame, rounds: int = 300, rate: float = 4.0, penalty: float = 1e-4) -> UrlModel:
-    """Full-batch gradient descent, classes weighted by the prior; labels: url and unwanted (0 or 1); empty: all wanted."""
-    labels = labels.head(MAX_LABELS)
-    parts = [split_url(u) for u in labels["url"]]
+def loss_and_slope(weights: np.ndarray, bias: float, cells: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, share: np.ndarray, penalty: float) -> tuple[float, np.ndarray, float]:
+    """Weighted logistic loss with a penalty of penalty / 2 times the squared weights, and its slope by weights and bias."""
+    row, column, value = cells
+    z = np.bincount(row, value * weights[column], minlength=len(y)) + bias
+    loss = float(share @ (np.logaddexp(0, z) - y * z) + penalty / 2 * weights @ weights)
+    off = share * (1 / (1 + np.exp(-z)) - y)
+    return loss, np.bincount(column, value * off[row], minlength=len(weights)) + penalty * weights, float(off.sum())
+
+
+def train(labels: pd.DataFrame, rounds: int = 400, rate: float = 40.0, penalty: float = 1e-5) -> UrlModel:
+    """Full-batch gradient descent, classes weighted by the prior; labels: url and unwanted (0 or 1); empty: all wanted.
+
+    Of more than MAX_LABELS rows those with the lowest hashes of the url are read, whatever
+    the table's order.
+    """
+    if len(labels) > MAX_LABELS:
+        order = np.argsort([xxhash.xxh64_intdigest(str(u)) for u in labels["url"]], kind="stable")
+        labels = labels.iloc[order[:MAX_LABELS]]
     y = labels["unwanted"].to_numpy(float)
     model = UrlModel(np.zeros(SIZE), 0.0 if len(y) else -1.0)
     if not len(y):
         return model
-    weight = np.where(y > 0, PRIOR / max(y.sum(), 1), (1 - PRIOR) / max((1 - y).sum(), 1))
-    hosts, paths = zip(*parts, strict=True)
-    row, column, value = features(hosts, paths)
+    share = np.where(y > 0, PRIOR / max(y.sum(), 1), (1 - PRIOR) / max((1 - y).sum(), 1))
+    hosts, paths = zip(*map(split_url, labels["url"]), strict=True)
+    cells = features(hosts, paths)
     for _ in range(rounds):
-        z = np.bincount(row, value * model.weights[column], minlength=len(y)) + model.bias
-        slope = weight * (1 / (1 + np.exp(-z)) - y)
-        model.weights -= rate * 10 * (np.bincount(column, value * slope[row], minlength=SIZE) + penalty * model.weights / 10)
-        model.bias -= rate * slope.sum()
+        _, by_weight, by_bias = loss_and_slope(model.weights, model.bias, cells, y, share, penalty)
+        model.weights -= rate * by_weight
+        model.bias -= rate / 10 * by_bias
     return model
 
 
 def with_verdict(pages: DataFrame, url: str = "url", into: str = "url_filter", rules: Sequence[Rule] = RULES, labels: pd.DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """`pages` with a struct column `into`: host, path, rule, score, verdict (block or allow).
+    """`pages` with a struct column `into`: host, path, rule, verdict (block or allow), score.
 
     A null url, or one without `://`, has empty host and path; no rule fits it and the model
     scores the empty strings.  Rows may repeat; other columns stay as they are.
@@ -169,5 +208,5 @@ def with_verdict(pages: DataFrame, url: str = "url", into: str = "url_filter", r
     rule, points = free_name(parts, "url_rule"), free_name(parts, "url_score")
     judged = parts.withColumn(points, score(host, path)).withColumn(rule, rule_for(host, path, rules))
     own = F.when(F.col(points) >= threshold, "block").otherwise("allow")
-    whole = F.struct(host.alias("host"), path.alias("path"), F.col(rule)["rule"].alias("rule"), F.col(points).alias("score"), F.coalesce(F.col(rule)["verdict"], own).alias("verdict"))
+    whole = F.struct(host.alias("host"), path.alias("path"), F.col(rule)["rule"].alias("rule"), F.coalesce(F.col(rule)["verdict"], own).alias("verdict"), F.col(points).alias("score"))
     return judged.withColumn(into, whole).drop(raw, rule, points)
