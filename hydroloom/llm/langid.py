@@ -5,8 +5,9 @@ geometric mean of their numbers of n-grams, blended over n by weight.  It is tak
 few landmark texts only; the Nyström map of these values is the input of one ridge regression
 a language (one against the rest).  A batch of texts is scored by two matrix products.
 
-Training reads a sample of labelled rows, at most MAX_TRAIN and as many of each language as
-there are (chosen by a hash of the id, so reruns agree).  Executors send bit sets of fixed
+Training reads a sample of labelled rows, at most MAX_TRAIN and as many of each of the
+MAX_LANGUAGES most frequent languages as there are.  Rows are chosen by a hash of id and text,
+repeated rows once, so reruns agree.  Executors send bit sets of fixed
 size, whatever the texts' length.  Scoring is one pass without a shuffle.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import free_name
 
-MAX_TRAIN, LANDMARKS, RIDGE, SHARPNESS = 1_200, 96, 1e-3, 6.0
+MAX_TRAIN, MAX_LANGUAGES, LANDMARKS, RIDGE, SHARPNESS = 1_200, 200, 96, 1e-3, 6.0
 #: n, size of its hashed space, weight in the blend.
 SPECTRA = ((1, 1 << 10, 0.2), (2, 1 << 12, 0.3), (3, 1 << 13, 0.5))
 WIDTH = sum(size for _, size, _ in SPECTRA)
@@ -111,7 +112,7 @@ def fit(present: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, r
 def sample(docs: DataFrame, learn: Column, id: str, text: str, lang: str, most: int = MAX_TRAIN) -> tuple[np.ndarray, list[str]]:
     """Presence rows and languages of the sample of rows where `learn` holds."""
     usable = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), learn.alias("learn")).filter("learn and lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     if not counts:
         return np.zeros((0, WIDTH), bool), []
     each = most / len(counts)
@@ -123,12 +124,12 @@ def sample(docs: DataFrame, learn: Column, id: str, text: str, lang: str, most:
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch = batch[[has_letter(t) for t in batch["text"]]]
-            for place, text, lang in zip(batch["place"], batch["text"], batch["lang"], strict=True):
-                yield pd.DataFrame({"place": [place], "bits": [np.packbits(presence([text])[0]).tobytes()], "lang": [lang]})
+            bits = [np.packbits(presence([text])[0]).tobytes() for text in batch["text"]]
+            yield pd.DataFrame({"place": batch["place"].to_numpy(), "bits": bits, "lang": batch["lang"].to_numpy()})
 
-    # the id decides who is asked first, the text is hashed only for those
-    drawn = usable.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < chance).select(place.alias("place"), "text", "lang")
-    rows = drawn.mapInPandas(packed, "place long, bits binary, lang string").limit(2 * most).toPandas().sort_values(["place", "lang"])
+    # each different row once, before any text is looked at; the hash decides who goes beyond the bound
+    drawn = usable.select(place.alias("place"), "text", "lang").filter(F.col("place") < chance).groupBy("place", "lang").agg(F.min("text").alias("text"))
+    rows = drawn.mapInPandas(packed, "place long, bits binary, lang string").orderBy("place", "lang").limit(2 * most).toPandas()
     if not len(rows):
         return np.zeros((0, WIDTH), bool), []
     bits = np.frombuffer(b"".join(rows["bits"]), np.uint8).reshape(len(rows), -1)
@@ -140,7 +141,8 @@ def with_language(docs: DataFrame, learn: Column, into: str = "language", id: st
 
     Texts that are null or have no letter are `und` with score 0; so is every text if no row
     can be learned from.  Only the text is scored.  Rows where `learn` is null are not learned
-    from.  Ties go to the first language by name.
+    from.  Ties go to the first language by name.  `into` is lengthened by `_` where `docs` has
+    a column of that name in any case.  Rows may repeat.
     """
     model = fit(*sample(docs, learn, id, text, lang, most))
 
@@ -169,5 +171,4 @@ def with_language(docs: DataFrame, learn: Column, into: str = "language", id: st
             flush()
             yield pd.DataFrame({"lang": names, "score": scores})
 
-    into = free_name(docs, into) if into in docs.columns else into
-    return docs.withColumn(into, predict(F.col(f"`{text}`")))
+    return docs.withColumn(free_name(docs, into), predict(F.col(f"`{text}`")))

@@ -8,8 +8,8 @@ unlabelled ones (U).  With class prior p its risk is
 the second part being the risk on clean texts, of which only a mixture is seen; where it turns
 negative, a step is taken to raise it instead (non-negative correction).
 
-Training reads at most MAX_POSITIVE and MAX_UNLABELLED rows, drawn by a hash of their ids; the
-words that tell P from U best are kept.  Scoring is one pass over whole texts, no shuffle.
+Training reads at most MAX_POSITIVE and MAX_UNLABELLED rows, drawn by a hash of id and text,
+repeated rows once; the words that tell P from U best are kept.  Scoring is one pass over whole texts, no shuffle.
 """
 
 from __future__ import annotations
@@ -97,6 +97,21 @@ class ToxicModel:
         return out
 
 
+def risk_slopes(x: np.ndarray, y: np.ndarray, weights: np.ndarray, bias: float, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The risk on clean texts R-(U) - p * R-(P), its slope by (weights, bias), and the slope of p * R+(P).
+
+    x: rows of P, y: rows of U; losses are logistic.
+    """
+
+    def slope(rows: np.ndarray, by: np.ndarray) -> np.ndarray:
+        return np.append(rows.T @ by, by.sum()) / len(rows)
+
+    sigmoid = lambda v: 1 / (1 + np.exp(-np.clip(v, -30, 30)))
+    on_p, on_u = x @ weights + bias, y @ weights + bias
+    clean = np.logaddexp(0, on_u).mean() - prior * np.logaddexp(0, on_p).mean()
+    return clean, slope(y, sigmoid(on_u)) - prior * slope(x, sigmoid(on_p)), prior * slope(x, sigmoid(on_p) - 1)
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, kept: int = KEPT, steps: int = STEPS) -> ToxicModel:
     """positive, unlabelled: the distinct word places of each text; nothing to learn from gives score 0.05 or less everywhere."""
     none = ToxicModel(np.empty(0, np.int64), np.empty(0), -3.0)
@@ -123,17 +138,9 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     x, y = dense(positive), dense(unlabelled)
     weights, bias = np.zeros(len(places)), float(np.log(prior / (1 - prior)))
     mean, square = np.zeros(len(places) + 1), np.zeros(len(places) + 1)
-    sigmoid = lambda v: 1 / (1 + np.exp(-np.clip(v, -30, 30)))
-    loss = lambda v: np.logaddexp(0, -v)
-
-    def slope(rows: np.ndarray, by: np.ndarray) -> np.ndarray:
-        return np.append(rows.T @ by, by.sum()) / len(rows)
-
     for step in range(1, steps + 1):
-        on_p, on_u = x @ weights + bias, y @ weights + bias
-        clean = loss(-on_u).mean() - prior * loss(-on_p).mean()
-        up = slope(y, sigmoid(on_u)) - prior * slope(x, sigmoid(on_p))
-        change = -GAMMA * up if clean < -BETA else up + prior * slope(x, sigmoid(on_p) - 1)
+        clean, up, known = risk_slopes(x, y, weights, bias, prior)
+        change = -GAMMA * up if clean < -BETA else up + known
         change = change + PENALTY * np.append(weights, 0)
         mean, square = 0.9 * mean + 0.1 * change, 0.999 * square + 0.001 * change**2
         move = RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
@@ -141,40 +148,59 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return ToxicModel(places, weights, float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, id: str = "doc_id", text: str = "text", most: tuple[int, int] = (MAX_POSITIVE, MAX_UNLABELLED)) -> ToxicModel:
-    """A model from the rows of `docs` where `learn` holds, and the toxic ids among `labels` (doc_id, toxic).
+def train(docs: DataFrame, labels: DataFrame, learn: Column, id: str = "doc_id", text: str = "text", label_id: str = "doc_id", toxic: str = "toxic", most: tuple[int, int] = (MAX_POSITIVE, MAX_UNLABELLED)) -> ToxicModel:
+    """A model from the rows of `docs` where `learn` (of the id column) holds, and the toxic ids among `labels`.
 
-    The class prior is the share of toxic among the labels of learned ids.
+    The class prior is the share of toxic among the labels of learned ids.  Rows alike in id
+    and text count once.  However often an id repeats, at most `most` texts of each kind are
+    drawn, those of the lowest hashes.
     """
-    known = labels.select(F.col("doc_id").alias(id), "toxic").filter(learn).filter("toxic is not null")
+    named = F.col(f"`{label_id}`").alias(id), F.col(f"`{toxic}`").alias("toxic")
+    known = labels.select(*named).filter(learn).filter("toxic is not null")
     seen = known.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("toxic") == 1, 1)), F.lit(0)).alias("toxic")).first()
     prior = min(max(seen["toxic"] / seen["n"], 0.001), 0.9) if seen["n"] else PRIOR
-    place = F.pmod(F.xxhash64(F.col(id)), F.lit(1 << 30))
-    share = lambda want, there: int(min(1.0, want / max(there, 1)) * (1 << 30))
-    toxic = known.filter(F.col("toxic") == 1).filter(place < share(most[0], seen["toxic"])).select(F.col(id).alias("toxic_id")).distinct().limit(2 * most[0])
-    rows = docs.select(F.col(f"`{id}`").alias(id), F.col(f"`{text}`").alias("text")).filter(learn)
-    n = rows.count()
-    # the toxic ids are a sample of a known bound
-    both = rows.join(F.broadcast(toxic), F.col(id) == F.col("toxic_id"), "left").withColumn("drawn", place < share(most[1], n)).filter("toxic_id is not null or drawn")
+    here = F.col(f"`{id}`")
+    ids = known.filter("toxic = 1").select(here.alias("toxic_id")).distinct().orderBy(F.xxhash64("toxic_id")).limit(2 * most[0])
+    rows = docs.select(here.alias(id), F.col(f"`{text}`").alias("text")).filter(learn)
+    placed = rows.select(here.alias("of"), "text", F.pmod(F.xxhash64(here, "text"), F.lit(1 << 40)).alias("place"))
+    # the toxic ids are of a known bound
+    positive = placed.join(F.broadcast(ids), F.col("of") == F.col("toxic_id"), "left_semi")
+    return fit(_drawn(positive, most[0]), _drawn(placed, most[1]), prior)
+
+
+def _drawn(placed: DataFrame, most: int) -> list[np.ndarray]:
+    """The distinct word places of the `most` texts with the lowest hashes `place`."""
+    # a first threshold, from the number of rows, leaves about twice as many as are wanted
+    n = placed.count()
+    near = placed.filter(F.col("place") <= min(1 << 40, -(-(2 * most + 100) * (1 << 40) // max(n, 1))))
+    lowest = near.select("place").distinct().orderBy("place").limit(most)
+    last = lowest.agg(F.max("place").alias("last"), F.count("*").alias("n")).first()
+    if n > 2 * most + 100 and last["n"] < most:
+        # many repeated rows: the lowest hashes of all
+        last = placed.select("place").distinct().orderBy("place").limit(most).agg(F.max("place").alias("last")).first()
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for toxic_id, drawn, text in zip(batch["toxic_id"].notna(), batch["drawn"], batch["text"], strict=True):
-                own = np.unique(np.fromiter((p for w in set(words_of(text)) for p in places_of(w)), np.int32))
-                yield pd.DataFrame({"toxic": [toxic_id], "drawn": [drawn], "places": [own.tobytes()]})
+            own = [np.unique(np.fromiter((p for w in set(words_of(text)) for p in places_of(w)), np.int32)).tobytes() for text in batch["text"]]
+            yield pd.DataFrame({"place": batch["place"].to_numpy(), "places": own})
 
-    found = both.select("toxic_id", "drawn", "text").mapInPandas(places, "toxic boolean, drawn boolean, places binary").toPandas()
-    arrays = [np.frombuffer(b, np.int32).astype(np.int64) for b in found["places"]]
-    pick = lambda mark: [a for a, m in zip(arrays, found[mark].astype(bool), strict=True) if m]
-    return fit(pick("toxic"), pick("drawn"), prior)
+    if last["last"] is None:
+        return []
+    once = placed.filter(F.col("place") <= last["last"]).groupBy("place").agg(F.min("text").alias("text"))
+    found = once.mapInPandas(places, "place long, places binary").toPandas().sort_values("place")
+    return [np.frombuffer(b, np.int32).astype(np.int64) for b in found["places"]]
 
 
 def with_toxicity(docs: DataFrame, model: ToxicModel, into: str = "toxicity", text: str = "text") -> DataFrame:
-    """`docs` with a double column `into` (0 to 1) from the whole text alone; null counts as empty, which scores the bias."""
+    """`docs` with a double column `into` (0 to 1) from the whole text alone.
+
+    Null counts as empty, which scores the bias.  `into` is lengthened by `_` where `docs` has
+    a column of that name in any case.  Rows may repeat.
+    """
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series(model.score(batch.tolist()))
 
-    return docs.withColumn(free_name(docs, into) if into in docs.columns else into, score(F.col(f"`{text}`")))
+    return docs.withColumn(free_name(docs, into), score(F.col(f"`{text}`")))
