@@ -23,7 +23,8 @@ TEMPLATE = (
     "{% endfor %}"
 )
 
-_TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.)*)</turn>\n", re.S)
+#: Possessive runs: no state is kept for each char of a long text.
+_TURN = re.compile(r"### ([^\\:]*+(?:\\.[^\\:]*+)*+): ([^\\<]*+(?:\\.[^\\<]*+)*+)</turn>\n", re.S)
 
 
 def escape(text: str) -> str:

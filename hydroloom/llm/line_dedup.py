@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, written
+from .common import SPACES, free_name, written
 
 MAX_RATIO, MIN_PAGES = 0.08, 5
 #: Boilerplate of all hosts together up to which it is sent to every executor.
@@ -31,7 +31,7 @@ def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", max_
 
     Lines are trimmed of white space; lines without a word never count.
     """
-    each = pages.select(F.col(host).alias("host"), F.array_distinct(F.transform(_lines(F.col(text)), lambda x: F.btrim(x, F.lit(SPACES)))).alias("lines"))
+    each = pages.select(F.col(f"`{host}`").alias("host"), F.array_distinct(F.transform(_lines(F.col(f"`{text}`")), lambda x: F.btrim(x, F.lit(SPACES)))).alias("lines"))
     totals = each.groupBy("host").agg(F.count("*").alias("host_pages"))
     lines = each.select("host", F.explode("lines").alias("line")).filter("line != ''")
     over = (F.col("pages") >= min_pages) & (F.col("pages") > max_ratio * F.col("host_pages"))
@@ -52,14 +52,17 @@ def _small(df: DataFrame) -> DataFrame:
 def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, counts: bool = False) -> DataFrame:
     """`pages` with boilerplate lines taken out of `text`, all other columns and rows as they were.
 
-    A null text stays null; a text of nothing but boilerplate becomes empty.  With `counts`,
-    columns n_lines and n_dropped are added (these names must be free then).
+    A null text stays null; a text of nothing but boilerplate becomes empty.  A null host is a
+    host of its own; repeated rows count one by one.  With `counts`, columns n_lines and
+    n_dropped are added, their names lengthened by `_` where `pages` has them.
     """
     found = boilerplate(pages, host, text, max_ratio, min_pages)
-    by_host = written(found.groupBy("host").agg(F.collect_set("line").alias("lines")), "boilerplate").select(F.col("host").alias("__host"), F.col("lines").alias("__lines"))
-    joined = pages.join(_small(by_host), F.col(host).eqNullSafe(F.col("__host")), "left")
-    lines = F.split(F.col(text), "\n")
-    rest = F.when(F.col("__lines").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("__lines"), F.btrim(x, F.lit(SPACES)))))
-    new = F.when(F.col("__lines").isNull(), F.col(text)).otherwise(F.array_join(rest, "\n"))
-    extra = [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(lines) - F.size(rest), F.lit(0)).cast("long").alias("n_dropped")]
+    by_host = written(found.groupBy("host").agg(F.collect_set("line").alias("lines")), "boilerplate")
+    of, bad = free_name(pages, "line_host"), free_name(pages, "line_bad")
+    joined = pages.join(_small(by_host.toDF(of, bad)), F.col(f"`{host}`").eqNullSafe(F.col(of)), "left")
+    own = F.col(f"`{text}`")
+    lines = F.split(own, "\n")
+    rest = F.when(F.col(bad).isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col(bad), F.btrim(x, F.lit(SPACES)))))
+    new = F.when(F.col(bad).isNull(), own).otherwise(F.array_join(rest, "\n"))
+    extra = [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(free_name(pages, "n_lines")), F.coalesce(F.size(lines) - F.size(rest), F.lit(0)).cast("long").alias(free_name(pages, "n_dropped"))]
     return joined.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in pages.columns], *extra * counts)

@@ -61,7 +61,8 @@ def longest_repeats(words: np.ndarray, text: np.ndarray) -> np.ndarray:
         at = at[np.repeat(size, size) > 1]
         if not len(at):
             return best
-        ranks.append(rank.copy())
+        # half the memory: a long repetitive text has a rank array for each doubling
+        ranks.append(rank.astype(np.int32 if n < 1 << 31 else np.int64))
         beyond = at + width
         inside = beyond < end[at]
         after = np.where(inside, rank[np.where(inside, beyond, 0)] + 1, 0)
@@ -139,7 +140,7 @@ def measure(texts: list[str | None], min_repeat: int = MIN_REPEAT) -> pd.DataFra
 
 
 def with_quality(docs: DataFrame, into: str = "quality_rules", text: str = "text", min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """`docs` with a struct column `into`: the measures, base_failed, and kept.
+    """`docs` with a struct column `into`: the measures, repeat_too_long, base_failed, and kept.
 
     kept: not base_failed, at most `max_covered` of the words inside repeats of `min_repeat`
     or more words, and no repeat of more than `max_repeat` words.  Null and empty texts have
@@ -154,9 +155,10 @@ def with_quality(docs: DataFrame, into: str = "quality_rules", text: str = "text
     raw = free_name(docs, "measured")
     m = F.col(raw)
     base = (m["n_words"] < BASE_WORDS) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
-    good = (m["covered_words"] <= max_covered * m["n_words"]) & (m["longest_repeat"] <= max_repeat)
+    long = m["longest_repeat"] > max_repeat
+    good = (m["covered_words"] <= max_covered * m["n_words"]) & ~long
     names = [c.split()[0] for c in MEASURES.split(", ")]
-    return docs.withColumn(raw, measures(text)).withColumn(into, F.struct(*[m[c].alias(c) for c in names], base.alias("base_failed"), (~base & good).alias("kept"))).drop(raw)
+    return docs.withColumn(raw, measures(text)).withColumn(into, F.struct(*[m[c].alias(c) for c in names], long.alias("repeat_too_long"), base.alias("base_failed"), (~base & good).alias("kept"))).drop(raw)
 
 
 def keep_good(docs: DataFrame, text: str = "text", **limits) -> DataFrame:

@@ -188,7 +188,7 @@ def with_components(docs: DataFrame, id: str = "doc_id", text: str = "text", bit
     component's number unless all ids of the component are null.  Repeated rows come out
     repeated.
     """
-    rows = written(docs.select(F.col(id).alias("id"), fingerprint(text).alias("fp")), "fingerprints")
+    rows = written(docs.select(F.col(f"`{id}`").alias("id"), fingerprint(text).alias("fp")), "fingerprints")
     distinct = written(rows.groupBy("fp").agg(F.min("id").alias("low")), "distinct-fingerprints")
     rooted = _rooted(distinct, bits)
     lowest = rooted.groupBy(F.col("root").alias("of")).agg(F.min("low").alias("component_id"))
@@ -196,11 +196,16 @@ def with_components(docs: DataFrame, id: str = "doc_id", text: str = "text", bit
     return rows.join(numbered, F.col("fp") == F.col("of")).select(F.col("id").alias(id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Chance that two texts whose shingle sets have these similarities differ in at most MAX_BITS of 64 bits.
+REACH = {1.0: 1.0, 0.99: 0.85, 0.98: 0.67, 0.95: 0.31, 0.9: 0.09, 0.8: 0.01}
+
+
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", bits: int = MAX_BITS) -> DataFrame:
     """One row of `docs` for each component, columns as they were: the smallest id, nulls last, then the first row.
 
     Rows are told apart by a written number, not by their id, so components may share an id
-    or have none.
+    or have none.  Three-word shingles and three bits, as in the operator: what that finds
+    depends on similarity, see REACH.
     """
     number = free_name(docs, "row_number")
     # written: the number has to be the same wherever it is read
