@@ -26,12 +26,12 @@ def tokenizer_path() -> str:
 
 def op1_url_filters(spark, sf_dir):
     judged = url_filter.with_verdict(table(spark, sf_dir, "pages").select("page_id", "url"))
-    return judged.select("page_id", *[F.col("url_filter")[c].alias(c) for c in ("host", "path", "rule", "score", "verdict")])
+    return judged.select("page_id", *[F.col("url_filter")[c].alias(c) for c in ("host", "path", "rule", "verdict", "score")])
 
 
 def op2_quality_rules(spark, sf_dir):
     judged = quality.with_quality(table(spark, sf_dir, "documents"))
-    return judged.select("doc_id", *[F.col("quality_rules")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "base_failed", "kept")])
+    return judged.select("doc_id", *[F.col("quality_rules")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words", "repeat_too_long")])
 
 
 def op3_line_dedup(spark, sf_dir):
@@ -122,8 +122,9 @@ ORACLES = {
                    coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(covered_words, 0) AS covered_words, coalesce(long, false) AS long
             FROM split LEFT JOIN sums USING (doc_id) LEFT JOIN lines USING (doc_id)
         )
-        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, covered_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-               NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND covered_words <= 0.3 * n_words AND NOT long AS kept
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+               NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND covered_words <= 0.3 * n_words AND NOT long AS kept,
+               covered_words, long AS repeat_too_long
         FROM base""",
     "op3_line_dedup": r"""
         WITH split AS (
@@ -142,7 +143,8 @@ ORACLES = {
         GROUP BY t.doc_id, t.source""",
     "op6_mixing": r"""
         WITH sized AS (
-            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                   md5(doc_id || ':' || coalesce(source, '') || ':' || coalesce(text, '')) AS alike FROM documents
         ), sources AS (
             SELECT source, sum(size)::BIGINT AS source_size,
                    [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight
@@ -157,8 +159,8 @@ ORACLES = {
             SELECT l.source, source_size, CASE WHEN 2 * source_size < weight * l.level THEN (2 * source_size)::DOUBLE ELSE weight * c.level END AS target
             FROM levels l, cut c
         ), queues AS (
-            SELECT doc_id, s.source, size, source_size, target, copy, md5('42:' || copy || ':' || doc_id) AS mix_key,
-                   sum(size) OVER (PARTITION BY s.source ORDER BY copy, md5('42:' || copy || ':' || doc_id), doc_id ROWS UNBOUNDED PRECEDING) / target AS finish
+            SELECT doc_id, s.source, size, source_size, target, copy, md5('42:' || copy || ':0:' || alike) AS mix_key,
+                   sum(size) OVER (PARTITION BY s.source ORDER BY copy, md5('42:' || copy || ':0:' || alike), doc_id ROWS UNBOUNDED PRECEDING) / target AS finish
             FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source, (VALUES (0), (1)) AS c(copy)
         ), total AS (
             SELECT *, sum(size) OVER (ORDER BY finish, source NULLS LAST, copy, mix_key, doc_id ROWS UNBOUNDED PRECEDING) AS until FROM queues

@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hydroloom.llm import bpe, chat, exact_dedup, langid, line_dedup, mixing, quality, queries, simhash, toxicity, url_filter
+from hydroloom.llm import bpe, chat, common, exact_dedup, langid, line_dedup, mixing, quality, queries, simhash, toxicity, url_filter
 
 #: Names that operators use inside themselves.
-CLASHES = ["id", "size", "row", "copy", "finish", "line", "lines", "host", "group", "norm", "digest", "fp", "node", "root", "of", "key", "start", "whole", "place", "bits", "measured", "quality_rules", "quality_rules_", "url_parts", "mix_key", "mix_times", "long_key", "kept", "taken", "times", "ids", "hash"]
+CLASHES = ["id", "size", "row", "copy", "finish", "line", "lines", "host", "group", "norm", "digest", "fp", "node", "root", "of", "key", "start", "whole", "place", "bits", "measured", "quality_rules", "quality_rules_", "url_parts", "mix_key", "mix_times", "long_key", "kept", "taken", "times", "ids", "hash", "__host", "__lines", "__id", "__component", "n_lines", "N_dropped", "Language", "Toxicity", "toxic_id", "drawn", "mix_copies", "mix_turn", "Token_IDS", "row_number", "line_host", "line_bad", "alike", "n", "many", "label", "of_n", "conv_id_", "turns", "roles"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -35,6 +35,7 @@ OPERATORS = {
     "mixing": lambda d: mixing.mix_shares(d),
     "language": lambda d: langid.with_language(d, F.lit(True)),
     "exact": lambda d: exact_dedup.with_groups(d),
+    "toxicity": lambda d: toxicity.with_toxicity(d, toxicity.train(d, d.select("doc_id", (F.col("n_chars") % 2).alias("toxic")), F.lit(True))),
     "urls": lambda d: url_filter.with_verdict(d, "source"),
 }
 
@@ -44,8 +45,9 @@ def test_one_row_out_for_each_row_in(docs, name):
     out = OPERATORS[name](docs)
     got = out.collect()
     assert len(got) == docs.count()
-    if name in ("quality", "lines", "bpe", "language", "urls"):
-        assert set(docs.columns) <= set(out.columns)
+    if name in ("quality", "lines", "bpe", "language", "toxicity", "urls"):
+        replaced = {"Token_IDS"} if name == "bpe" else set()
+        assert set(docs.columns) - replaced <= set(out.columns) and len({c.lower() for c in out.columns}) == len(out.columns)
 
 
 @pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES[:-1])
@@ -55,6 +57,32 @@ def test_stages_keep_the_columns(docs, spark, name, stage):
     assert out.columns == docs.columns
 
 
+def test_chat(docs):
+    turns = docs.withColumnsRenamed({"doc_id": "conv_id", "n_chars": "turn", "source": "role"})
+    out = chat.format_conversations(turns).collect()
+    assert len(out) == docs.select("doc_id").distinct().count()
+    assert sum(len(chat.read_back(r["formatted"])) for r in out) == docs.count()
+
+
+def test_a_huge_turn_is_read_back():
+    text = "### user: " + chat.escape("<#\\ text " * 300_000) + "</turn>\n"
+    assert chat.read_back(text) == [("=user"[1:], "<#\\ text " * 300_000)]
+
+
+def test_clusters_need_a_shared_folder():
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: {})
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError):
+        common.shared_folder(Session)
+
+
 def test_last_stage(docs, spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == docs.count()
 
