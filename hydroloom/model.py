@@ -7,7 +7,7 @@ sinks only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GRID = "var string, time timestamp_ntz, row int, col int, lat double, lon double, value double"
@@ -24,6 +24,14 @@ def nothing(value: Column) -> Column:
     return value.isNull() | F.isnan(value)
 
 
+def free(name: str, *frames: DataFrame) -> str:
+    """`name`, lengthened until no column of the frames has it in any case."""
+    taken = {c.lower() for frame in frames for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def from_sentinel(value: Column, no_data: float = NO_DATA, tolerance: float = 0.0) -> Column:
     """NULL for NaN and for the sentinel."""
     return F.when(nothing(value) | (F.abs(value - no_data) <= tolerance), None).otherwise(value)

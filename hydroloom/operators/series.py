@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hydroloom.model import free
+from hydroloom.operators.masks import every_pair
+
 
 def keep_last(series: DataFrame, keys: Sequence[str], order: Column | str, value: str = "value") -> DataFrame:
     """One row a key: the value of the row that comes last in `order`; null keys in time are dropped by the caller."""
@@ -43,30 +46,35 @@ def join_registry(data: DataFrame, registry: DataFrame, database: DataFrame, lin
 def as_of(probes: DataFrame, data: DataFrame, keys: Sequence[str], tolerance_s: int, at: str = "probe_time", time: str = "time", value: str = "value", nearest: bool = False) -> DataFrame:
     """`probes` with the value (and its time, `found_time`) at or before each probe, within the tolerance (inclusive).
 
-    With `nearest` the closest on either side counts, the earlier one of two as close.  Time is
-    cut into buckets as wide as the tolerance; data stand in the buckets from which they may be
-    found, so probes meet them by an equi-join on key and bucket, however many rows a key has.
+    With `nearest` the closest on either side counts, the earlier one of two as close.  Of data
+    rows at the same time the greatest value counts.  A probe that stands several times is
+    asked once and comes back as often.  Time is cut into buckets as wide as the tolerance;
+    data stand in the buckets from which they may be found, so probes meet them by an equi-join
+    on key and bucket, however many rows a key has.
     """
     seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     width = tolerance_s * 1_000_000
     reach = [0, 1] if not nearest else [-1, 0, 1]
-    own = data.select(*[F.col(k).alias(f"d_{k}") for k in keys], F.col(time).alias("found_time"), F.col(value).alias("found"), seconds(time).alias("t"))
-    own = own.withColumn("bucket", F.explode(F.array(*[F.floor(F.col("t") / width) + d for d in reach])))
-    asked = probes.withColumn("p", seconds(at)).withColumn("p_bucket", F.floor(F.col("p") / width))
-    near = (F.abs(F.col("p") - F.col("t")) <= width) if nearest else ((F.col("t") <= F.col("p")) & (F.col("p") - F.col("t") <= width))
-    same = F.col("bucket") == F.col("p_bucket")
-    for k in keys:
-        same &= F.col(f"d_{k}") == F.col(k)
-    met = asked.join(own, same & near, "left")
-    order = F.struct(F.abs(F.col("p") - F.col("t")), F.col("t"))
-    best = met.groupBy(*probes.columns).agg(F.min_by(F.struct("found_time", F.col("found").alias(value)), order).alias("best"))
-    return best.select(*probes.columns, "best.found_time", F.col("best")[value].alias(value))
+    names = ("asof_t", "asof_bucket", "asof_time", "asof_value", "asof_p", "asof_own", "asof_times", "asof_best")
+    t, bucket, found_time, found, p, own, many, best = (free(n, probes, data) for n in names)
+    k_of = {k: free(f"asof_{k}", probes, data) for k in keys}
+    rows = data.select(*[F.col(k).alias(n) for k, n in k_of.items()], F.col(time).alias(found_time), F.col(value).alias(found), seconds(time).alias(t))
+    rows = rows.withColumn(bucket, F.explode(F.array(*[F.floor(F.col(t) / width) + d for d in reach])))
+    asked = probes.groupBy(*probes.columns).agg(F.count("*").alias(many)).withColumn(p, seconds(at)).withColumn(own, F.floor(F.col(p) / width))
+    near = (F.abs(F.col(p) - F.col(t)) <= width) if nearest else ((F.col(t) <= F.col(p)) & (F.col(p) - F.col(t) <= width))
+    same = F.col(bucket) == F.col(own)
+    for k, n in k_of.items():
+        same &= F.col(n) == F.col(k)
+    met = asked.join(rows, same & near, "left")
+    order = F.struct(F.negative(F.abs(F.col(p) - F.col(t))), F.negative(F.col(t)), F.col(found))
+    chosen = met.groupBy(*probes.columns, many).agg(F.max_by(F.struct(F.col(found_time).alias("time"), F.col(found).alias("value")), order).alias(best))
+    again = chosen.withColumn(own, F.explode(F.sequence(F.lit(1).cast("long"), F.col(many))))
+    return again.select(*probes.columns, F.col(best)["time"].alias("found_time"), F.col(best)["value"].alias(value))
 
 
 def align(series: DataFrame, sections: DataFrame, tag: str = "tag") -> DataFrame:
     """A row for every section at every time that any section has; NULL where it has none."""
-    times = series.select("time").distinct().withColumn("all", F.lit(1))
-    every = times.join(F.broadcast(sections.select(tag).distinct().withColumn("all", F.lit(1))), "all").drop("all")
+    every = every_pair(series.select("time").distinct(), sections.select(tag).distinct())
     return every.join(series.select("time", tag, "value"), ["time", tag], "left")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydroloom.model import NO_DATA, nothing
+from hydroloom.operators.masks import small
 
 
 def rename_or_drop(grid: DataFrame, names: Mapping[str, str]) -> DataFrame:
@@ -34,7 +35,7 @@ def rename_by_tag(name: Column, names: Mapping[str, str], sep: str = ":") -> Col
 
 
 def priority_order(frame: DataFrame, first: Sequence[str], name: str = "var") -> DataFrame:
-    """`frame` with `place`: listed names first in the list's order, the others by name."""
+    """`frame` with `place`: listed names first in the list's order, the others by name (one task: a row a name)."""
     listed = F.array_position(F.array(*[F.lit(x) for x in first]), F.col(name))
     return frame.withColumn("place", F.row_number().over(Window.orderBy(F.when(listed > 0, listed).otherwise(len(first) + 1), name)))
 
@@ -47,10 +48,10 @@ def wrap_longitude(grid: DataFrame) -> DataFrame:
 
 
 def orient(grid: DataFrame) -> DataFrame:
-    """Rows from north to south and columns from west to east, numbered by the distinct coordinates."""
+    """Rows from north to south and columns from west to east, numbered by the distinct coordinates (an axis is sorted in one task)."""
     rows = grid.select("lat").distinct().select("lat", (F.row_number().over(Window.orderBy(F.desc("lat"))) - 1).cast("int").alias("row"))
     cols = grid.select("lon").distinct().select("lon", (F.row_number().over(Window.orderBy("lon")) - 1).cast("int").alias("col"))
-    return grid.drop("row", "col").join(F.broadcast(rows), "lat").join(F.broadcast(cols), "lon").select(*grid.columns)
+    return grid.drop("row", "col").join(small(rows), "lat").join(small(cols), "lon").select(*grid.columns)
 
 
 def flip_rows(grid: DataFrame, rows: int) -> DataFrame:
@@ -72,22 +73,58 @@ def narrow_types(grid: DataFrame) -> DataFrame:
     return box.select("var", "least", "most", kind.otherwise("int64").alias("kind"))
 
 
+def exact_percentiles(grid: DataFrame, shares: Sequence[float], accuracy: int = 10_000) -> DataFrame:
+    """(var, ends, least, most): each variable's interpolated percentiles, none for a variable without values.
+
+    Two passes: a sketch of bounded size gives values between which a percentile lies; then the
+    rows below are counted, and only the counts of the distinct values between (some 4 in
+    `accuracy` of the rows, if they all differ) are put in order.
+    """
+    values = grid.filter(~nothing(F.col("value"))).select(F.col("var").alias("of"), F.col("value").alias("v"))
+    wide = 2 / accuracy
+    marks = [x for s in shares for x in (max(0.0, s - wide), min(1.0, s + wide))]
+    first = values.groupBy("of").agg(F.percentile_approx("v", marks, accuracy).alias("marks"), F.min("v").alias("least"), F.max("v").alias("most"), F.count("*").alias("n"))
+    # a row a variable
+    first = F.broadcast(first.select(F.col("of").alias("name"), "marks", "least", "most", "n"))
+    met = values.join(first, F.col("of") == F.col("name"))
+    low, high = (lambda i: F.col("marks")[2 * i]), (lambda i: F.col("marks")[2 * i + 1])
+    around = [x for i in range(len(shares)) for x in (F.count_if(F.col("v") < low(i)).alias(f"below{i}"), F.max(F.when(F.col("v") < low(i), F.col("v"))).alias(f"before{i}"), F.min(F.when(F.col("v") > high(i), F.col("v"))).alias(f"after{i}"))]
+    sides = met.groupBy("of", "least", "most", "n").agg(*around)
+    inside = F.filter(F.array(*[F.when(F.col("v").between(low(i), high(i)), F.lit(i)) for i in range(len(shares))]), lambda x: x.isNotNull())
+    counts = met.select("of", "v", F.explode(inside).alias("i")).groupBy("of", "i", "v").agg(F.count("*").alias("held"))
+    until = counts.withColumn("until", F.sum("held").over(Window.partitionBy("of", "i").orderBy("v")))
+    ranked = until.join(F.broadcast(sides), "of")
+    below = F.coalesce(*[F.when(F.col("i") == i, F.col(f"below{i}")) for i in range(len(shares))])
+    at = F.coalesce(*[F.when(F.col("i") == i, F.lit(float(s))) for i, s in enumerate(shares)]) * (F.col("n") - 1)
+    picks = []
+    for name, rank in (("lower", F.floor(at)), ("upper", F.ceil(at))):
+        picks.append(F.min(F.when(F.col("below") + F.col("until") > rank, F.col("v"))).alias(name))
+    ranked = ranked.withColumn("below", below).withColumn("at", at)
+    sums = ranked.groupBy("of", "i", "at", "below").agg(*picks)
+    ends = sums.join(F.broadcast(sides.drop("n", "least", "most")), "of")
+    side = lambda kind: F.coalesce(*[F.when(F.col("i") == i, F.col(f"{kind}{i}")) for i in range(len(shares))])
+    low_value = F.when(F.floor("at") < F.col("below"), side("before")).otherwise(F.coalesce("lower", side("after")))
+    high_value = F.when(F.ceil("at") < F.col("below"), side("before")).otherwise(F.coalesce("upper", side("after")))
+    end = low_value + (high_value - low_value) * (F.col("at") - F.floor("at"))
+    listed = ends.select("of", "i", end.alias("end")).groupBy("of").agg(F.sort_array(F.collect_list(F.struct("i", "end"))).alias("ends"))
+    return listed.join(sides.select("of", "least", "most"), "of").select(F.col("of").alias("var"), F.col("ends.end").alias("ends"), "least", "most")
+
+
 def percentile_stretch(grid: DataFrame, low: float = 0.02, high: float = 0.98, accuracy: int | None = None) -> DataFrame:
     """Values clipped to each variable's percentiles and scaled to 0..1; a variable of one value uses its ends.
 
-    Percentiles are exact and interpolated; with `accuracy` Spark's sketch is used instead,
-    which stays small for any number of distinct values.
+    Percentiles are exact and interpolated (see `exact_percentiles`); with `accuracy` Spark's
+    sketch is used alone.
     """
-    value = F.when(~nothing(F.col("value")), F.col("value"))
     if accuracy is None:
-        ends = F.percentile(value, F.array(F.lit(low), F.lit(high)))
+        box = exact_percentiles(grid, (low, high)).withColumnRenamed("var", "of")
     else:
-        ends = F.percentile_approx(value, [low, high], accuracy)
-    box = grid.groupBy(F.col("var").alias("of")).agg(ends.alias("ends"), F.min(value).alias("least"), F.max(value).alias("most"))
+        value = F.when(~nothing(F.col("value")), F.col("value"))
+        box = grid.groupBy(F.col("var").alias("of")).agg(F.percentile_approx(value, [low, high], accuracy).alias("ends"), F.min(value).alias("least"), F.max(value).alias("most"))
     flat = F.col("ends")[0] >= F.col("ends")[1]
     box = box.select("of", F.when(flat, F.col("least")).otherwise(F.col("ends")[0]).alias("vmin"), F.when(flat, F.col("most")).otherwise(F.col("ends")[1]).alias("vmax"))
     clipped = F.when(~nothing(F.col("value")), F.least(F.greatest("value", "vmin"), F.col("vmax")))
-    return grid.join(F.broadcast(box), F.col("var") == F.col("of")).withColumn("stretched", F.try_divide(clipped - F.col("vmin"), F.col("vmax") - F.col("vmin"))).drop("of")
+    return grid.join(F.broadcast(box), F.col("var") == F.col("of"), "left").withColumn("stretched", F.try_divide(clipped - F.col("vmin"), F.col("vmax") - F.col("vmin"))).drop("of")
 
 
 def river_cells(ref: DataFrame, mark: float = 1.0, tolerance: float = 1e-6) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydroloom.model import NO_DATA, nothing
-from hydroloom.operators.masks import mask_by_ref, small
+from hydroloom.operators.masks import every_pair, mask_by_ref, small
 
 #: Fixed value: radius of the sphere in m; distances are chords, the search radius is exclusive.
 EARTH = 6_370_997.0
@@ -43,42 +43,51 @@ def neighbours(sources: DataFrame, targets: DataFrame, radius: float = 18_000.0,
     return met.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= most).select("src_row", "src_col", "row", "col", F.sqrt("d2").alias("dist"), "rank")
 
 
-def interpolate(grid: DataFrame, ref: DataFrame, method: str = "nn", radius: float = 18_000.0, most: int = 8, table: DataFrame | None = None) -> DataFrame:
+def interpolate(grid: DataFrame, ref: DataFrame, method: str = "nn", radius: float = 18_000.0, most: int = 8, table: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
     """`grid` on the cells of `ref`: nearest value, or means weighted by 1/d² (idw) or exp(-d²/σ²) (gauss).
 
     Cells without a source within the radius, and with idw or gauss cells all of whose sources
     are NULL, have no row (see `complete`).  A source at distance 0 decides alone in idw.
+    table: neighbours found before; cells: the source cells (row, col, lat, lon), if known, so
+    that the field is not read for them.
+
+    The weights go to the field with the targets' coordinates in them, and only sums by target
+    and time are shuffled.
     """
-    table = neighbours(grid.select("row", "col", "lat", "lon").distinct(), ref, radius, 1 if method == "nn" else most) if table is None else table
+    if method not in ("nn", "idw", "gauss"):
+        raise ValueError(method)
+    if table is None:
+        cells = grid.select("row", "col", "lat", "lon").distinct() if cells is None else cells
+        table = neighbours(cells, ref, radius, 1 if method == "nn" else most)
     if method == "nn":
         table = table.filter("rank = 1")
+    table = table.join(small(ref.select("row", "col", "lat", "lon"), ref), ["row", "col"])
     values = grid.select("var", "time", F.col("row").alias("src_row"), F.col("col").alias("src_col"), "value")
-    met = values.join(table, ["src_row", "src_col"])
+    # a reference cell has at most `most` weights
+    met = values.join(small(table, ref, 1 if method == "nn" else most), ["src_row", "src_col"])
     if method == "nn":
-        out = met.select("var", "time", "row", "col", "value")
+        out = met
     else:
         d2 = F.col("dist") * F.col("dist")
         weight = F.when(d2 > 0, 1 / d2) if method == "idw" else F.exp(-d2 / (SIGMA * SIGMA))
-        if method not in ("idw", "gauss"):
-            raise ValueError(method)
-        sums = met.filter(~nothing(F.col("value"))).groupBy("var", "time", "row", "col").agg(F.max(F.when(d2 == 0, F.col("value"))).alias("hit"), F.sum(weight * F.col("value")).alias("wv"), F.sum(weight).alias("w"))
+        sums = met.filter(~nothing(F.col("value"))).groupBy("var", "time", "row", "col", "lat", "lon").agg(F.max(F.when(d2 == 0, F.col("value"))).alias("hit"), F.sum(weight * F.col("value")).alias("wv"), F.sum(weight).alias("w"))
         mean = F.try_divide("wv", "w")
-        out = sums.select("var", "time", "row", "col", (F.coalesce("hit", mean) if method == "idw" else mean).alias("value"))
-    places = ref.select("row", "col", "lat", "lon")
-    return out.join(small(places), ["row", "col"]).select("var", "time", "row", "col", "lat", "lon", "value")
+        out = sums.withColumn("value", F.coalesce("hit", mean) if method == "idw" else mean)
+    return out.select("var", "time", "row", "col", "lat", "lon", "value")
 
 
 def complete(grid: DataFrame, ref: DataFrame, fill: float | None = None) -> DataFrame:
     """`grid` with a row for every cell of `ref` in each of its (var, time): the dense field, `fill` where there was none."""
-    steps = grid.select("var", "time").distinct()
-    cells = ref.select("row", "col", "lat", "lon")
-    dense = steps.withColumn("all", F.lit(1)).join(small(cells.withColumn("all", F.lit(1))), "all").drop("all")
+    dense = every_pair(grid.select("var", "time").distinct(), ref.select("row", "col", "lat", "lon"))
     return dense.join(grid.drop("lat", "lon"), ["var", "time", "row", "col"], "left").withColumn("value", F.coalesce("value", F.lit(fill).cast("double"))).select("var", "time", "row", "col", "lat", "lon", "value")
 
 
-def merge_by_ref(sources: list[DataFrame], ref: DataFrame, method: str = "nn", radius: float = 18_000.0, most: int = 8, ref_no_data: float = NO_DATA, var_no_data: float = NO_DATA) -> DataFrame:
-    """Tiles on the reference grid: each is regridded, and of several values the last source's counts; then the terrain's mask."""
-    placed = [interpolate(s, ref, method, radius, most).filter(~nothing(F.col("value"))).withColumn("src", F.lit(i)) for i, s in enumerate(sources)]
+def merge_by_ref(sources: list[DataFrame], ref: DataFrame, method: str = "nn", radius: float = 18_000.0, most: int = 8, ref_no_data: float = NO_DATA, var_no_data: float | None = NO_DATA, table: DataFrame | None = None) -> DataFrame:
+    """Tiles on the reference grid: each is regridded, and of several values the last source's counts; then the terrain's mask.
+
+    table: neighbours found before, for tiles that share their cells.
+    """
+    placed = [interpolate(s, ref, method, radius, most, table).filter(~nothing(F.col("value"))).withColumn("src", F.lit(i)) for i, s in enumerate(sources)]
     every = reduce(DataFrame.unionByName, placed)
     last = every.groupBy("var", "time", "row", "col").agg(F.max_by("value", "src").alias("value"), F.first("lat").alias("lat"), F.first("lon").alias("lon"))
     return mask_by_ref(last.select("var", "time", "row", "col", "lat", "lon", "value"), ref, ref_no_data, var_no_data)
@@ -120,6 +129,21 @@ def support_mask(cells: DataFrame, half: int = 1) -> DataFrame:
     return cells.select(F.explode(steps).alias("d"), "row", "col").select((F.col("row") + F.col("d.i")).alias("row"), (F.col("col") + F.col("d.j")).alias("col")).distinct()
 
 
+def resample_supported(points: DataFrame, target: DataFrame, radius: float, least: int = 1, most: int = 8, kernel: str = "box", half: int = 1) -> DataFrame:
+    """`resample_points` with NULL where no point is near: support is where a resample within a fifth of the radius has a value that isn't 0.
+
+    kernel: box spreads support over `half` cells to each side; gaussian (deviation `half`
+    cells) over four times as many, beyond which its weights are left out.  Cells whose kernel
+    has no support in it have none.
+    """
+    if kernel not in ("box", "gaussian"):
+        raise ValueError(f"no kernel: {kernel!r}")
+    near = resample_points(points, target, radius / 5, least, most).filter("value != 0")
+    there = support_mask(near.select("row", "col"), half if kernel == "box" else 4 * half).withColumn("supported", F.lit(True))
+    wide = resample_points(points, target, radius, least, most)
+    return wide.join(there, ["row", "col"], "left").withColumn("value", F.when(F.col("supported"), F.col("value"))).drop("supported")
+
+
 def warp(grid: DataFrame, step: float, spark) -> DataFrame:
     """`grid` at another resolution over the same box, by nearest cell."""
     box = grid.agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
@@ -135,13 +159,14 @@ def sample_at(points: DataFrame, ref: DataFrame, west: float, north: float, step
     inside = row.between(0, rows - 1) & col.between(0, cols - 1)
     at = points.withColumn("row", F.when(inside, row)).withColumn("col", F.when(inside, col))
     cells = ref.select("row", "col", F.when(F.col("ref_value") != NO_DATA, F.col("ref_value")).alias("sampled"))
-    return at.join(small(cells), ["row", "col"], "left")
+    return at.join(small(cells, ref), ["row", "col"], "left")
 
 
 def snap_to_ref(grid: DataFrame, ref: DataFrame) -> DataFrame:
     """`grid` with the coordinates of `ref`'s cells; `moved` says whether they differed by more than a tenth of the spacing.
 
-    The spacing is the larger of the median steps of the reference's latitudes and longitudes.
+    The spacing is the larger of the median steps of the reference's latitudes and longitudes
+    (an axis is sorted in one task).
     """
     steps = []
     for axis in ("lat", "lon"):
@@ -149,6 +174,6 @@ def snap_to_ref(grid: DataFrame, ref: DataFrame) -> DataFrame:
         steps.append(line.select(F.abs(F.col(axis) - F.lag(axis).over(Window.orderBy(axis))).alias("d")).agg(F.median("d")).first()[0] or 0.0)
     tolerance = max(steps) / 10
     cells = ref.select("row", "col", F.col("lat").alias("ref_lat"), F.col("lon").alias("ref_lon"))
-    joined = grid.join(small(cells), ["row", "col"])
+    joined = grid.join(small(cells, ref), ["row", "col"])
     moved = (F.abs(F.col("lat") - F.col("ref_lat")) > tolerance) | (F.abs(F.col("lon") - F.col("ref_lon")) > tolerance)
     return joined.withColumn("moved", moved).withColumn("lat", F.col("ref_lat")).withColumn("lon", F.col("ref_lon")).drop("ref_lat", "ref_lon")
