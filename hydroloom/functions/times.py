@@ -77,6 +77,172 @@ def ensure_range(start: datetime, end: datetime, step: timedelta, reference: str
     return (start, start + step) if reference == "start" else (end - step, end)
 
 
+def floor_to(time: Column, freq: str) -> Column:
+    """The last multiple of a frequency of a day at most, counted from midnight; calendar units and weeks from their start."""
+    n, unit = frequency(freq)
+    if unit in ("month", "year"):
+        return floor_time(time, unit)
+    width = n * UNITS[unit]
+    if width > 86_400 or 86_400 % width:
+        raise ValueError(f"{freq!r} does not divide a day")
+    past = F.hour(time) * 3600 + F.minute(time) * 60 + F.floor(F.second(time))
+    return floor_time(time, "day") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (past - past % width).cast("decimal(18,6)"))
+
+
+def shift(time: Column, steps: Column | int, freq: str) -> Column:
+    """`steps` steps later (earlier if negative)."""
+    n, unit = frequency(freq)
+    count = steps if isinstance(steps, Column) else F.lit(steps)
+    if unit in ("month", "year"):
+        return F.add_months(time, (count * n * (12 if unit == "year" else 1)).cast("int")).cast("timestamp_ntz") + (time - floor_time(time, "day"))
+    return time + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (count * n * UNITS[unit]).cast("decimal(18,6)"))
+
+
+def _span(start: Column, end: Column) -> Column:
+    """Seconds from start to end."""
+    return (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / F.lit(1_000_000.0)
+
+
+def _later(time: Column, by: Column) -> Column:
+    return time + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), by.cast("decimal(18,6)"))
+
+
+#: What is done with a window that is too short, and with one that is too long.
+WHEN_SHORT = ("backward", "forward", "both", "keep")
+WHEN_LONG = ("keep", "shrink-backward", "shrink-forward", "shrink-both")
+
+
+def ensure_window(start: Column, end: Column, freq: str, when_short: str = "forward", when_long: str = "keep") -> tuple[Column, Column]:
+    """A window made as long as the frequency if it is shorter (when_short) or longer (when_long).
+
+    backward and shrink-backward move the start, forward and shrink-forward the end; both and
+    shrink-both move both around the middle; keep leaves the window.
+    """
+    if when_short not in WHEN_SHORT or when_long not in WHEN_LONG:
+        raise ValueError(f"no such mode: {when_short!r}, {when_long!r}")
+    width = F.lit(float(seconds(freq)))
+    have = _span(start, end)
+    early, late = start, end
+    for off, mode in ((have < width, when_short), (have > width, when_long.removeprefix("shrink-"))):
+        if mode == "backward":
+            early = F.when(off, _later(end, -width)).otherwise(early)
+        elif mode == "forward":
+            late = F.when(off, _later(start, width)).otherwise(late)
+        elif mode == "both":
+            half = (have - width) / 2
+            early = F.when(off, _later(start, half)).otherwise(early)
+            late = F.when(off, _later(start, half + width)).otherwise(late)
+    return early, late
+
+
+def select_range(start: Column | None = None, end: Column | None = None, period: int | None = 1, freq: str = "h", rounding: str = "h", ensure: bool = False) -> Column:
+    """Array of times by whichever ends are given, each floored to `rounding`.
+
+    Both: from start to end, and only the end if they are less than a step apart (with
+    `ensure` the end moves a step from the start instead); a start after the end raises.  One:
+    `period` steps up to the end, or on from the start.
+    """
+    if start is None and end is None:
+        raise ValueError("neither start nor end")
+    if start is not None and end is not None:
+        fine = F.when(start > end, F.raise_error(F.lit("start is after end")).cast("timestamp_ntz")).otherwise(start)
+        brief = _span(fine, end) < seconds(freq)
+        low, high = ensure_window(fine, end, freq) if ensure else (F.when(brief, end).otherwise(fine), end)
+        return time_range(floor_to(low, rounding), floor_to(high, rounding), freq)
+    if period is None:
+        raise ValueError("no period")
+    if start is None:
+        high = floor_to(end, rounding)
+        return time_range(shift(high, 1 - period, freq), high, freq)
+    low = floor_to(start, rounding)
+    return time_range(low, shift(low, period - 1, freq), freq)
+
+
+def expected_times(reference: Column, period: int | None = None, freq: str = "h", direction: str = "forward", normalize: bool = False) -> Column:
+    """Array of the times that a reference asks for: `period` steps on from it, back to it, or itself (single); NULL without a period.
+
+    normalize: the first time given (the reference) is set to midnight.
+    """
+    if direction not in ("forward", "backward", "single"):
+        raise ValueError(f"no direction: {direction!r}")
+    at = floor_time(reference, "day") if normalize else reference
+    if direction == "single":
+        return F.array(at)
+    if period is None:
+        return F.lit(None).cast("array<timestamp_ntz>")
+    if period <= 0:
+        raise ValueError("the period is not positive")
+    ends = (at, shift(at, period - 1, freq)) if direction == "forward" else (shift(at, 1 - period, freq), at)
+    return time_range(*ends, freq)
+
+
+def flatten_start(start: Column, mode: str = "midnight", hour: int | None = None, run: Column | None = None, date: Column | None = None, rounding: str | None = None) -> Column:
+    """The start moved back to midnight, noon or an hour; or set to the run (floored to `rounding`), or to a date at the hour (default: its own)."""
+    day = floor_time(start, "day")
+    if mode == "midnight":
+        return day
+    if mode in ("noon", "hour"):
+        at = shift(day, _hour(mode, hour), "h")
+        return F.when(at > start, shift(at, -1, "d")).otherwise(at)
+    if mode == "time_run" and run is not None:
+        return run if rounding is None else floor_to(run, rounding)
+    return _custom(mode, date, start, hour)
+
+
+def flatten_end(end: Column, mode: str = "midnight", hour: int | None = None, date: Column | None = None) -> Column:
+    """The end moved on to the next day's midnight, to noon or an hour at or after it; or set to a date at the hour (default: its own)."""
+    day = floor_time(end, "day")
+    if mode == "midnight":
+        return shift(day, 1, "d")
+    if mode in ("noon", "hour"):
+        at = shift(day, _hour(mode, hour), "h")
+        return F.when(at < end, shift(at, 1, "d")).otherwise(at)
+    return _custom(mode, date, end, hour)
+
+
+def _hour(mode: str, hour: int | None) -> int:
+    if mode == "hour" and hour is None:
+        raise ValueError("mode hour needs an hour")
+    return 12 if mode == "noon" else int(hour)
+
+
+def _custom(mode: str, date: Column | None, old: Column, hour: int | None) -> Column:
+    if mode != "custom_date" or date is None:
+        raise ValueError(f"mode {mode!r} is unknown or lacks its date or run")
+    return shift(floor_time(date.cast("timestamp_ntz"), "day"), F.hour(old) if hour is None else hour, "h")
+
+
+def moved_window(start: Column, end: Column, new_start: Column | None = None, new_end: Column | None = None, keep: bool = True) -> tuple[Column, Column]:
+    """The window after one end moved: the other is kept, or moves as far, so that the length is kept."""
+    if new_start is not None:
+        return new_start, end if keep else _later(end, _span(start, new_start))
+    return (start if keep else _later(start, _span(end, new_end))), new_end
+
+
+def time_signature(time: Column, pattern: str, steps: Column | int = 1) -> Column:
+    """A time as a path's pattern shows it: units that it does not name (below the first that it names) are at their start.
+
+    A path without a year shows 28 February for the 29th if a step spans more than one
+    (parameters that recur each year).  Seconds count only with `%s`.  `{tags}` don't count.
+    """
+    bare = re.sub(r"\{[^}]*\}", "", pattern)
+    count = steps if isinstance(steps, Column) else F.lit(steps)
+    if "%Y" not in bare:
+        leap = (F.month(time) == 2) & (F.dayofmonth(time) == 29) & (count > 1)
+        time = F.when(leap, shift(time, -1, "d")).otherwise(time)
+    unit = None
+    for mark, name in (("%s", "minute"), ("%M", "hour"), ("%H", "day"), ("%d", "month"), ("%m", "year")):
+        if mark in bare:
+            break
+        unit = name
+    return time if unit is None else floor_time(time, unit)
+
+
+def select_run(given: Column, from_file: Column, rounding: str = "h") -> Column:
+    """The run's time: as given, else from the settings, floored."""
+    return floor_to(F.coalesce(given, from_file), rounding)
+
+
 def window_of_run(run: datetime, period: int, freq: str, count_ends: bool = False) -> dict[str, datetime | int]:
     """Start, end, restart and step of a run: `period` steps from the run, its end included only with `count_ends`."""
     step = timedelta(seconds=seconds(freq))

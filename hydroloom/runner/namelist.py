@@ -15,14 +15,18 @@ from hydroloom.functions.strings import fortran_text
 def build_updates(template: DataFrame, overrides: DataFrame) -> DataFrame:
     """(param, value, kind): by_value where the key is the parameter, by_pattern where the parameter contains the key.
 
-    by_value wins; of several patterns the first by key does.  Overrides are a user's few
-    rows and are broadcast.
+    by_value wins; of several patterns the first by key does.  A parameter meets patterns by
+    its substrings of the patterns' lengths, an equi-join.
     """
     active = overrides.filter(F.coalesce("active", F.lit(True)))
     exact = active.filter("kind = 'by_value'").select(F.col("key").alias("param"), F.col("value").alias("exact"))
     pattern = active.filter("kind = 'by_pattern'").select("key", F.col("value").alias("like"))
     params = template.select("param").distinct()
-    matched = params.join(F.broadcast(pattern), F.contains(F.col("param"), F.col("key"))).groupBy("param").agg(F.min_by("like", "key").alias("like"))
+    lengths = pattern.agg(F.collect_set(F.length("key")).alias("lengths"))
+    parts = params.join(F.broadcast(lengths)).select("param", F.explode(F.filter("lengths", lambda n: n <= F.length("param"))).alias("n"))
+    starts = parts.withColumn("at", F.explode(F.sequence(F.lit(1), F.length("param") - F.col("n") + 1)))
+    pieces = starts.select("param", F.substring("param", F.col("at"), F.col("n")).alias("key")).distinct()
+    matched = pieces.join(pattern, "key").groupBy("param").agg(F.min_by("like", "key").alias("like"))
     both = exact.join(matched, "param", "full")
     return both.select("param", F.coalesce("exact", "like").alias("value"), F.when(F.col("exact").isNotNull(), "by_value").otherwise("by_pattern").alias("kind"))
 
@@ -35,11 +39,18 @@ def build_values(template: DataFrame, overrides: DataFrame) -> DataFrame:
 
 
 def validate(template: DataFrame, overrides: DataFrame) -> DataFrame:
-    """(problem, param): mandatory parameters without a value, and exact overrides of unknown parameters."""
+    """(problem, param): mandatory parameters without a value, exact overrides of unknown parameters, and of unknown sections.
+
+    Overrides may have a column `section`; where it is given the template must have it.
+    """
     missing = build_values(template, overrides).filter((F.col("mode") == "mandatory") & F.col("value").isNull()).select(F.lit("missing mandatory").alias("problem"), "param")
     known = template.select("param").distinct()
     unknown = overrides.filter("kind = 'by_value' and coalesce(active, true)").select(F.col("key").alias("param")).join(known, "param", "left_anti").select(F.lit("unknown parameter").alias("problem"), "param")
-    return missing.unionByName(unknown)
+    found = missing.unionByName(unknown)
+    if "section" in overrides.columns:
+        named = overrides.filter("section is not null and coalesce(active, true)").select("section").distinct()
+        found = found.unionByName(named.join(template.select("section").distinct(), "section", "left_anti").select(F.lit("unknown section").alias("problem"), F.col("section").alias("param")))
+    return found
 
 
 def to_text(values: DataFrame) -> DataFrame:

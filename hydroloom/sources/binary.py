@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hydroloom.operators.masks import small
 from hydroloom.sources import text
 
 #: What file name endings mean.
@@ -60,7 +61,7 @@ def read_int_cube(spark: SparkSession, path: str, rows: int, cols: int, scale: f
     if expected is None or expected == 1:
         return cube
     single = raw.select(F.col("path").alias("of"), (F.col("length") == cells * width).alias("single"))
-    spread = cube.join(F.broadcast(single), F.col("path") == F.col("of"))
+    spread = cube.join(small(single), F.col("path") == F.col("of"))
     steps = F.when(F.col("single"), F.sequence(F.lit(0), F.lit(expected - 1))).otherwise(F.array("t"))
     return spread.withColumn("t", F.explode(steps)).select("path", "row", "col", "t", "value")
 

@@ -52,21 +52,21 @@ def read_sections_data(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sections_registry(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """(pos, x, y, catchment, section, extra, tag) of the model's registry; comments (# or ;) and malformed lines are left out.
+    """(path, pos, x, y, catchment, section, extra, tag) of the model's registries; comments (# or ;) and malformed lines are left out.
 
-    strict: a malformed line raises.
+    pos counts the lines of each file, which meet in one task.  strict: a malformed line raises.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "text"))
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("n", "text"))
     text = F.trim("text")
-    kept = lines.filter((text != "") & ~text.startswith("#") & ~text.startswith(";")).select("n", F.split(text, r"\s+", 5).alias("t"))
+    kept = lines.filter((text != "") & ~text.startswith("#") & ~text.startswith(";")).select("path", "n", F.split(text, r"\s+", 5).alias("t"))
     part = lambda i: F.get(F.col("t"), F.lit(i))
-    rows = kept.select("n", part(0).try_cast("int").alias("x"), part(1).try_cast("int").alias("y"), part(2).alias("catchment"), part(3).alias("section"), part(4).alias("extra"))
+    rows = kept.select("path", "n", part(0).try_cast("int").alias("x"), part(1).try_cast("int").alias("y"), part(2).alias("catchment"), part(3).alias("section"), part(4).alias("extra"))
     good = F.col("x").isNotNull() & F.col("y").isNotNull()
     rows = rows.withColumn("x", F.when(good, F.col("x")).otherwise(F.raise_error(F.lit("malformed registry line")).cast("int"))) if strict else rows.filter(good)
     from pyspark.sql import Window
 
-    pos = (F.row_number().over(Window.orderBy("n")) - 1).cast("int")
-    return rows.select(pos.alias("pos"), "x", "y", "catchment", "section", "extra", registry_tag(F.col("catchment"), F.col("section")).alias("tag"))
+    pos = (F.row_number().over(Window.partitionBy("path").orderBy("n")) - 1).cast("int")
+    return rows.select("path", pos.alias("pos"), "x", "y", "catchment", "section", "extra", registry_tag(F.col("catchment"), F.col("section")).alias("tag"))
 
 
 def read_sections_db(spark: SparkSession, path: str, contains: dict[str, str] | None = None, columns: dict[str, str] | None = None) -> DataFrame:
@@ -107,9 +107,11 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True).select(F.explode("features").alias("feature")).select("feature.*")
 
 
-def parse_namelist(lines: DataFrame) -> DataFrame:
+def parse_namelist(lines: DataFrame, lower: bool = False) -> DataFrame:
     """(file, section, ord, param, value) from lines (file, n, text) of Fortran namelists.
 
+    Section names are as written; `lower`: in lower case.
+
     `&name` opens a section, `/` closes it, `!` begins a remark; lines outside sections and
     without `=` are left out.
     """
@@ -117,16 +119,30 @@ def parse_namelist(lines: DataFrame) -> DataFrame:
 
     text = F.trim(F.regexp_replace("text", r"!.*$", ""))
     order = Window.partitionBy("file").orderBy("n")
-    opened = F.when(text.startswith("&"), F.lower(F.substring(text, 2, 1000))).when(text == "/", "")
+    name = F.trim(F.regexp_replace(text, "^&", ""))
+    opened = F.when(text.startswith("&"), F.lower(name) if lower else name).when(text == "/", "")
     inside = lines.withColumn("section", F.last(opened, ignorenulls=True).over(order)).withColumn("clean", text)
     rows = inside.filter((F.col("section") != "") & ~F.col("clean").startswith("&") & F.col("clean").contains("="))
     parts = F.split("clean", "=", 2)
     return rows.select("file", "section", F.col("n").alias("ord"), F.trim(parts[0]).alias("param"), F.regexp_replace(F.trim(parts[1]), r",\s*$", "").alias("value"))
 
 
-def read_namelist(spark: SparkSession, path: str) -> DataFrame:
+def join_continued(lines: DataFrame) -> DataFrame:
+    """Lines (file, n, text) with those that go on (a comma or & at the end, the next without `=`) joined to one, at the first one's number."""
+    from pyspark.sql import Window
+
+    text = F.trim(F.regexp_replace("text", r"!.*$", ""))
+    order = Window.partitionBy("file").orderBy("n")
+    goes_on = F.lag(text).over(order).rlike(r"[,&]$") & ~text.contains("=") & ~text.startswith("&") & (text != "/") & (text != "")
+    begun = lines.withColumn("clean", F.regexp_replace(text, r"&$", "")).withColumn("begins", F.when(goes_on, None).otherwise(F.col("n")))
+    first = begun.withColumn("first", F.last("begins", ignorenulls=True).over(order))
+    whole = F.sort_array(F.collect_list(F.struct("n", "clean")))
+    return first.groupBy("file", F.col("first").alias("n")).agg(F.array_join(F.transform(whole, lambda x: x["clean"]), " ").alias("text"))
+
+
+def read_namelist(spark: SparkSession, path: str, lower: bool = True) -> DataFrame:
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("n", "text"))
-    return parse_namelist(whole)
+    return parse_namelist(whole, lower)
 
 
 #: Fields of the counted records of point assets, in the order of their lines.
