@@ -12,7 +12,7 @@ from hydroloom.model import NO_DATA
 from hydroloom.operators import masks, physics, series, shaping, spatial
 from hydroloom.plans import adapters, pipelines
 from hydroloom.plans.adapters import with_views
-from hydroloom.runner import namelist
+from hydroloom.runner import catalog, namelist
 from hydroloom.sources import text
 
 QUERIES: dict = {}
@@ -154,9 +154,7 @@ def merge_tiles_last_wins(spark, sf_dir):
     # both tiles share the whole grid's geometry
     tables = spatial.neighbours(g.select("row", "col", "lat", "lon").distinct(), ref, 18_000, 1)
     tiles = [g.filter(C("var") == v).withColumn("var", F.lit("field")).withColumn("value", C("value") * k) for v, k in (("click", 1), ("view", 2))]
-    placed = [spatial.interpolate(t, ref, "nn", table=tables).withColumn("src", F.lit(i)) for i, t in enumerate(tiles)]
-    last = reduce(DataFrame.unionByName, placed).groupBy("var", "time", "row", "col", "lat", "lon").agg(F.max_by("value", "src").alias("value"))
-    return masks.mask_by_ref(last, ref)
+    return spatial.merge_by_ref(tiles, ref, table=tables)
 
 
 @query(with_views("grid") + "SELECT var, time, row, col, lat, lon, coalesce(value, -9999) AS value FROM grid WHERE time IN (TIMESTAMP '2024-01-02 00:00:00', TIMESTAMP '2024-01-02 01:00:00')")
@@ -377,14 +375,14 @@ def narrow_dtype(spark, sf_dir):
 @query("SELECT event_type AS basin, max(date_trunc('day', ts)::TIMESTAMP) AS run, arg_max(user_id, row(ts, user_id)) AS section FROM events GROUP BY event_type")
 def latest_run_per_basin(spark, sf_dir):
     e = adapters.table(spark, sf_dir, "events")
-    return e.groupBy(C("event_type").alias("basin")).agg(F.max(times.floor_time(C("ts"), "day")).alias("run"), F.max_by("user_id", F.struct("ts", "user_id")).alias("section"))
+    runs = e.select(C("event_type").alias("basin"), times.floor_time(C("ts"), "day").alias("run"), F.struct("ts", "user_id").alias("section"))
+    return catalog.latest_runs(runs, last="section").select("basin", "run", C("section.user_id").alias("section"))
 
 
 @query("WITH runs AS (SELECT DISTINCT event_type AS basin, date_trunc('hour', ts) AS run FROM events) SELECT basin, arg_min(run, row(abs(epoch_us(run) - epoch_us(TIMESTAMP '2024-01-15 06:20:00')), run)) AS run FROM runs GROUP BY basin")
 def nearest_run(spark, sf_dir):
     runs = adapters.table(spark, sf_dir, "events").select(C("event_type").alias("basin"), times.floor_time(C("ts"), "hour").alias("run")).distinct()
-    apart = F.abs(F.unix_micros(C("run").cast("timestamp")) - F.unix_micros(F.lit("2024-01-15 06:20:00").cast("timestamp")))
-    return runs.groupBy("basin").agg(F.min_by("run", F.struct(apart, "run")).alias("run"))
+    return catalog.nearest_runs(runs, F.lit("2024-01-15 06:20:00"))
 
 
 def _documents(spark, sf_dir) -> DataFrame:
@@ -447,7 +445,7 @@ def namelist_parse(spark, sf_dir):
     s = adapters.sections(spark, sf_dir)
     body = s.select("region", (C("pos") + 1).alias("n"), F.concat(F.lit("  "), "name", F.lit(" = "), "pos", F.lit(",  ! key")).alias("text"))
     ends = s.select("region").distinct().select("region", F.explode(F.array(F.struct(F.lit(0).alias("n"), F.concat(F.lit("&"), "region").alias("text")), F.struct(F.lit(1000).alias("n"), F.lit("/").alias("text")))).alias("x")).select("region", "x.n", "x.text")
-    return text.parse_namelist(body.unionByName(ends).select(F.col("region").alias("file"), "n", "text")).select("section", "param", "value")
+    return text.parse_namelist(body.unionByName(ends).select(F.col("region").alias("file"), "n", "text"), lower=True).select("section", "param", "value")
 
 
 @query(with_views("grid", "moved", "weights") + "SELECT 'AirTemperature' AS var, time, w.row, w.col, m.lat, m.lon, round(CASE WHEN ref_value = -9999 THEN -9999 ELSE value / 20 END, 6) AS value FROM grid g JOIN weights w ON g.row = src_row AND g.col = src_col AND rank = 1 JOIN moved m ON m.row = w.row AND m.col = w.col WHERE var = 'click'")
@@ -456,7 +454,10 @@ def convert_temperature_pipeline(spark, sf_dir):
     g = adapters.grid(spark, sf_dir)
     ref = _moved(spark, sf_dir)
     shared = spatial.neighbours(g.select("row", "col", "lat", "lon").distinct(), ref, 18_000, 1)
-    kelvin = g.filter("var = 'click'").withColumn("var", F.lit("AirTemperature")).withColumn("value", 273.15 + C("value") / 20)
-    placed = spatial.interpolate(kelvin, ref, "nn", table=shared)
-    masked = masks.mask_by_ref(placed, ref, no_data=None)
-    return masked.withColumn("value", r6(F.coalesce(physics.to_celsius(C("value"), F.lit("K")), F.lit(NO_DATA))))
+    kelvin = g.filter("var = 'click'").withColumn("value", 273.15 + C("value") / 20)
+    steps = [("interpolate_data", {"table": shared}), ("mask_data_by_ref", {"mask_no_data": None}), ("convert_temperature_units", {"units": "K"})]
+    done = pipelines.multi_variable({"AirTemperature": kelvin}, ref, {}, steps)
+    return done.withColumn("value", r6(F.coalesce("value", F.lit(NO_DATA))))
+
+
+from hydroloom.plans import library_queries  # noqa: E402,F401  registers the queries of the library's other parts
