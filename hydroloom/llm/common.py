@@ -2,50 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hydroloom.shared import shared_folder, written
+
+__all__ = ["SPACES", "SPACE_CLASS", "free_name", "shared_folder", "table", "word_count", "written"]
+
 #: White space of the word pattern `[^\x20\x09-\x0D]+`; bytes.split() uses the same six.
 SPACES = " \t\n\x0b\f\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir.
-
-    Where it is unset, a session of one machine (tests) gets a folder of its own, removed at
-    the end; on a cluster that is an error, since executors don't share their disks.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not folder:
-        if not re.fullmatch(r"local(\[[\d*, ]+\])?", context.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it again: cuts lineage and outlives lost executors.
-
-    The folder goes when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, lengthened until no column of `df` has it in any case."""
     taken = {c.lower() for c in df.columns}
