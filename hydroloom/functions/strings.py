@@ -76,3 +76,50 @@ def fortran_scalar(text: Column) -> Column:
 def fortran_text(kind: Column, value: Column) -> Column:
     """A value as a namelist writes it: strings in single quotes, booleans in dots."""
     return F.when(kind == "str", F.concat(F.lit("'"), value, F.lit("'"))).when(kind == "bool", F.concat(F.lit("."), F.lower(value), F.lit("."))).otherwise(value)
+
+
+def row_text(line: Column, mark: str = "#") -> Column:
+    """What stands before the mark in a line of an asset file, trimmed.
+
+    A line with several marks loses its digits first; one without `#` may have `%` instead.
+    """
+    many = F.length(line) - F.length(F.replace(line, F.lit(mark))) > len(mark)
+    bare = F.when(many, F.regexp_replace(line, "[0-9]", "")).otherwise(line)
+    first = F.substring_index(bare, mark, 1)
+    other = ~F.contains(bare, F.lit("#")) & F.contains(first, F.lit("%"))
+    return F.trim(F.when(other, F.substring_index(bare, "%", 1)).otherwise(first))
+
+
+#: Fixed value: significant digits that a number is taken to have at most.
+MAX_DIGITS = 14
+
+
+def precision(value: Column) -> Column:
+    """(digits, scale): significant digits of a number and those behind its point, MAX_DIGITS together at most."""
+    size = F.abs(value)
+    whole = F.floor(size)
+    before = F.when(whole == 0, 1).otherwise(F.length(whole.cast("string")))
+    room = F.greatest(F.lit(MAX_DIGITS) - before, F.lit(0))
+    # the fraction as an integer of `room` digits, its zeros at the end taken off
+    fraction = F.floor((size - whole) * F.pow(F.lit(10.0), room) + 0.5).cast("long").cast("string")
+    digits = F.rtrim(F.lpad(fraction, room.cast("int"), "0"), F.lit("0"))
+    scale = F.when(room == 0, 0).otherwise(F.length(digits))
+    return F.struct((before + scale).cast("int").alias("digits"), scale.cast("int").alias("scale"))
+
+
+def shown_with(value: Column, decimals: int = 4) -> Column:
+    """A number as it stands if it has no more decimals than asked for, else rounded to them."""
+    return F.when(precision(value)["scale"] <= decimals, value.cast("string")).otherwise(F.format_string(f"%.{decimals}f", value))
+
+
+def series_label(kind: Column, section: Column, unit: str = "m3/s") -> Column:
+    return F.concat(F.initcap(kind), F.lit(" "), section, F.lit(f" [{unit}]"))
+
+
+def shown_value(value: Column) -> Column:
+    """Three decimals, or a dash where there is no value."""
+    return F.when(value.isNull() | F.isnan(value), "-").otherwise(F.format_string("%.3f", value))
+
+
+def shortened(text: Column, most: int = 200) -> Column:
+    return F.left(text, F.lit(most))

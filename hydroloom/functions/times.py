@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What frequency names mean; `m` is a month, minutes are `min` or `t`.
@@ -274,3 +274,14 @@ def cf_encode(time: Column, epoch: str = "1970-01-01") -> Column:
 
 def cf_decode(days: Column, epoch: str = "1970-01-01") -> Column:
     return F.timestamp_micros((F.round(days * 86_400_000_000)).cast("long") + F.unix_micros(F.lit(f"{epoch} 00:00:00").cast("timestamp"))).cast("timestamp_ntz")
+
+
+def any_time(text: Column) -> Column:
+    """A time from a date in any of parse_any's formats, or from seconds since 1970 (nine or ten digits); else NULL."""
+    epoch = F.trim(text).rlike(r"^-?\d{9,10}(\.\d+)?$")
+    return F.when(epoch, F.timestamp_seconds(text.try_cast("double")).cast("timestamp_ntz")).otherwise(parse_any(F.trim(text)))
+
+
+def time_index(frame: DataFrame, column: str = "time") -> DataFrame:
+    """(time) of the texts that are times, each once; order is that of a sort by the caller."""
+    return frame.select(any_time(F.col(column).cast("string")).alias("time")).filter("time is not null").distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -34,6 +35,59 @@ def rename_by_tag(name: Column, names: Mapping[str, str], sep: str = ":") -> Col
     return out
 
 
+def rename_by_template(name: Column, names: Mapping[str, str], sep: str = ":", use_value: bool = False, case_sensitive: bool = True, allow_tagless: bool = True) -> Column:
+    """A name whose part after the last separator is a key of `names` becomes that key, or with `use_value` the key's value.
+
+    Others stay, and so do names without a separator unless `allow_tagless`.  Without
+    `case_sensitive` letters' case does not matter; of keys then alike the last counts.
+    """
+    norm = (lambda x: x) if case_sensitive else str.lower
+    tag = F.element_at(F.split(name, re.escape(sep)), -1)
+    tag = tag if case_sensitive else F.lower(tag)
+    found = {norm(key): (value if use_value else key) for key, value in names.items()}
+    out = name
+    for key, new in found.items():
+        out = F.when(tag == key, new).otherwise(out)
+    return out if allow_tagless else F.when(F.contains(name, F.lit(sep)), out).otherwise(name)
+
+
+def name_by_mapping(name: Column, mapping: str | None, use: str = "value", sep: str = ":") -> Column:
+    """The name that a mapping `key:value` gives a variable: its value, its key, or (auto) the value, else the key.
+
+    A variable with another name does not match and gives NULL; one without a name takes the
+    mapping's, and stays without if the mapping has none.  Without a mapping names stay.
+    """
+    if use not in ("value", "key", "auto"):
+        raise ValueError(f"no use of a mapping: {use!r}")
+    if mapping is None:
+        return name
+    key, _, value = (part.strip() for part in mapping.partition(sep))
+    wanted = [x for x in {"value": (value,), "key": (key,), "auto": (value, key)}[use] if x]
+    out = F.lit(None).cast("string")
+    for x in reversed(wanted):
+        out = F.when(name.isNull() | (name == x), x).otherwise(out)
+    return out
+
+
+def select_by_mapping(grid: DataFrame, mapping: str | None, use: str = "value") -> DataFrame:
+    """The rows whose variable fits the mapping, under its name (see `name_by_mapping`)."""
+    named = grid.withColumn("var", name_by_mapping(F.col("var"), mapping, use))
+    return named if mapping is None else named.filter(F.col("var").isNotNull())
+
+
+def flat_axes(grid: DataFrame) -> DataFrame:
+    """(row, col, lat, lon) with one latitude a row and one longitude a column, as regular fields have; others raise.
+
+    Sums by row and by column only; NULL coordinates raise too.
+    """
+    lat = grid.groupBy("row").agg(F.min("lat").alias("lat"), ((F.min("lat") != F.max("lat")) | (F.count("lat") < F.count("*"))).alias("bad"))
+    lon = grid.groupBy("col").agg(F.min("lon").alias("lon"), ((F.min("lon") != F.max("lon")) | (F.count("lon") < F.count("*"))).alias("bad"))
+    sure = lambda c: F.when(F.coalesce("bad", F.lit(True)), F.raise_error(F.lit("coordinates vary along both axes")).cast("double")).otherwise(F.col(c)).alias(c)
+    cells = grid.select("row", "col").distinct()
+    rows, cols = lat.select("row", sure("lat")), lon.select("col", sure("lon"))
+    return cells.join(small(rows), "row").join(small(cols), "col").select("row", "col", "lat", "lon")
+
+
 def priority_order(frame: DataFrame, first: Sequence[str], name: str = "var") -> DataFrame:
     """`frame` with `place`: listed names first in the list's order, the others by name (one task: a row a name)."""
     listed = F.array_position(F.array(*[F.lit(x) for x in first]), F.col(name))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hydroloom.functions import times
+from hydroloom.functions import strings, times
 from hydroloom.model import NO_DATA
 from hydroloom.operators import masks, series, shaping, spatial
 from hydroloom.plans import adapters, pipelines
@@ -391,3 +391,85 @@ def namelist_parse_continued(spark, sf_dir):
     ends = s.select("region").distinct().select("region", F.explode(F.array(F.struct(F.lit(0).cast("long").alias("n"), F.concat(F.lit("&"), "region").alias("text")), F.struct(F.lit(10_000).cast("long").alias("n"), F.lit("/").alias("text")))).alias("x"))
     lines = body.unionByName(ends).select(C("region").alias("file"), "x.n", "x.text")
     return text.parse_namelist(text.join_continued(lines)).select("section", "param", "value")
+
+
+# names, numbers and documents
+
+
+@query(
+    _wide()
+    + f""", fields AS (SELECT 'WIND_SPEED' AS var, time, row, col, sqrt(u * u + v * v) AS value FROM weather UNION ALL SELECT 'RH', time, row, col, {RH} FROM weather
+        UNION ALL SELECT 'INC_RAD', time - INTERVAL 30 MINUTE, row, col, base * 1000 / 3600 FROM weather)
+    SELECT var, time, w.row, w.col, m.lat, m.lon, round(CASE WHEN ref_value <> -9999 THEN value END, 6) AS value
+    FROM fields f JOIN weights w ON f.row = src_row AND f.col = src_col AND rank = 1 JOIN moved m ON m.row = w.row AND m.col = w.col"""
+)
+def ifs_forcing_pipeline(spark, sf_dir):
+    """The shipped IFS process lists: radiation from accumulated fields; the direct variables are those of ICON and left out here."""
+    inputs, ref = _icon_inputs(spark, sf_dir), _moved(spark, sf_dir)
+    base = adapters.grid(spark, sf_dir).filter("var = 'click'")
+    inputs |= {"SSRD": base.withColumn("value", C("value") * 1000), "STRD": base}
+    lists = {k: v for k, v in pipelines.IFS.items() if k not in ("AIR_T", "RAIN")}
+    cells = base.select("row", "col", "lat", "lon").distinct()
+    return pipelines.run_process_lists(inputs, ref, lists, {("nn", 22_000, 7): spatial.neighbours(cells, ref, 22_000, 1)}).withColumn("value", r6(C("value")))
+
+
+@query(
+    with_views("grid", "moved", "weights").replace("18000", "22000")
+    + """SELECT 'snow_mask' AS var, time AS nt, m.lon, m.lat, CASE WHEN ref_value <> -9999 THEN g.value END AS value
+    FROM grid g JOIN weights w ON g.row = src_row AND g.col = src_col AND rank = 1 JOIN moved m ON m.row = w.row AND m.col = w.col WHERE var = 'view'"""
+)
+def itwater_updating_pipeline(spark, sf_dir):
+    """The shipped ItWater updating list, in the layout of its sink."""
+    snow = adapters.grid(spark, sf_dir).filter("var = 'view'")
+    done = pipelines.convert("itwater_updating", {"snow_mask": snow}, _moved(spark, sf_dir), tables={("nn", 22_000, 7): spatial.neighbours(adapters.grid(spark, sf_dir).select("row", "col", "lat", "lon").distinct(), _moved(spark, sf_dir), 22_000, 1)})
+    return tables.itwater_layout(done)
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'Click' WHEN 'view' THEN 'VIEW' ELSE 'x:' || event_type END AS key, CASE event_type WHEN 'click' THEN 'a' WHEN 'view' THEN 'b' ELSE 'x:' || event_type END AS value, event_type AS tagless, CASE WHEN event_type = 'view' THEN 'view' END AS mapped FROM events")
+def names_by_template(spark, sf_dir):
+    e = C("event_type")
+    tagged, names = F.concat(F.lit("x:"), e), {"Click": "a", "VIEW": "b"}
+    kinds = {"key": shaping.rename_by_template(tagged, names, case_sensitive=False), "value": shaping.rename_by_template(tagged, names, use_value=True, case_sensitive=False), "tagless": shaping.rename_by_template(e, names, case_sensitive=False, allow_tagless=False), "mapped": shaping.name_by_mapping(e, "rain:view")}
+    return adapters.table(spark, sf_dir, "events").select("event_id", *[c.alias(n) for n, c in kinds.items()])
+
+
+@query("SELECT p_partkey, length(floor(p_retailprice)::BIGINT::VARCHAR)::INT AS before, CASE WHEN (p_retailprice * 100)::BIGINT % 100 = 0 THEN 0 WHEN (p_retailprice * 100)::BIGINT % 10 = 0 THEN 1 ELSE 2 END AS scale, printf('%.1f', p_retailprice) AS shown FROM part")
+def number_precision(spark, sf_dir):
+    p, found = C("p_retailprice"), strings.precision(C("p_retailprice"))
+    return adapters.table(spark, sf_dir, "part").select("p_partkey", (found["digits"] - found["scale"]).alias("before"), found["scale"].alias("scale"), F.format_string("%.1f", strings.shown_with(p, 1).cast("double")).alias("shown"))
+
+
+@query("SELECT s_suppkey, 'Supplier ' || s_suppkey AS text FROM supplier")
+def asset_row_text(spark, sf_dir):
+    """Lines of asset files: the text before the mark, whichever mark it is."""
+    k = C("s_suppkey")
+    line = F.concat(F.lit("  Supplier "), k, F.when(k % 3 == 0, " # name").when(k % 3 == 1, " % name").otherwise(" "))
+    return adapters.table(spark, sf_dir, "supplier").select("s_suppkey", strings.row_text(line).alias("text"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'empty' WHEN 1 THEN 'no JSON' END AS problem, o_orderkey % 4 > 1 AS valid FROM orders")
+def json_documents_checked(spark, sf_dir):
+    """Documents with remarks and commas too many are JSON; cut ones are not."""
+    k = C("o_orderkey")
+    good = F.concat(F.lit('{"a": "// no remark ,}", /* remark */ "b": ['), k.cast("string"), F.lit(", 2, ], // more\n}"))
+    doc = F.when(k % 4 == 0, " ").when(k % 4 == 1, F.concat(F.lit('{"a": '), k.cast("string"))).otherwise(good)
+    return text.checked_json(adapters.table(spark, sf_dir, "orders").select("o_orderkey", doc.alias("json"))).drop("json")
+
+
+@query("SELECT DISTINCT o_orderdate::TIMESTAMP AS time FROM orders WHERE o_orderkey % 5 > 0")
+def time_index_of_texts(spark, sf_dir):
+    """Times written in four forms, and texts that are none."""
+    k, t = C("o_orderkey"), C("o_orderdate").cast("timestamp_ntz")
+    shown = F.when(k % 5 == 0, "no time").when(k % 5 == 1, F.date_format(t, "yyyy-MM-dd HH:mm")).when(k % 5 == 2, F.date_format(t, "yyyyMMddHHmm")).when(k % 5 == 3, F.date_format(t, "yyyy-MM-dd")).otherwise(F.floor(F.unix_micros(t.cast("timestamp")) / 1_000_000).cast("string"))
+    return times.time_index(adapters.table(spark, sf_dir, "orders").select(shown.alias("time")))
+
+
+@query("SELECT DISTINCT r_name AS basin FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 3 > 0")
+def basins_of_database(spark, sf_dir):
+    s = adapters.sections(spark, sf_dir)
+    return text.basins_of(s.select(F.when(C("pos") % 3 > 0, C("region")).otherwise("").alias("BASIN")))
+
+
+@query(with_views("grid") + "SELECT DISTINCT row, col, lat, lon FROM grid")
+def regular_axes(spark, sf_dir):
+    return shaping.flat_axes(adapters.grid(spark, sf_dir))

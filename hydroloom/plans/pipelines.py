@@ -235,6 +235,35 @@ ICON = {
 }
 
 
+IFS = {k: v for k, v in ICON.items() if k != "INC_RAD"} | {
+    "SSRD": [],
+    "STRD": [],
+    "INC_RAD": [{"function": "compute_data_incoming_radiation", "deps_vars": {"ssrd": "SSRD", "strd": "STRD"}}, *_PLACE],
+}
+
+
+def _listed(wide: str, narrow: str = "") -> dict[str, list[dict]]:
+    """Variables that are only placed and masked, within 25 km or within 22 km."""
+    return {name: [*_DIRECT] for name in wide.split()} | {name: [*_PLACE] for name in narrow.split()}
+
+
+#: The variables of the other shipped conversions.
+CONVERSIONS = {
+    "icon": ICON,
+    "ifs": IFS,
+    "iwrn": _listed("LAI AIR_T", "RH SR TP WIND"),
+    "itwater_forcing": _listed("rain air_t", "rh inc_rad wind"),
+    "itwater_updating": _listed("", "snow_mask"),
+    "s3m": _listed("rain air_t", "rh inc_rad"),
+}
+
+
+def convert(name: str, inputs: Mapping[str, DataFrame], ref: DataFrame, **more) -> DataFrame:
+    """A shipped conversion: its variables on the reference grid.  Variables without an input are left out unless others need them."""
+    lists = {var: steps for var, steps in CONVERSIONS[name].items() if var in inputs or (steps and steps[0].get("deps_vars"))}
+    return run_process_lists(inputs, ref, lists, **more)
+
+
 def icon(inputs: Mapping[str, DataFrame], ref: DataFrame, **more) -> DataFrame:
     """The ICON conversion: temperature, rain, wind speed, humidity and radiation on the reference grid."""
-    return run_process_lists(inputs, ref, ICON, **more)
+    return convert("icon", inputs, ref, **more)
