@@ -7,6 +7,8 @@ by an equi-join on its own cube.  Geometry is joined once and serves all variabl
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -162,6 +164,21 @@ def sample_at(points: DataFrame, ref: DataFrame, west: float, north: float, step
     return at.join(small(cells, ref), ["row", "col"], "left")
 
 
+def sections_with_samples(database: DataFrame, fields: Mapping[str, DataFrame], west: float, north: float, step: float, rows: int, cols: int) -> DataFrame:
+    """(id, lon, lat, basin, name) and a column for each field, of database rows whose ID, LON and LAT are numbers.
+
+    A row without a name is called `Section` and its id; fields are named by the mapping's
+    keys and sampled at the cell of the section.
+    """
+    name = F.coalesce(*[F.col(c) for c in ("SEC_NAME", "NAME") if c in database.columns], F.concat(F.lit("Section "), F.col("ID").cast("string")))
+    basin = F.coalesce("BASIN", F.lit("")) if "BASIN" in database.columns else F.lit("")
+    number = lambda c, kind: F.col(c).cast("string").try_cast(kind).alias(c.lower())
+    out = database.select(number("ID", "int"), number("LON", "double"), number("LAT", "double"), basin.alias("basin"), name.alias("name")).dropna(subset=["id", "lon", "lat"])
+    for field, ref in fields.items():
+        out = sample_at(out, ref, west, north, step, rows, cols).drop("row", "col").withColumnRenamed("sampled", field)
+    return out
+
+
 def snap_to_ref(grid: DataFrame, ref: DataFrame) -> DataFrame:
     """`grid` with the coordinates of `ref`'s cells; `moved` says whether they differed by more than a tenth of the spacing.
 

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from hydroloom.functions import strings, times
 from hydroloom.model import NO_DATA
 from hydroloom.operators import masks, series, shaping, spatial
-from hydroloom.plans import adapters, pipelines
+from hydroloom.plans import adapters, mapping, pipelines
 from hydroloom.plans.adapters import SQL, with_views
 from hydroloom.plans.queries import AR, ES, LUT, POINTS, _moved, _overrides, _points, _template, query, r6
 from hydroloom.runner import catalog, namelist
-from hydroloom.shared import new_path
+from hydroloom.shared import new_path, written
 from hydroloom.sinks import tables
-from hydroloom.sources import text
+from hydroloom.sources import netcdf, text
 
 C = F.col
 
@@ -473,3 +473,80 @@ def basins_of_database(spark, sf_dir):
 @query(with_views("grid") + "SELECT DISTINCT row, col, lat, lon FROM grid")
 def regular_axes(spark, sf_dir):
     return shaping.flat_axes(adapters.grid(spark, sf_dir))
+
+
+# classic NetCDF, sections with samples, the tag mapper, templates by version
+
+
+@query(with_views("grid") + "SELECT var, time, lat, lon, value FROM grid WHERE value IS NOT NULL")
+def scan_netcdf_classic(spark, sf_dir):
+    """The field encoded as a classic NetCDF file a step, and decoded again; cells between are no-data."""
+    files = written(netcdf.encode(adapters.grid(spark, sf_dir)), "netcdf").select(C("time").cast("string").alias("path"), "content")
+    return netcdf.decode(files).filter("value is not null").select("var", "time", r6(C("lat")).alias("lat"), r6(C("lon")).alias("lon"), "value")
+
+
+@query(
+    with_views("ref")
+    + """, p AS (SELECT c_custkey AS id, 10.0::DOUBLE + (c_custkey % 149) / 100.0::DOUBLE AS lon, 46.0::DOUBLE - (c_custkey % 977) / 100.0::DOUBLE AS lat, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS basin,
+        CASE WHEN c_custkey % 5 = 0 THEN 'Section ' || c_custkey ELSE c_name END AS name FROM customer WHERE c_custkey % 7 <> 0)
+    SELECT id::INT AS id, p.lon, p.lat, basin, name, CASE WHEN ref_value <> -9999 THEN ref_value END AS dem_z, CASE WHEN ref_value <> -9999 THEN (r.row % 3)::DOUBLE END AS river_code
+    FROM p LEFT JOIN ref r ON r.row = floor((46.05::DOUBLE - p.lat) / 0.1)::INT AND r.col = floor((p.lon - 9.95) / 0.1)::INT AND r.row BETWEEN 0 AND 99 AND r.col BETWEEN 0 AND 14"""
+)
+def sections_sampled_twice(spark, sf_dir):
+    """Sections of a database, some with a bad number, with the terrain and the river code of their cells."""
+    k, ref = C("c_custkey"), adapters.ref(spark, sf_dir)
+    db = adapters.table(spark, sf_dir, "customer").select(F.when(k % 7 == 0, "none").otherwise(k.cast("string")).alias("ID"), (10.0 + (k % 149) / 100.0).alias("LON"), (46.0 - (k % 977) / 100.0).alias("LAT"), F.when(k % 3 != 0, C("c_mktsegment")).alias("BASIN"), F.when(k % 5 != 0, C("c_name")).alias("SEC_NAME"))
+    river = ref.withColumn("ref_value", F.when(C("ref_value") == NO_DATA, NO_DATA).otherwise((C("row") % 3).cast("double")))
+    return spatial.sections_with_samples(db, {"dem_z": ref, "river_code": river}, 9.95, 46.05, 0.1, 100, 15)
+
+
+def _sides(spark, sf_dir):
+    """Customers as labels of collections by nation, in parts of a few; the out side lacks every fifth nation."""
+    k, c = C("c_custkey"), adapters.table(spark, sf_dir, "customer")
+    base = c.select(C("c_nationkey").alias("collection"), F.floor(k / 50).alias("part"), C("c_name").alias("label"), k.alias("k"))
+    items = base.filter("k % 4 <> 0").select("collection", "part", F.concat(F.lit("in"), C("k")).alias("item"), F.concat(F.lit("w"), C("k") % 3).alias("value"))
+    shown = base.filter("collection % 5 <> 0")
+    return (base.select("collection", "part", "label"), items), (shown.select("collection", "part", "label"), shown.select("collection", "part", F.concat(F.lit("w"), C("k") % 4).alias("item"), F.concat(F.lit("out"), C("k")).alias("value")))
+
+
+MAPPED = """WITH base AS (SELECT c_nationkey AS collection, c_custkey // 50 AS part, c_name AS label, c_custkey AS k FROM customer),
+    labels AS (SELECT collection, part, label, row_number() OVER (PARTITION BY collection, part ORDER BY label) AS place FROM base WHERE collection % 5 <> 0),
+    ins AS (SELECT collection, part, 'in' || k AS item, 'w' || k % 3 AS workflow, row_number() OVER (PARTITION BY collection, part ORDER BY 'in' || k) AS place FROM base WHERE k % 4 <> 0),
+    outs AS (SELECT collection, part, 'w' || k % 4 AS workflow, 'out' || k AS out, row_number() OVER (PARTITION BY collection, part ORDER BY 'w' || k % 4, 'out' || k) AS place FROM base),
+    source AS (SELECT label, item, workflow FROM labels JOIN ins USING (collection, part, place)), target AS (SELECT label, workflow, out FROM labels JOIN outs USING (collection, part, place)),
+    mapped AS (SELECT s.label AS tag, item AS "in", s.workflow, out, s.label || ':' || s.workflow AS reference FROM source s LEFT JOIN target t ON s.label = t.label AND s.workflow = t.workflow)
+    """
+
+
+@query(MAPPED + "SELECT * FROM mapped")
+def tag_mapping_rows(spark, sf_dir):
+    return mapping.mapped_rows(*_sides(spark, sf_dir))
+
+
+@query(MAPPED + """SELECT *, (dense_rank() OVER (ORDER BY CASE "in" WHEN 'in9' THEN 1 WHEN 'in5' THEN 2 ELSE 3 END, "in"))::INT AS rank FROM mapped WHERE workflow = 'w1'""")
+def tag_mapping_by_priority(spark, sf_dir):
+    return mapping.by_priority(mapping.pairs(mapping.mapped_rows(*_sides(spark, sf_dir)), "w1"), ["in9", "in5"])
+
+
+@query(
+    """WITH l AS (SELECT p_partkey, 'par' || p_partkey AS variable FROM part)
+    SELECT variable, 'paired' AS state, variable || ':' || CASE WHEN p_partkey % 5 = 0 THEN variable ELSE 'w' || p_partkey % 9 END AS pair FROM l WHERE p_partkey % 2 = 0 AND p_partkey % 3 = 0
+    UNION ALL SELECT variable, 'missing in dataset', NULL FROM l WHERE p_partkey % 2 = 0 AND p_partkey % 5 = 0
+    UNION ALL SELECT variable, 'missing in process', NULL FROM l WHERE p_partkey % 2 = 0 AND p_partkey % 3 <> 0
+    UNION ALL SELECT variable, 'extra in process', NULL FROM l WHERE p_partkey % 2 <> 0 AND p_partkey % 3 = 0"""
+)
+def process_pairs_checked(spark, sf_dir):
+    """Variables, processes and workflows by name: what pairs, and what is missing where."""
+    v = adapters.table(spark, sf_dir, "part").select(C("p_partkey").alias("k"), F.concat(F.lit("par"), C("p_partkey")).alias("variable"))
+    return mapping.process_pairs(v.filter("k % 2 = 0"), v.filter("k % 3 = 0"), v.filter("k % 5 <> 0").withColumn("workflow", F.concat(F.lit("w"), C("k") % 9)))
+
+
+@query("SELECT p_brand AS section, (p_partkey * 2 + 1)::BIGINT AS ord, 'par' || p_partkey AS param, CASE WHEN p_partkey % 6 = 0 THEN 'mandatory' ELSE 'default' END AS mode, CASE WHEN p_partkey % 6 <> 0 THEN p_size::VARCHAR END AS default_value FROM part WHERE p_partkey % 2 = 0")
+def namelist_template_of_version(spark, sf_dir):
+    """Templates from namelists of two versions, parameters standing twice; one version's."""
+    p = adapters.table(spark, sf_dir, "part").select(C("p_partkey").cast("long").alias("k"), C("p_brand").alias("section"), F.concat(F.lit("par"), C("p_partkey")).alias("param"), "p_size")
+    file = F.when(C("k") % 2 == 0, "a.nml").otherwise("b.nml")
+    line = lambda n, value: F.struct((C("k") * 2 + n).alias("ord"), value.cast("string").alias("value"))
+    parsed = p.select(file.alias("file"), "section", "param", F.explode(F.array(line(0, F.lit(0)), line(1, C("p_size")))).alias("l")).select("file", "section", "param", "l.*")
+    versions = spark.createDataFrame([("a.nml", "M", "1.0"), ("b.nml", "M", "2.0")], "file string, model string, version string")
+    return namelist.of_version(namelist.template_of(parsed, versions, p.filter("k % 6 = 0")), "m", "1.0")

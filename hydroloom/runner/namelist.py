@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hydroloom.functions.strings import fortran_text
+from hydroloom.operators.masks import small
 
 
 def build_updates(template: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -53,6 +54,30 @@ def validate(template: DataFrame, overrides: DataFrame) -> DataFrame:
     return found
 
 
+def template_of(parsed: DataFrame, versions: DataFrame, mandatory: DataFrame | None = None) -> DataFrame:
+    """(model, version, section, ord, param, mode, default_value) from namelists of given files.
+
+    `parsed` is what `text.parse_namelist` returns, `versions` (file, model, version) names the
+    files, `mandatory` (section, param) names the parameters without a default.  A parameter
+    that stands twice in a section counts once, as its last line says; files without a version
+    are left out.
+    """
+    last = F.max_by(F.struct("ord", "value"), "ord").alias("last")
+    rows = parsed.groupBy("file", "section", "param").agg(last).join(small(versions), "file")
+    if mandatory is None:
+        rows = rows.withColumn("asked", F.lit(None).cast("boolean"))
+    else:
+        rows = rows.join(small(mandatory.select("section", "param").distinct().withColumn("asked", F.lit(True))), ["section", "param"], "left")
+    mode = F.when(F.col("asked"), "mandatory").otherwise("default")
+    return rows.select("model", "version", "section", F.col("last.ord").alias("ord"), "param", mode.alias("mode"), F.when(F.col("asked").isNull(), F.col("last.value")).alias("default_value"))
+
+
+def of_version(templates: DataFrame, model: str, version: str) -> DataFrame:
+    """The template of one model and version; their names in any case."""
+    fits = lambda c, x: F.lower(c) == x.lower()
+    return templates.filter(fits("model", model) & fits("version", version)).drop("model", "version")
+
+
 def to_text(values: DataFrame) -> DataFrame:
     """(section, text): each section's lines in the template's order; values with `value_kind` as a namelist writes them."""
     line = F.concat(F.lit("    "), "param", F.lit(" = "), fortran_text(F.col("value_kind"), F.col("value")))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hydroloom.operators.masks import small
-from hydroloom.sources import text
+from hydroloom.sources import netcdf, text
 
 #: What file name endings mean.
 FORMATS = {"csv": "csv", "tif": "geotiff", "tiff": "geotiff", "nc": "netcdf", "grib": "grib", "grb": "grib", "json": "json", "geojson": "json", "txt": "txt", "asc": "ascii", "shp": "shp", "parquet": "parquet", "tmp": "tmp", "file": "file"}
@@ -24,7 +24,7 @@ def format_of(path: str) -> str:
 
 
 def read(spark: SparkSession, path: str, kind: str | None = None, **options) -> DataFrame:
-    """Read by format; decoders of geotiff, netcdf, grib and shapefiles are not part of this package."""
+    """Read by format; of netcdf the classic kinds only; geotiff, grib and shapefiles have no decoder here."""
     kind = kind or format_of(path)
     if kind == "csv":
         return spark.read.csv(path, header=True, inferSchema="schema" not in options, **options)
@@ -36,6 +36,8 @@ def read(spark: SparkSession, path: str, kind: str | None = None, **options) ->
         return spark.read.text(path)
     if kind == "parquet":
         return spark.read.parquet(path)
+    if kind == "netcdf":
+        return netcdf.read_netcdf(spark, path, **options)
     raise NotImplementedError(f"{kind} needs a decoder")
 
 
