@@ -24,6 +24,8 @@ DIMENSION, VARIABLE, ATTRIBUTE = 10, 11, 12
 #: Seconds in the units of a time axis.
 UNITS = {"second": 1, "minute": 60, "hour": 3_600, "day": 86_400}
 
+#: Numbers that a task gathers before it hands them out.
+NUMBERS = 1_000_000
 #: A row a step of a field; lat and lon have a value a cell, or one a row and one a column.
 STEPS = "path string, var string, units string, step double, width int, by_cell boolean, lat array<double>, lon array<double>, value array<double>"
 
@@ -115,22 +117,33 @@ def decode(files: DataFrame, y: str = "lat", x: str = "lon", time: str = "time")
     the form `hours since 2000-01-01 00:00:00`.
     """
 
+    def fields(path: str, content: bytes) -> Iterator[tuple]:
+        head = _Header(content, path)
+        names = [n for n, v in head.vars.items() if v["dims"] in ([time, y, x], [y, x]) and n not in (y, x) and v["type"].kind != "S"]
+        if not names:
+            return
+        lat, lon = head.part(y), head.part(x)
+        units = head.vars[time]["about"].get("units") if time in head.vars else None
+        times = head.part(time) if time in head.vars else None
+        for name in names:
+            timed = head.vars[name]["dims"][0] == time
+            for i in range(head.length(name)) if timed else [None]:
+                step = times[i] if timed and times is not None else None
+                yield path, name, units, step, lon.shape[-1], lat.ndim == 2, lat.ravel(), lon.ravel(), head.part(name, i).ravel()
+
     def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["path", "var", "units", "step", "width", "by_cell", "lat", "lon", "value"]
+        rows, numbers = [], 0
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                head = _Header(content, path)
-                fields = [n for n, v in head.vars.items() if v["dims"] in ([time, y, x], [y, x]) and n not in (y, x) and v["type"].kind != "S"]
-                if not fields:
-                    continue
-                lat, lon = head.part(y), head.part(x)
-                width = lon.shape[-1]
-                units = head.vars[time]["about"].get("units") if time in head.vars else None
-                times = head.part(time) if time in head.vars else None
-                for name in fields:
-                    timed = head.vars[name]["dims"][0] == time
-                    for i in range(head.length(name)) if timed else [None]:
-                        step = times[i] if timed and times is not None else None
-                        yield pd.DataFrame({"path": [path], "var": [name], "units": [units], "step": [step], "width": [width], "by_cell": [lat.ndim == 2], "lat": [lat.ravel()], "lon": [lon.ravel()], "value": [head.part(name, i).ravel()]})
+                for row in fields(path, content):
+                    rows.append(row)
+                    numbers += sum(len(a) for a in row[-3:])
+                    if numbers > NUMBERS:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, numbers = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
 
     found = files.select("path", "content").mapInPandas(steps, STEPS)
     unit = F.regexp_extract("units", r"^\s*(\w+?)s?\s+since", 1)
