@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydroloom.operators.masks import small
 from hydroloom.sources import netcdf, text
 
 #: What file name endings mean.
@@ -41,8 +40,8 @@ def read(spark: SparkSession, path: str, kind: str | None = None, **options) ->
     raise NotImplementedError(f"{kind} needs a decoder")
 
 
-def read_int_cube(spark: SparkSession, path: str, rows: int, cols: int, scale: float = 10.0, dtype: str = "<i4", expected: int | None = None) -> DataFrame:
-    """(path, row, col, t, value) of integer arrays in Fortran order (row, col, t), divided by `scale`.
+def int_cube(files: DataFrame, rows: int, cols: int, scale: float = 10.0, dtype: str = "<i4", expected: int | None = None) -> DataFrame:
+    """(path, row, col, t, value) of integer arrays (path, content) in Fortran order (row, col, t), divided by `scale`.
 
     Files are cut into steps of rows * cols numbers; one step stands for all `expected` ones.
     """
@@ -53,19 +52,22 @@ def read_int_cube(spark: SparkSession, path: str, rows: int, cols: int, scale: f
             for name, content in zip(batch["path"], batch["content"], strict=True):
                 if len(content) % (cells * width):
                     raise ValueError(f"{name}: not a whole number of steps")
-                for t in range(len(content) // (cells * width)):
+                n = len(content) // (cells * width)
+                i = np.arange(cells)
+                for t in range(n):
                     step = np.frombuffer(content, dtype, cells, t * cells * width)
-                    i = np.arange(cells)
-                    yield pd.DataFrame({"path": name, "row": (i % rows).astype("int32"), "col": (i // rows).astype("int32"), "t": np.int32(t), "value": step / scale})
+                    yield pd.DataFrame({"path": name, "row": (i % rows).astype("int32"), "col": (i // rows).astype("int32"), "t": np.int32(t), "value": step / scale, "single": n == 1})
 
-    raw = spark.read.format("binaryFile").load(path).select("path", "content", F.col("length"))
-    cube = raw.select("path", "content").mapInPandas(decode, "path string, row int, col int, t int, value double")
+    cube = files.select("path", "content").mapInPandas(decode, "path string, row int, col int, t int, value double, single boolean")
     if expected is None or expected == 1:
-        return cube
-    single = raw.select(F.col("path").alias("of"), (F.col("length") == cells * width).alias("single"))
-    spread = cube.join(small(single), F.col("path") == F.col("of"))
+        return cube.drop("single")
     steps = F.when(F.col("single"), F.sequence(F.lit(0), F.lit(expected - 1))).otherwise(F.array("t"))
-    return spread.withColumn("t", F.explode(steps)).select("path", "row", "col", "t", "value")
+    return cube.withColumn("t", F.explode(steps)).drop("single")
+
+
+def read_int_cube(spark: SparkSession, path: str, rows: int, cols: int, **kind) -> DataFrame:
+    """`int_cube` of files."""
+    return int_cube(spark.read.format("binaryFile").load(path), rows, cols, **kind)
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
