@@ -12,6 +12,10 @@ Only distinct fingerprints are replicated.  Crowded anchors are cut into blocks
 and visitors that meet pairwise in different tasks.  A task returns a spanning forest of the
 links it finds, never all pairs; components come from rounds of star contractions on written
 tables.
+
+One fingerprint of three bits reaches near copies only where very little differs, so `keep_one`
+takes several: the shingles' hashes, mixed anew for each, give fingerprints whose bits differ
+independently, and rows link where any of them does.  Each kind has anchors of its own.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import free_name, written
 
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
+#: Fingerprints a text that `keep_one` compares.
+PRINTS = 6
 #: Rows of an anchor from which it is cut into blocks of as many rows.
 CROWD = 8_000
 #: Pairs that one task compares at a time.
@@ -35,9 +41,23 @@ PAIRS = 2_000_000
 CHECKS = [sum(1 << (i - 1) for i in range(1, 32) if i >> k & 1) for k in range(5)]
 
 
-def fingerprints(texts: list[str | None], shingle: int = SHINGLE) -> np.ndarray:
-    """A 64-bit number a text: bit set where over half the shingles' XXH64 have it; no word: 0."""
-    out = np.zeros(len(texts), np.uint64)
+def _mixed(hashes: np.ndarray, kind: int) -> np.ndarray:
+    """Other hashes of what has these, one for each kind (the finaliser of SplitMix64); kind 0: as they are."""
+    if not kind:
+        return hashes
+    # fixed values: the generator's increment and multipliers
+    z = hashes + np.uint64(0x9E3779B97F4A7C15 * kind % (1 << 64))
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def fingerprints(texts: list[str | None], shingle: int = SHINGLE, prints: int = 1) -> np.ndarray:
+    """`prints` 64-bit numbers a text, a row each: bit set where over half the shingles' hashes have it; no word: 0.
+
+    The first is of XXH64, the others of the same hashes mixed.
+    """
+    out = np.zeros((len(texts), prints), np.uint64)
     digest = xxhash.xxh64_intdigest
     for i, text in enumerate(texts):
         words = (text or "").encode().lower().split()
@@ -49,10 +69,11 @@ def fingerprints(texts: list[str | None], shingle: int = SHINGLE) -> np.ndarray:
         else:
             starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)))
             hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[:-shingle].tolist(), (starts[shingle:] - 1).tolist(), strict=True)], np.uint64)
-        ones = np.zeros(64, np.int64)
-        for part in range(0, len(hashes), 65_536):
-            ones += np.unpackbits(hashes[part : part + 65_536].byteswap().view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int32)
-        out[i] = np.packbits(ones * 2 > len(hashes)).view(">u8")[0]
+        for kind in range(prints):
+            ones = np.zeros(64, np.int64)
+            for part in range(0, len(hashes), 65_536):
+                ones += np.unpackbits(_mixed(hashes[part : part + 65_536], kind).byteswap().view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int32)
+            out[i, kind] = np.packbits(ones * 2 > len(hashes)).view(">u8")[0]
     return out
 
 
@@ -62,7 +83,18 @@ def fingerprint(text: str) -> Column:
     @F.pandas_udf("long")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series(fingerprints(batch.tolist()).view(np.int64))
+            yield pd.Series(fingerprints(batch.tolist())[:, 0].view(np.int64))
+
+    return of(F.col(f"`{text}`"))
+
+
+def several_fingerprints(text: str, prints: int) -> Column:
+    """The fingerprints of a text column as an array of signed longs."""
+
+    @F.pandas_udf("array<long>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series(list(fingerprints(batch.tolist(), prints=prints).view(np.int64)), dtype=object)
 
     return of(F.col(f"`{text}`"))
 
@@ -74,14 +106,19 @@ def _flips(syndrome: int) -> list[int]:
 
 
 def at_anchors(distinct: DataFrame) -> DataFrame:
-    """(anchor, fp, home) rows, 31 a fingerprint on average; `distinct` has a long column fp."""
+    """(anchor, fp, home) rows, 31 a fingerprint on average; `distinct` has a long column fp.
+
+    A column `node` goes along; those of different `kind` (a small number) have different anchors.
+    """
+    node = ["node"] if "node" in distinct.columns else []
+    kind = F.shiftleft(F.col("kind").cast("long"), 32) if "kind" in distinct.columns else F.lit(0).cast("long")
     flips = F.array(*[F.array(*[F.lit(m).cast("long") for m in _flips(s)]) for s in range(32)])
     sides = []
     for half in (0, 1):
         bits = F.shiftrightunsigned("fp", 32 * half).bitwiseAND(F.lit((1 << 31) - 1))
         syndrome = sum((F.bit_count(F.col("bits").bitwiseAND(F.lit(mask))) % 2 * (1 << k) for k, mask in enumerate(CHECKS)), F.lit(0))
-        side = distinct.select("fp", bits.alias("bits")).select("fp", "bits", F.posexplode(F.element_at(flips, (syndrome + 1).cast("int"))).alias("pos", "flip"))
-        sides.append(side.select((F.col("bits").bitwiseXOR(F.col("flip")) + F.lit(half << 31)).alias("anchor"), "fp", (F.col("pos") == 0).alias("home")))
+        side = distinct.select("fp", *node, kind.alias("kind"), bits.alias("bits")).select("fp", *node, "kind", "bits", F.posexplode(F.element_at(flips, (syndrome + 1).cast("int"))).alias("pos", "flip"))
+        sides.append(side.select((F.col("bits").bitwiseXOR(F.col("flip")) + F.lit(half << 31) + F.col("kind")).alias("anchor"), "fp", (F.col("pos") == 0).alias("home"), *node))
     return sides[0].unionByName(sides[1])
 
 
@@ -102,9 +139,14 @@ def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _forest(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]:
-    """Rows sorted by block in; (node, root) of the links within blocks out, at most one row a node and window."""
+    """Rows sorted by block in; (node, root) of the links within blocks out, at most one row a node and window.
 
-    def links(block: np.ndarray, fp: np.ndarray, home: np.ndarray) -> pd.DataFrame:
+    A row's node is its column `node` if there is one, else its fingerprint.
+    """
+
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        block, fp, home = (rows[c].to_numpy() for c in ("block", "fp", "home"))
+        of = rows["node"].to_numpy() if "node" in rows else fp
         first = np.searchsorted(block, block)
         size = np.searchsorted(block, block, "right") - first
         at = np.flatnonzero(home & (size > 1))
@@ -118,7 +160,7 @@ def _forest(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame
             right = first[left] + np.arange(len(left)) - np.repeat(np.cumsum(size[part]) - size[part], size[part])
             # counted on unsigned numbers: of signed ones numpy counts the absolute value
             near = np.bitwise_count((fp[left] ^ fp[right]).view(np.uint64)) <= bits
-            node, root = _roots(np.concatenate((node, fp[left[near]])), np.concatenate((root, fp[right[near]])))
+            node, root = _roots(np.concatenate((node, of[left[near]])), np.concatenate((root, of[right[near]])))
             done = until
         apart = node != root
         return pd.DataFrame({"node": node[apart], "root": root[apart]})
@@ -130,17 +172,21 @@ def _forest(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame
         cut = int((batch["block"] != batch["block"].iloc[-1]).sum()) if len(batch) else 0
         rest = batch.iloc[cut:]
         if cut:
-            whole = batch.iloc[:cut]
-            yield links(whole["block"].to_numpy(), whole["fp"].to_numpy(), whole["home"].to_numpy())
+            yield links(batch.iloc[:cut])
     if rest is not None and len(rest):
-        yield links(rest["block"].to_numpy(), rest["fp"].to_numpy(), rest["home"].to_numpy())
+        yield links(rest)
 
 
 def links(distinct: DataFrame, bits: int = MAX_BITS) -> DataFrame:
-    """(node, root) edges whose components are those of all pairs of fingerprints at most `bits` apart (0 to 3)."""
+    """(node, root) edges whose components are those of all pairs of fingerprints at most `bits` apart (0 to 3).
+
+    `distinct` as in `at_anchors`, each fingerprint of a kind once; nodes are its column `node`
+    if there is one, else fingerprints.
+    """
     if not 0 <= bits <= 3:
         raise ValueError("the two halves cover up to 3 differing bits")
     rows = at_anchors(distinct)
+    node = ["node"] if "node" in distinct.columns else []
     crowded = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.count_if("home").alias("homes")).filter((F.col("n") > CROWD) & (F.col("homes") > 0))
     crowded = written(crowded.select(F.col("anchor").alias("crowd"), F.ceil(F.col("n") / CROWD).cast("long").alias("v"), F.ceil(F.col("homes") / CROWD).cast("long").alias("h")), "crowds")
     blocks = rows.withColumn("block", F.lit(0).cast("long"))
@@ -150,8 +196,8 @@ def links(distinct: DataFrame, bits: int = MAX_BITS) -> DataFrame:
         own = lambda n: F.pmod(F.xxhash64("fp"), F.coalesce(n, F.lit(1)))
         visits = many.withColumn("block", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce("h", F.lit(1)) - 1), lambda i: i * F.coalesce("v", F.lit(1)) + own(F.col("v"))))).withColumn("home", F.col("home") & F.col("crowd").isNull())
         homes = many.filter("home and crowd is not null").withColumn("block", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("v") - 1), lambda i: own(F.col("h")) * F.col("v") + i)))
-        blocks = visits.select("anchor", "fp", "home", "block").unionByName(homes.select("anchor", "fp", "home", "block"))
-    dealt = blocks.select(F.xxhash64("anchor", "block").alias("block"), "fp", "home").repartition("block").sortWithinPartitions("block")
+        blocks = visits.select("anchor", "fp", "home", "block", *node).unionByName(homes.select("anchor", "fp", "home", "block", *node))
+    dealt = blocks.select(F.xxhash64("anchor", "block").alias("block"), "fp", "home", *node).repartition("block").sortWithinPartitions("block")
     return dealt.mapInPandas(lambda batches: _forest(batches, bits), "node long, root long")
 
 
@@ -196,22 +242,30 @@ def with_components(docs: DataFrame, id: str = "doc_id", text: str = "text", bit
     return rows.join(numbered, F.col("fp") == F.col("of")).select(F.col("id").alias(id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Chance that two texts whose shingle sets have these similarities differ in at most MAX_BITS of 64 bits.
-REACH = {1.0: 1.0, 0.99: 0.85, 0.98: 0.67, 0.95: 0.31, 0.9: 0.09, 0.8: 0.01}
+#: Chance that `keep_one` links two texts whose sets of three-word shingles have these similarities (PRINTS fingerprints, MAX_BITS of 64 bits).
+REACH = {1.0: 1.0, 0.99: 1.0, 0.98: 0.99, 0.95: 0.89, 0.9: 0.43, 0.8: 0.06}
 
 
-def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", bits: int = MAX_BITS) -> DataFrame:
+def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", bits: int = MAX_BITS, prints: int = PRINTS) -> DataFrame:
     """One row of `docs` for each component, columns as they were: the smallest id, nulls last, then the first row.
 
     Rows are told apart by a written number, not by their id, so components may share an id
-    or have none.  Three-word shingles and three bits, as in the operator: what that finds
-    depends on similarity, see REACH.
+    or have none.  Rows link where any of `prints` fingerprints of three-word shingles, the
+    operator's being the first, differs in at most `bits` bits: what that finds depends on
+    similarity, see REACH.
     """
     number = free_name(docs, "row_number")
     # written: the number has to be the same wherever it is read
     numbered = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
-    rows = numbered.select(F.col(number).alias("row"), F.col(f"`{id}`").alias("id"), fingerprint(text).alias("fp"))
+    rows = numbered.select(F.col(number).alias("row"), F.col(f"`{id}`").alias("id"), several_fingerprints(text, prints).alias("fps"))
     first = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
-    distinct = written(rows.groupBy("fp").agg(F.min(first).alias("low")), "distinct-fingerprints")
-    keep = _rooted(distinct, bits).groupBy("root").agg(F.min("low").alias("low")).select(F.col("low")["row"].alias(number))
+    # rows of equal fingerprints are one class, a node by the number of its first row
+    classes = written(rows.groupBy("fps").agg(F.min(first).alias("low")), "classes")
+    each = classes.select(F.col("low")["row"].alias("class"), F.posexplode("fps").alias("kind", "fp"))
+    heads = written(each.groupBy("kind", "fp").agg(F.min("class").alias("node"), F.count("*").alias("n")), "heads")
+    shared = heads.filter("n > 1").select("kind", "fp", F.col("node").alias("root"))
+    same = each.join(shared, ["kind", "fp"]).filter("class != root").select(F.col("class").alias("node"), "root")
+    roots = components(links(heads.select("kind", "fp", "node"), bits).unionByName(same))
+    rooted = classes.select("low", F.col("low")["row"].alias("class")).join(roots, F.col("class") == F.col("node"), "left")
+    keep = rooted.groupBy(F.coalesce("root", "class").alias("of")).agg(F.min("low").alias("low")).select(F.col("low")["row"].alias(number))
     return numbered.join(keep, number, "left_semi").drop(number)

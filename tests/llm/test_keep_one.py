@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
+import pytest
+
 from hydroloom.llm import simhash
 
 
@@ -21,3 +25,28 @@ def test_texts_without_id(spark):
 def test_one_id_with_two_texts(spark):
     rows = [(1, text("a"), "1"), (1, text("b"), "2"), (1, text("b"), "3"), (2, text("b"), "4"), (3, text("c"), "5"), (3, text("a"), "6")]
     assert kept(spark, rows) == [(1, text("a"), "1"), (1, text("b"), "2"), (3, text("c"), "5")]
+
+
+@pytest.mark.parametrize("crowd", [8_000, 20])
+def test_near_copies(spark, monkeypatch, crowd):
+    """Of copies with three words of 300 replaced (three-word similarity 0.94) most go, originals all stay, crowded anchors or not."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    rng = random.Random(3)
+    words = lambda n: [f"w{rng.randrange(5_000)}" for _ in range(n)]
+    rows = []
+    for i in range(150):
+        own = words(300)
+        rows.append((i, " ".join(own), "own"))
+        for at in (50, 150, 250):
+            own[at] = "other"
+        rows.append((1_000 + i, " ".join(own), "copy"))
+    left = kept(spark, rows)
+    assert sorted(d for d, _, source in left if source == "own") == list(range(150))
+    assert sum(source == "copy" for _, _, source in left) <= 0.4 * 150
+    one = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string"), prints=1).count()
+    assert one > len(left)
+
+
+def test_empty_table_and_texts(spark):
+    assert kept(spark, []) == []
+    assert kept(spark, [(2, None, "1"), (1, "", "2"), (3, " \n", "3")]) == [(1, "", "2")]

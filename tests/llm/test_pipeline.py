@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections import Counter
 
 import corpus_pipeline
-from hydroloom.llm import bpe, common, queries
-from test_text_operators import WORDS, brute_components, brute_fingerprint, brute_repeats
+from hydroloom.llm import bpe, common, queries, simhash
+from test_text_operators import WORDS, brute_components, brute_prints, brute_repeats
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,7 +39,7 @@ def test_stages_equal_brute_force(spark):
     cut = {r["doc_id"]: "\n".join(x for x in r["text"].split("\n") if (r["source"], x.strip(common.SPACES)) not in bad) for r in steps["quality rules"]}
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in steps["line dedup"]} == {d: (t, len(t)) for d, t in cut.items()}
 
-    groups = brute_components({d: brute_fingerprint(t) for d, t in cut.items()})
+    groups = brute_components({d: brute_prints(t, simhash.PRINTS) for d, t in cut.items()})
     assert {r["doc_id"] for r in steps["simhash near-dedup"]} == set(groups.values())
     assert len(steps["simhash near-dedup"]) == len(set(groups.values()))
 

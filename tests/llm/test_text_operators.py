@@ -156,7 +156,28 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def brute_prints(text, prints):
+    """Fingerprints of the shingles' hashes, mixed anew for each but the first."""
+    words = WORDS.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    hashes, full, out = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles], (1 << 64) - 1, []
+    for kind in range(prints):
+        mixed = []
+        for h in hashes:
+            z = h
+            if kind:
+                z = (z + kind * 0x9E3779B97F4A7C15) & full
+                z = ((z ^ z >> 30) * 0xBF58476D1CE4E5B9) & full
+                z = ((z ^ z >> 27) * 0x94D049BB133111EB) & full
+                z ^= z >> 31
+            mixed.append(z)
+        out.append(sum(1 << b for b in range(64) if 2 * sum(z >> b & 1 for z in mixed) > len(mixed)))
+    return tuple(out)
+
+
 def brute_components(fingerprints, bits=3):
+    """Components of the links of fingerprints, or of tuples of which any may link."""
+    fingerprints = {d: f if isinstance(f, tuple) else (f,) for d, f in fingerprints.items()}
     root = {d: d for d in fingerprints}
 
     def find(x):
@@ -167,7 +188,7 @@ def brute_components(fingerprints, bits=3):
     ids = sorted(fingerprints)
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
-            if (fingerprints[a] ^ fingerprints[b]).bit_count() <= bits:
+            if any((x ^ y).bit_count() <= bits for x, y in zip(fingerprints[a], fingerprints[b], strict=True)):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {d: find(d) for d in ids}
