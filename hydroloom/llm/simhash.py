@@ -243,7 +243,7 @@ def with_components(docs: DataFrame, id: str = "doc_id", text: str = "text", bit
 
 
 #: Chance that `keep_one` links two texts whose sets of three-word shingles have these similarities (PRINTS fingerprints, MAX_BITS of 64 bits).
-REACH = {1.0: 1.0, 0.99: 1.0, 0.98: 0.99, 0.95: 0.89, 0.9: 0.43, 0.8: 0.06}
+REACH = {1.0: 1.0, 0.99: 1.0, 0.98: 0.99, 0.95: 0.89, 0.9: 0.43, 0.8: 0.05}
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", bits: int = MAX_BITS, prints: int = PRINTS) -> DataFrame:
