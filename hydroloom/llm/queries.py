@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, langid, line_dedup, mixing, quality, simhash, toxicity, url_filter
+from . import alignment, bpe, chat, exact_dedup, langid, line_dedup, mixing, packing, quality, search, simhash, toxicity, url_filter
 from .common import table
 
 #: The tokenizer file of the BPE query; its folder's path is a setting.
@@ -17,11 +17,16 @@ TOKENIZER = os.environ.get("TOKENIZER_JSON", "")
 
 
 def tokenizer_path() -> str:
-    if TOKENIZER:
-        return TOKENIZER
+    return TOKENIZER or vocabulary_file("word_bpe_49k.json")
+
+
+def vocabulary_file(name: str) -> str:
+    """A public tokenizer's file, in the folder of the setting TOKENIZER_FOLDER or the package's own."""
+    if folder := os.environ.get("TOKENIZER_FOLDER", ""):
+        return os.path.join(folder, name)
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_url_filters(spark, sf_dir):
@@ -93,7 +98,26 @@ def op10_toxicity(spark, sf_dir):
     return scored.select("doc_id", F.coalesce(~learn, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {q.__name__: q for q in (op1_url_filters, op2_quality_rules, op3_line_dedup, op4_bpe, op5_simhash, op6_mixing, op7_language, op8_chat, op9_exact_dedup, op10_toxicity)}
+#: The token that ends a document in a packed sequence.
+END_OF_TEXT = 2
+
+
+def op11_packing(spark, sf_dir):
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"), END_OF_TEXT)
+    short = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(short)
+
+
+def op12_alignment(spark, sf_dir):
+    tokens = alignment.aligned(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"), vocabulary_file("piece_bpe_32k.model"), digest=True)
+    return alignment.with_counts(tokens.withColumnRenamed("groups", "groups_sha256"))
+
+
+def op13_search(spark, sf_dir):
+    return search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {q.__name__: q for q in (op1_url_filters, op2_quality_rules, op3_line_dedup, op4_bpe, op5_simhash, op6_mixing, op7_language, op8_chat, op9_exact_dedup, op10_toxicity, op11_packing, op12_alignment, op13_search)}
 
 #: DuckDB SQL of the queries; learned scores, XXH64 fingerprints and BPE have none.
 ORACLES = {
@@ -189,4 +213,25 @@ ORACLES = {
             SELECT *, first_value(doc_id) OVER (PARTITION BY bare ORDER BY size DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY bare) AS group_size FROM norm
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM ranked""",
+    "op13_search": r"""
+        WITH docs AS (
+            SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+        ), items AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+        ), totals AS (
+            SELECT count(*) FILTER (WHERE len(terms) > 0) AS documents, coalesce(sum(len(terms)), 0)::BIGINT AS held FROM docs
+        ), each AS (
+            SELECT doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM docs
+        ), tfs AS (
+            SELECT doc_id, n, term, count(*) AS tf FROM each WHERE term IN (SELECT term FROM items) GROUP BY doc_id, n, term
+        ), weights AS (
+            SELECT term, floor(1000 * ln((2 * any_value(documents) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tfs, totals GROUP BY term
+        ), gains AS (
+            SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * documents) // held))) AS gain FROM tfs JOIN weights USING (term), totals
+        ), scores AS (
+            SELECT item_id, doc_id, sum(gain)::BIGINT AS score FROM items JOIN gains USING (term) GROUP BY item_id, doc_id
+        ), ranked AS (
+            SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM scores WHERE score > 0
+        )
+        SELECT * FROM ranked WHERE rank <= 50""",
 }
