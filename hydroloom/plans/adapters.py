@@ -27,6 +27,13 @@ def ref(spark: SparkSession, sf_dir: str, shift: tuple[float, float] = (0.0, 0.0
     return table(spark, sf_dir, "part").select(*cells("p_partkey", shift), F.when(F.col("p_size") < 5, -9999.0).otherwise(F.col("p_retailprice")).alias("ref_value"))
 
 
+def whole_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cell of the terrain's grid, also those of the last row that no part stands for."""
+    last = F.max(F.floor(F.col("p_partkey") / 15)).alias("last")
+    rows = table(spark, sf_dir, "part").agg(last).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("r"))
+    return rows.select(F.explode(F.sequence(F.col("r") * 15, F.col("r") * 15 + 14)).alias("number")).select(*cells("number"))
+
+
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events scaled to plausible physics, each at its own time and cell."""
     v = F.col("value")

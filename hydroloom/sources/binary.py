@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydroloom.sources import netcdf, text
+from hydroloom.sources import geotiff, grib, netcdf, text
 
 #: What file name endings mean.
 FORMATS = {"csv": "csv", "tif": "geotiff", "tiff": "geotiff", "nc": "netcdf", "grib": "grib", "grb": "grib", "json": "json", "geojson": "json", "txt": "txt", "asc": "ascii", "shp": "shp", "parquet": "parquet", "tmp": "tmp", "file": "file"}
@@ -23,7 +23,7 @@ def format_of(path: str) -> str:
 
 
 def read(spark: SparkSession, path: str, kind: str | None = None, **options) -> DataFrame:
-    """Read by format; of netcdf the classic kinds only; geotiff, grib and shapefiles have no decoder here."""
+    """Read by format: rasters and fields as cells, shapefiles as records; of netcdf the classic kinds only. Options are the format's own."""
     kind = kind or format_of(path)
     if kind == "csv":
         return spark.read.csv(path, header=True, inferSchema="schema" not in options, **options)
@@ -37,6 +37,10 @@ def read(spark: SparkSession, path: str, kind: str | None = None, **options) ->
         return spark.read.parquet(path)
     if kind == "netcdf":
         return netcdf.read_netcdf(spark, path, **options)
+    if kind == "geotiff":
+        return geotiff.read_geotiff(spark, path, **options)
+    if kind == "grib":
+        return grib.read_grib(spark, path, **options)
     raise NotImplementedError(f"{kind} needs a decoder")
 
 
