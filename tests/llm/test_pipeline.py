@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import corpus_pipeline
 from hydroloom.llm import bpe, common, queries, simhash
-from test_text_operators import WORDS, brute_components, brute_prints, brute_repeats
+from test_text_operators import WORDS, brute_repeats
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,6 +19,24 @@ def good(text):
     return len(words) >= 50 and 100 * len(marks[3]) <= 50 * len(words) and len(marks[8]) <= 0.3 * len(words) and max(longest) <= 150
 
 
+def near_groups(texts):
+    """Smallest id of each text's group: components of all pairs with five-word shingles 0.8 alike, or equal words."""
+    words = {d: re.sub("[A-Z]", lambda m: m[0].lower(), t).encode().split() for d, t in texts.items()}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, w in words.items()}
+    low = {d: d for d in texts}
+
+    def find(d):
+        while low[d] != d:
+            d = low[d]
+        return d
+
+    for x in texts:
+        for y in texts:
+            if x < y and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]):
+                low[max(find(x), find(y))] = min(find(x), find(y))
+    return {d: find(d) for d in texts}
+
+
 def test_stages_equal_brute_force(spark):
     docs = common.table(spark, SF, "documents")
     rows = {r["doc_id"]: r for r in docs.collect()}
@@ -39,9 +58,11 @@ def test_stages_equal_brute_force(spark):
     cut = {r["doc_id"]: "\n".join(x for x in r["text"].split("\n") if (r["source"], x.strip(common.SPACES)) not in bad) for r in steps["quality rules"]}
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in steps["line dedup"]} == {d: (t, len(t)) for d, t in cut.items()}
 
-    groups = brute_components({d: brute_prints(t, simhash.PRINTS) for d, t in cut.items()})
-    assert {r["doc_id"] for r in steps["simhash near-dedup"]} == set(groups.values())
-    assert len(steps["simhash near-dedup"]) == len(set(groups.values()))
+    groups = near_groups(cut)
+    left = {r["doc_id"] for r in steps["simhash near-dedup"]}
+    removable = {d for d, low in groups.items() if d != low}
+    assert len(steps["simhash near-dedup"]) == len(left) and set(groups.values()) <= left
+    assert len(left & removable) <= 0.1 * len(removable)
 
     sizes = {r["doc_id"]: len(WORDS.findall(r["text"])) for r in steps["simhash near-dedup"]}
     source = {r["doc_id"]: r["source"] for r in steps["simhash near-dedup"]}
