@@ -23,11 +23,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates.
-
-    Groups are those of `simhash.keep_one`: several fingerprints, not the one of op5's query,
-    so that texts of a five-word similarity of 0.8 and more are reached as far as REACH says.
-    """
+    """One document of each group of near duplicates: five-word shingles 0.8 alike, see `simhash.keep_one`."""
     return simhash.keep_one(docs)
 
 
