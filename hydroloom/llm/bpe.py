@@ -288,10 +288,12 @@ def with_tokens(docs: DataFrame, path: str, text: str = "text", ids: str = "toke
     short = base.filter(size <= leaf)
     schema = T.StructType([*[f for f in short.schema.fields if f.name in back], T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
 
+    place, kept = short.columns.index(text), [i for i, c in enumerate(short.columns) if c in back]
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = word_table(path)
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
+            column = batch.column(place)
             texts = [t or "" for t in column.to_pylist()]
             start = 0
             while start < len(texts):
@@ -301,11 +303,12 @@ def with_tokens(docs: DataFrame, path: str, text: str = "text", ids: str = "toke
                     stop += 1
                 flat, sizes, plain = table.encode(texts[start:stop])
                 offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-                columns = [*batch.slice(start, stop - start).select(back).columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(plain, pa.string())]
+                columns = [*batch.slice(start, stop - start).select(kept).columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(plain, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*back, ids, decoded])
                 start = stop
 
-    done = short.mapInArrow(encode, schema)
+    # columns by place, since Spark takes dots in names apart here
+    done = short.toDF(*[f"c{i}" for i in range(len(short.columns))]).mapInArrow(encode, schema)
     # long texts: leaves dealt out, joined by text
     key, of = free_name(base, "long_key"), free_name(base, "long_of")
     long = base.filter(size > leaf)

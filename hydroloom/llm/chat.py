@@ -9,9 +9,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .template import as_text, compile_template
 
@@ -68,18 +69,23 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE) -> DataFram
     """(conv_id, formatted, loss_spans) from rows (conv_id, turn, role, text).
 
     Turns stand by number (null first), ties by role and text; repeated rows are repeated
-    turns.  A null text or role counts as empty; a null conv_id is a conversation.  loss_spans:
+    turns.  A null text or role counts as empty; a null conv_id is a conversation; ids are of any
+    type that can be grouped by.  loss_spans:
     array of (start, end) in code points, the assistant's texts as escaped.  A conversation
     becomes one text, so its turns meet in one task.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns")).select("conv_id", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
 
-    def render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    out = T.StructType([T.StructField("conv_id", turns.schema["conv_id"].dataType), *T.StructType.fromDDL("formatted string, loss_spans array<struct<start:long,end:long>>").fields])
+    spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         show = compile_template(template, FILTERS)
         for batch in batches:
-            made = [show(turns=[{"role": r, "title": title(r), "text": t} for r, t in zip(roles, texts, strict=True)]) for roles, texts in zip(batch["roles"], batch["texts"], strict=True)]
-            spans = [[{"start": a, "end": b} for a, b in marked] for _, marked in made]
-            yield pd.DataFrame({"conv_id": batch["conv_id"], "formatted": [text for text, _ in made], "loss_spans": spans})
+            made = [show(turns=[{"role": r, "title": title(r), "text": t} for r, t in zip(roles, texts, strict=True)]) for roles, texts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            marked = pa.array([[{"start": a, "end": b} for a, b in own] for _, own in made], spans)
+            # the id stays in Arrow: numbers beside a null stay whole
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([text for text, _ in made], pa.string()), marked], names=out.names)
 
-    return whole.mapInPandas(render, "conv_id long, formatted string, loss_spans array<struct<start:long,end:long>>")
+    return whole.mapInArrow(render, out)

@@ -71,13 +71,15 @@ def with_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
 
     Texts are equal when identical without white space; null counts as empty, and all empty
     texts are equal.  Of equal texts the row with the most code points stays, then the one
-    with the smallest id (null ids last), then one of the rows that repeat it.
+    with the smallest id (of any type that has an order; null ids last), then one of the rows
+    that repeat it.
     """
     rows = written(normalised(docs, id, text), "normalised")
     groups = equal_groups(rows)
     met = rows.select("row", "id", "size", "digest").join(groups, "row", "left")
-    order = F.struct("size", F.col("id").isNotNull().alias("named"), F.negative("id").alias("low"), F.negative("row").alias("first"))
-    best = met.filter("group is not null").groupBy(F.col("group").alias("of")).agg(F.max_by(F.struct("row", "id"), order).alias("best"), F.count("*").alias("n"))
+    # sizes are no less than zero, so only they are negated; ids may be of any type that has an order
+    order = F.struct(F.negative("size").alias("size"), F.col("id").isNull().alias("nameless"), "id", "row")
+    best = met.filter("group is not null").groupBy(F.col("group").alias("of")).agg(F.min_by(F.struct("row", "id"), order).alias("best"), F.count("*").alias("n"))
     # written, so that the join below reads two plain shuffles, of which Spark splits crowded parts
     best = written(best, "radix-best")
     # rows without a group get a number that no group has, each its own, and so are spread

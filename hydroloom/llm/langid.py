@@ -24,7 +24,11 @@ from pyspark.sql import functions as F
 
 from .common import free_name
 
-MAX_TRAIN, MAX_LANGUAGES, LANDMARKS, RIDGE, SHARPNESS = 1_200, 200, 96, 1e-3, 6.0
+#: Rows learned from and landmarks, or as many for each language where that is more.
+MAX_TRAIN, LANDMARKS, LANGUAGE_ROWS, LANGUAGE_LANDMARKS = 1_200, 96, 12, 2
+RIDGE, SHARPNESS = 1e-3, 6.0
+#: Rows of one matrix product when learning.
+FIT_ROWS = 1_000
 #: n, size of its hashed space, weight in the blend.
 SPECTRA = ((1, 1 << 10, 0.2), (2, 1 << 12, 0.3), (3, 1 << 13, 0.5))
 WIDTH = sum(size for _, size, _ in SPECTRA)
@@ -95,13 +99,12 @@ def fit(present: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, r
     label = np.searchsorted(names, languages)
     # landmarks: as many of each language as there are, first come
     place = pd.Series(label).groupby(label).cumcount().to_numpy()
-    chosen = np.argsort(place, kind="stable")[:landmarks]
-    x = scaled(present)
-    marks = x[chosen]
+    chosen = np.argsort(place, kind="stable")[: max(landmarks, LANGUAGE_LANDMARKS * len(names))]
+    marks = scaled(present[chosen])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(float))
     good = values > 1e-6 * values.max()
     back = vectors[:, good] / np.sqrt(values[good])
-    z = (x @ marks.T) @ back
+    z = np.concatenate([(scaled(present[at : at + FIT_ROWS]) @ marks.T) @ back for at in range(0, len(present), FIT_ROWS)])
     share = np.bincount(label)[label]
     weight = (1 / share)[:, None]
     target = (label[:, None] == np.arange(len(names))).astype(float)
@@ -110,16 +113,21 @@ def fit(present: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, r
 
 
 def sample(docs: DataFrame, learn: Column, id: str, text: str, lang: str, most: int = MAX_TRAIN) -> tuple[np.ndarray, list[str]]:
-    """Presence rows and languages of the sample of rows where `learn` holds."""
+    """Presence rows and languages of a sample of the rows where `learn` holds.
+
+    Drawn are about `most` rows, or LANGUAGE_ROWS for each language where that is more, equally
+    many of each language that has as many.
+    """
     usable = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), learn.alias("learn")).filter("learn and lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not counts:
+    counts = usable.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n"))
+    languages = counts.count()
+    if not languages:
         return np.zeros((0, WIDTH), bool), []
-    each = most / len(counts)
+    most = max(most, LANGUAGE_ROWS * languages)
     place = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30))
-    chance = F.lit(None).cast("double")
-    for name, n in counts.items():
-        chance = F.when(F.col("lang") == name, F.lit(min(1.0, each / n) * (1 << 30))).otherwise(chance)
+    # a row a language: as many as the model has columns
+    counted = usable.join(F.broadcast(counts), F.col("lang") == F.col("of"))
+    chance = F.least(F.lit(1.0), F.lit(most / languages) / F.col("n")) * (1 << 30)
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -128,7 +136,7 @@ def sample(docs: DataFrame, learn: Column, id: str, text: str, lang: str, most:
             yield pd.DataFrame({"place": batch["place"].to_numpy(), "bits": bits, "lang": batch["lang"].to_numpy()})
 
     # each different row once, before any text is looked at; the hash decides who goes beyond the bound
-    drawn = usable.select(place.alias("place"), "text", "lang").filter(F.col("place") < chance).groupBy("place", "lang").agg(F.min("text").alias("text"))
+    drawn = counted.select(place.alias("place"), "text", "lang", chance.alias("chance")).filter(F.col("place") < F.col("chance")).groupBy("place", "lang").agg(F.min("text").alias("text"))
     rows = drawn.mapInPandas(packed, "place long, bits binary, lang string").orderBy("place", "lang").limit(2 * most).toPandas()
     if not len(rows):
         return np.zeros((0, WIDTH), bool), []

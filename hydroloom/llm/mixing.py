@@ -50,7 +50,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 def identity(docs: DataFrame, source: str, id: str, text: str, every: bool = False) -> Column:
     """32 hex digits that rows share only if alike in id, source and text (with `every`: in all columns)."""
     parts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in (id, source, text)]
-    rest = [F.xxhash64(*[F.struct(F.col(f"`{c}`").isNull(), f"`{c}`") for c in docs.columns]).cast("string")] if every else []
+    # maps have no hash: they count as JSON
+    plain = lambda f: F.to_json(F.struct(f"`{f.name}`"), {"ignoreNullFields": "false"}) if "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString() else F.col(f"`{f.name}`")
+    rest = [F.xxhash64(*[F.struct(F.col(f"`{f.name}`").isNull(), plain(f)) for f in docs.schema.fields]).cast("string")] if every else []
     return F.md5(F.concat_ws(":", *parts, *rest))
 
 

@@ -145,6 +145,7 @@ def with_quality(docs: DataFrame, into: str = "quality_rules", text: str = "text
     kept: not base_failed, at most `max_covered` of the words inside repeats of `min_repeat`
     or more words, and no repeat of more than `max_repeat` words.  Null and empty texts have
     no word, so base_failed is true.  Rows are judged alone: repeated rows get equal verdicts.
+    `into` is lengthened by `_` where `docs` has a column of that name in any case.
     """
 
     @F.pandas_udf(MEASURES)
@@ -152,13 +153,13 @@ def with_quality(docs: DataFrame, into: str = "quality_rules", text: str = "text
         for batch in batches:
             yield measure(batch.tolist(), min_repeat)
 
-    raw = free_name(docs, "measured")
+    raw, into = free_name(docs, "measured"), free_name(docs, into)
     m = F.col(raw)
     base = (m["n_words"] < BASE_WORDS) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
     long = m["longest_repeat"] > max_repeat
     good = (m["covered_words"] <= max_covered * m["n_words"]) & ~long
     names = [c.split()[0] for c in MEASURES.split(", ")]
-    return docs.withColumn(raw, measures(text)).withColumn(into, F.struct(*[m[c].alias(c) for c in names], long.alias("repeat_too_long"), base.alias("base_failed"), (~base & good).alias("kept"))).drop(raw)
+    return docs.withColumn(raw, measures(F.col(f"`{text}`"))).withColumn(into, F.struct(*[m[c].alias(c) for c in names], long.alias("repeat_too_long"), base.alias("base_failed"), (~base & good).alias("kept"))).drop(raw)
 
 
 def keep_good(docs: DataFrame, text: str = "text", **limits) -> DataFrame:

@@ -6,7 +6,7 @@ import hashlib
 import os
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from . import alignment, bpe, chat, exact_dedup, langid, line_dedup, mixing, packing, quality, search, simhash, toxicity, url_filter
@@ -73,17 +73,19 @@ def op8_chat(spark, sf_dir):
     tricky = spark.createDataFrame(TRICKY, "conv_id long, turn long, role string, text string")
     formatted = chat.format_conversations(turns.unionByName(tricky))
 
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
         for batch in batches:
             rows = []
-            for conv_id, text, spans in zip(batch["conv_id"], batch["formatted"], batch["loss_spans"], strict=True):
+            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 back = chat.read_back(text)
                 loss = "".join(chat.unescape(text[s["start"] : s["end"]]) for s in spans)
-                rows.append((conv_id, len(back), sha("".join(f"{role}\n{said}\n" for role, said in back)), len(loss), sha(loss), len(text)))
-            yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+                rows.append((len(back), sha("".join(f"{role}\n{said}\n" for role, said in back)), len(loss), sha(loss), len(text)))
+            made = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)] if rows else []
+            if made:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.mapInPandas(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op9_exact_dedup(spark, sf_dir):

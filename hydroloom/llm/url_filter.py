@@ -192,7 +192,8 @@ def with_verdict(pages: DataFrame, url: str = "url", into: str = "url_filter", r
     """`pages` with a struct column `into`: host, path, rule, verdict (block or allow), score.
 
     A null url, or one without `://`, has empty host and path; no rule fits it and the model
-    scores the empty strings.  Rows may repeat; other columns stay as they are.
+    scores the empty strings.  Rows may repeat; other columns stay as they are, and `into` is
+    lengthened by `_` where `pages` has a column of that name in any case.
     """
     model = train(seed_labels() if labels is None else labels)
 
@@ -201,7 +202,7 @@ def with_verdict(pages: DataFrame, url: str = "url", into: str = "url_filter", r
         for hosts, paths in batches:
             yield pd.Series(model.score(hosts.tolist(), paths.tolist()))
 
-    raw = free_name(pages, "url_parts")
+    raw, into = free_name(pages, "url_parts"), free_name(pages, into)
     u = F.col(f"`{url}`")
     parts = pages.withColumn(raw, F.struct(host_of(u).alias("host"), path_of(u).alias("path")))
     host, path = F.col(raw)["host"], F.col(raw)["path"]

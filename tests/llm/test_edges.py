@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +115,54 @@ def test_conversations(spark):
     out = {r["conv_id"]: r for r in chat.format_conversations(spark.createDataFrame(turns, schema)).collect()}
     assert chat.read_back(out[1]["formatted"]) == [("", "t"), ("user", ""), ("user", "")] and len(out[None]["formatted"]) > 100_000
     assert chat.format_conversations(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_ids_beside_null_and_of_other_types(spark):
+    turns = [(2**60 + 1, 0, "user", "a"), (None, 0, "user", "b"), (-(2**63), 1, "user", "c")]
+    out = chat.format_conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    assert {r["conv_id"]: chat.read_back(r["formatted"]) for r in out.repartition(1).collect()} == {i: [("user", t)] for i, _, _, t in turns}
+    named = spark.createDataFrame([("x", 0, "user", "a"), ("x", 1, "assistant", "b")], "conv_id string, turn long, role string, text string")
+    assert [(r["conv_id"], len(chat.read_back(r["formatted"]))) for r in chat.format_conversations(named).collect()] == [("x", 2)]
+
+
+@pytest.mark.parametrize("kind, low, high", [("long", -(2**63), 5), ("string", "a", "b"), ("date", None, None)])
+def test_exact_groups_of_any_ids(spark, kind, low, high):
+    if kind == "date":
+        low, high = (datetime.date(2024, 1, d) for d in (1, 2))
+    frame = spark.createDataFrame([(high, "same  text"), (low, "same text"), (None, "sametext"), (low, "other"), (high, "sametext ")], f"doc_id {kind}, text string")
+    got = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.with_groups(frame).collect()}
+    assert got == {(high, high, 4, True), (high, high, 4, False), (low, high, 4, False), (None, high, 4, False), (low, low, 1, True)}
+    tie = spark.createDataFrame([(high, "ab"), (low, "ab"), (None, "ab")], f"doc_id {kind}, text string")
+    assert {r["keep_id"] for r in exact_dedup.with_groups(tie).collect()} == {low}
+
+
+def test_values_of_columns_with_dots_maps_and_taken_names(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    odd = spark.createDataFrame([(1, text, "a", {"k": 1, "m": None}, "mine", "own"), (2, None, None, None, None, None)], "`doc.id` long, `the.text` string, source string, `a.map` map<string,int>, quality_rules string, URL_filter string")
+    own = [(1, text, "a", {"k": 1, "m": None}, "mine", "own"), (2, None, None, None, None, None)]
+    values = lambda df: sorted(tuple(r)[:6] for r in df.collect())
+    tokens = bpe.with_tokens(odd, queries.tokenizer_path(), text="the.text")
+    assert values(tokens) == own and [len(r["token_ids"]) > 0 for r in tokens.orderBy("`doc.id`").collect()] == [True, False]
+    judged = quality.with_quality(odd, text="the.text")
+    assert values(judged) == own and [r["quality_rules_"]["n_words"] for r in judged.orderBy("`doc.id`").collect()] == [60, 0]
+    urls = url_filter.with_verdict(odd.withColumn("url", F.lit("https://x.com/en/")))
+    assert values(urls) == own and [r["url_filter_"]["rule"] for r in urls.collect()] == ["com/en/"] * 2
+    mixed = mixing.mixed_documents(odd, id="doc.id", text="the.text").collect()
+    assert mixed and all(tuple(r) in own for r in mixed)
+    assert simhash.keep_one(odd, "doc.id", "the.text").columns == odd.columns
+
+
+def test_many_languages(spark):
+    """250 languages of their own letters: all are learned and told apart."""
+    letters = "bcdfghjklmnpqrstvwxz"
+    names = [f"{a}{b}{v}" for a in letters for b in letters for v in "aeiou"][:250]
+
+    def said(name, n):
+        rng = random.Random(f"{name}{n}")
+        return " ".join("".join(rng.choice((name, name[::-1], name[1:] + name[0])) for _ in range(rng.randrange(1, 4))) for _ in range(30))
+
+    rows = [(i * 20 + n, said(name, n), name if n < 14 else None) for i, name in enumerate(names) for n in range(16)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r["language"]["lang"] for r in langid.with_language(docs, F.lit(True)).filter("lang is null").collect()}
+    right = sum(found[i * 20 + n] == name for i, name in enumerate(names) for n in (14, 15))
+    assert len(set(found.values())) >= 225 and right >= 0.9 * len(found)
