@@ -50,8 +50,11 @@ def as_of(probes: DataFrame, data: DataFrame, keys: Sequence[str], tolerance_s:
     rows at the same time the greatest value counts.  A probe that stands several times is
     asked once and comes back as often.  Time is cut into buckets as wide as the tolerance;
     data stand in the buckets from which they may be found, so probes meet them by an equi-join
-    on key and bucket, however many rows a key has.
+    on key and bucket, however many rows a key has.  Tolerance 0 asks for equal times; the
+    names `found_time` and `value` are lengthened by `_` where probes have them.
     """
+    if tolerance_s < 0:
+        raise ValueError("the tolerance is less than nothing")
     seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     width = tolerance_s * 1_000_000
     reach = [0, 1] if not nearest else [-1, 0, 1]
@@ -59,8 +62,9 @@ def as_of(probes: DataFrame, data: DataFrame, keys: Sequence[str], tolerance_s:
     t, bucket, found_time, found, p, own, many, best = (free(n, probes, data) for n in names)
     k_of = {k: free(f"asof_{k}", probes, data) for k in keys}
     rows = data.select(*[F.col(k).alias(n) for k, n in k_of.items()], F.col(time).alias(found_time), F.col(value).alias(found), seconds(time).alias(t))
-    rows = rows.withColumn(bucket, F.explode(F.array(*[F.floor(F.col(t) / width) + d for d in reach])))
-    asked = probes.groupBy(*probes.columns).agg(F.count("*").alias(many)).withColumn(p, seconds(at)).withColumn(own, F.floor(F.col(p) / width))
+    span = max(width, 1)
+    rows = rows.withColumn(bucket, F.explode(F.array(*[F.floor(F.col(t) / span) + d for d in reach])))
+    asked = probes.groupBy(*probes.columns).agg(F.count("*").alias(many)).withColumn(p, seconds(at)).withColumn(own, F.floor(F.col(p) / span))
     near = (F.abs(F.col(p) - F.col(t)) <= width) if nearest else ((F.col(t) <= F.col(p)) & (F.col(p) - F.col(t) <= width))
     same = F.col(bucket) == F.col(own)
     for k, n in k_of.items():
@@ -69,7 +73,7 @@ def as_of(probes: DataFrame, data: DataFrame, keys: Sequence[str], tolerance_s:
     order = F.struct(F.negative(F.abs(F.col(p) - F.col(t))), F.negative(F.col(t)), F.col(found))
     chosen = met.groupBy(*probes.columns, many).agg(F.max_by(F.struct(F.col(found_time).alias("time"), F.col(found).alias("value")), order).alias(best))
     again = chosen.withColumn(own, F.explode(F.sequence(F.lit(1).cast("long"), F.col(many))))
-    return again.select(*probes.columns, F.col(best)["time"].alias("found_time"), F.col(best)["value"].alias(value))
+    return again.select(*probes.columns, F.col(best)["time"].alias(free("found_time", probes)), F.col(best)["value"].alias(free(value, probes)))
 
 
 def align(series: DataFrame, sections: DataFrame, tag: str = "tag") -> DataFrame:

@@ -147,8 +147,13 @@ def resample_supported(points: DataFrame, target: DataFrame, radius: float, leas
 
 
 def warp(grid: DataFrame, step: float, spark) -> DataFrame:
-    """`grid` at another resolution over the same box, by nearest cell."""
+    """`grid` at another resolution over the same box, by nearest cell; no rows of an empty field.
+
+    The box is one row, read while the plan is made.
+    """
     box = grid.agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
+    if box[0] is None:
+        return interpolate(grid, regular_grid((0.0, 0.0), (0.0, 0.0), step, spark), "nn", radius=step * 111_195 * 1.5).limit(0)
     return interpolate(grid, regular_grid((box[0], box[1]), (box[2], box[3]), step, spark), "nn", radius=step * 111_195 * 1.5)
 
 

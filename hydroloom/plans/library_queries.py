@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hydroloom.functions import strings, times
+from hydroloom.functions import json_text, strings, times
 from hydroloom.model import NO_DATA
 from hydroloom.operators import masks, series, shaping, spatial
 from hydroloom.plans import adapters, mapping, pipelines
@@ -453,7 +453,54 @@ def json_documents_checked(spark, sf_dir):
     k = C("o_orderkey")
     good = F.concat(F.lit('{"a": "// no remark ,}", /* remark */ "b": ['), k.cast("string"), F.lit(", 2, ], // more\n}"))
     doc = F.when(k % 4 == 0, " ").when(k % 4 == 1, F.concat(F.lit('{"a": '), k.cast("string"))).otherwise(good)
-    return text.checked_json(adapters.table(spark, sf_dir, "orders").select("o_orderkey", doc.alias("json"))).drop("json")
+    return json_text.checked_json(adapters.table(spark, sf_dir, "orders").select("o_orderkey", doc.alias("json"))).drop("json")
+
+
+@query(
+    """WITH d AS (SELECT o_orderkey, o_orderkey % 6 AS kind, length(o_orderkey::VARCHAR) AS n FROM orders)
+    SELECT o_orderkey, kind < 2 AS valid, CASE kind WHEN 2 THEN 'Expecting value' WHEN 3 THEN 'Unterminated string starting at' WHEN 4 THEN 'Extra data' WHEN 5 THEN 'Expecting '','' delimiter' END AS error,
+        CASE WHEN kind IN (2, 4) THEN 2 WHEN kind IN (3, 5) THEN 1 END::INT AS line, CASE kind WHEN 2 THEN 6 WHEN 3 THEN 9 + n WHEN 4 THEN 1 WHEN 5 THEN 8 + n END::INT AS col,
+        CASE kind WHEN 2 THEN 16 + n WHEN 3 THEN 8 + n WHEN 4 THEN 8 + n WHEN 5 THEN 7 + n END::INT AS pos FROM d"""
+)
+def json_error_places(spark, sf_dir):
+    """Documents broken in four ways, and where: places are those of the text with its remarks."""
+    k = C("o_orderkey").cast("string")
+    forms = [
+        (r'{"a": "\"x // y\"z", "b": ', "}"),
+        ('{"a": [', ', "#", ], /* , } */ }'),
+        ('{"a": ', ', //\n "b":}'),
+        ('{"a": ', ', "b: 1}'),
+        ('{"a": ', "}\n{}"),
+        ('{"a": ', ' "b": 1}'),
+    ]
+    text_of = F.element_at(F.array(*[F.concat(F.lit(a), k, F.lit(b)) for a, b in forms]), (C("o_orderkey") % 6 + 1).cast("int"))
+    found = adapters.table(spark, sf_dir, "orders").select("o_orderkey", json_text.json_error(text_of).alias("e"))
+    return found.select("o_orderkey", C("e.error").isNull().alias("valid"), "e.error", "e.line", "e.col", "e.pos")
+
+
+@query(
+    """WITH p AS (SELECT user_id, ts + INTERVAL 1 MICROSECOND * (event_id % 2) AS probe_time, value FROM events), e AS (SELECT user_id, ts, max(value) AS best FROM events GROUP BY user_id, ts)
+    SELECT p.user_id, probe_time, value, ts AS found_time, best AS value_ FROM p LEFT JOIN e ON p.user_id = e.user_id AND ts = probe_time"""
+)
+def asof_exact(spark, sf_dir):
+    """Events asked for at their own times, or a microsecond later, with no tolerance; probes have values of their own."""
+    e = adapters.table(spark, sf_dir, "events")
+    later = C("ts") + F.when(C("event_id") % 2 == 1, F.expr("INTERVAL '0.000001' SECOND")).otherwise(F.expr("INTERVAL '0' SECOND"))
+    return series.as_of(e.select("user_id", later.alias("probe_time"), "value"), e, ["user_id"], 0, time="ts")
+
+
+@query(
+    """WITH template AS (SELECT p_brand AS section, p_partkey AS ord, 'par' || p_partkey AS param, 'default' AS mode, p_size::VARCHAR AS default_value FROM part),
+    o AS (SELECT 'par' || o_orderkey % 5000 AS param, arg_max(o_orderkey::VARCHAR, o_orderkey) AS value FROM orders GROUP BY ALL)
+    SELECT section, ord, t.param, mode, default_value, coalesce(value, default_value) AS value FROM template t LEFT JOIN o USING (param)"""
+)
+def namelist_overrides_repeated(spark, sf_dir):
+    """Parameters overridden many times: the last one counts, and each template row stays one."""
+    part, orders = adapters.table(spark, sf_dir, "part"), adapters.table(spark, sf_dir, "orders")
+    template = part.select(C("p_brand").alias("section"), C("p_partkey").alias("ord"), F.concat(F.lit("par"), "p_partkey").alias("param"), F.lit("default").alias("mode"), C("p_size").cast("string").alias("default_value"))
+    k = C("o_orderkey")
+    overrides = orders.select(F.lit("by_value").alias("kind"), F.concat(F.lit("par"), k % 5000).alias("key"), k.cast("string").alias("value"), F.lit(True).alias("active"), k.alias("ord"))
+    return namelist.build_values(template, overrides)
 
 
 @query("SELECT DISTINCT o_orderdate::TIMESTAMP AS time FROM orders WHERE o_orderkey % 5 > 0")

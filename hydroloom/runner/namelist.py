@@ -16,12 +16,16 @@ from hydroloom.operators.masks import small
 def build_updates(template: DataFrame, overrides: DataFrame) -> DataFrame:
     """(param, value, kind): by_value where the key is the parameter, by_pattern where the parameter contains the key.
 
-    by_value wins; of several patterns the first by key does.  A parameter meets patterns by
-    its substrings of the patterns' lengths, an equi-join.
+    by_value wins; of several patterns the first by key does.  Of a key that is given more than
+    once the last one counts: the highest `ord` where overrides have such a column, else the
+    greatest value.  A parameter meets patterns by its substrings of the patterns' lengths, an
+    equi-join.
     """
     active = overrides.filter(F.coalesce("active", F.lit(True)))
-    exact = active.filter("kind = 'by_value'").select(F.col("key").alias("param"), F.col("value").alias("exact"))
-    pattern = active.filter("kind = 'by_pattern'").select("key", F.col("value").alias("like"))
+    last = F.max_by("value", F.struct("ord", "value") if "ord" in overrides.columns else F.col("value"))
+    given = active.groupBy("kind", "key").agg(last.alias("value"))
+    exact = given.filter("kind = 'by_value'").select(F.col("key").alias("param"), F.col("value").alias("exact"))
+    pattern = given.filter("kind = 'by_pattern'").select("key", F.col("value").alias("like"))
     params = template.select("param").distinct()
     lengths = pattern.agg(F.collect_set(F.length("key")).alias("lengths"))
     parts = params.join(F.broadcast(lengths)).select("param", F.explode(F.filter("lengths", lambda n: n <= F.length("param"))).alias("n"))

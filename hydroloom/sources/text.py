@@ -87,21 +87,6 @@ def basins_of(db: DataFrame, column: str = "BASIN") -> DataFrame:
     return db.select(F.col(f"`{column}`").alias("basin")).filter("basin is not null and basin != ''").distinct()
 
 
-def plain_json(text: Column) -> Column:
-    """JSON without remarks (// and /* */ outside strings) and without commas before a closing bracket."""
-    string = r'("(?:[^"\\\\]|\\\\.)*")'
-    bare = F.regexp_replace(text, string + r"|//[^\n]*|/\*[\s\S]*?\*/", "$1")
-    return F.regexp_replace(bare, string + r"|,(?=\s*[}\]])", "$1")
-
-
-def checked_json(documents: DataFrame, column: str = "json") -> DataFrame:
-    """`documents` with `valid`, whether the text is JSON after `plain_json`, and `problem` (NULL if none)."""
-    parsed = F.try_parse_json(plain_json(F.col(column)))
-    empty = F.trim(F.coalesce(column, F.lit(""))) == ""
-    problem = F.when(empty, "empty").when(parsed.isNull(), "no JSON")
-    return documents.withColumn("valid", problem.isNull()).withColumn("problem", problem)
-
-
 def explode_hydrographs(docs: DataFrame, column: str = "json", series: dict[str, str] | None = None) -> DataFrame:
     """(domain, section, run, kind, pos, time, value) of hydrograph documents (flat JSON objects of strings).
 
