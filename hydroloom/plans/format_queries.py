@@ -13,7 +13,7 @@ from hydroloom.plans.queries import query, r6
 from hydroloom.shared import new_path
 from hydroloom.sinks import netcdf as netcdf_sink
 from hydroloom.sinks.files import write_files
-from hydroloom.sources import geotiff, grib, netcdf
+from hydroloom.sources import geotiff, grib, netcdf, shapefile
 
 C = F.col
 PIECE = "name string, offset long, content binary"
@@ -105,3 +105,32 @@ def scan_grib(spark, sf_dir):
     read = grib.read_grib(spark, path).filter("value is not null")
     place = lambda c, origin: F.round((C(c) - origin) * 10).cast("int")
     return read.select("time_start", "time", "var", (-place("lat", 46.0)).alias("row"), place("lon", 10.0).alias("col"), r6(C("lat")).alias("lat"), r6(C("lon")).alias("lon"), r6(C("value")).alias("value"))
+
+
+SQUARE = "'((' || concat_ws(', ', x || ' ' || y, x || ' ' || (y + 1), (x + 1) || ' ' || (y + 1), (x + 1) || ' ' || y, x || ' ' || y) || ')"
+
+
+@query(
+    f"""WITH n AS (SELECT n_name AS name, n_nationkey AS key, n_regionkey % 3 AS kind, 10.5::DOUBLE + n_nationkey AS x, 45.5::DOUBLE - n_nationkey AS y FROM nation)
+    SELECT name, key, key / 4.0::DOUBLE AS quarter, DATE '2024-01-01' + key::INT AS day, key % 2 = 0 AS even,
+        CASE WHEN key % 7 = 6 THEN NULL WHEN kind = 0 THEN 'POINT (' || x || ' ' || y || ')' WHEN kind = 1 THEN 'LINESTRING (' || x || ' ' || y || ', ' || (x + 1) || ' ' || y || ')' ELSE 'POLYGON ' || {SQUARE})' END AS geometry FROM n"""
+)
+def scan_shapefile(spark, sf_dir):
+    """Nations as shapes of their regions (points, lines or squares, some without), written as shapefiles with index and attributes, and scanned again."""
+    path = new_path(spark, "shapes")
+
+    def files(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("n_nationkey")
+        kind = (shapefile.POINT, shapefile.LINE, shapefile.POLYGON)[int(key[0]) % 3]
+        shapes, rows = [], []
+        for nation, name in zip(part["n_nationkey"].tolist(), part["n_name"], strict=True):
+            x, y = 10.5 + nation, 45.5 - nation
+            square = np.array([(x, y), (x, y + 1), (x + 1, y + 1), (x + 1, y), (x, y)])
+            points = square[:1] if kind == shapefile.POINT else square[[0, 3]] if kind == shapefile.LINE else square
+            shapes.append(None if nation % 7 == 6 else (kind, [points]))
+            rows.append([name, nation, nation / 4, pd.Timestamp(2024, 1, 1) + pd.Timedelta(days=nation), nation % 2 == 0])
+        made = shapefile.encode(shapes, kind, [("name", "C", 25, 0), ("key", "N", 9, 0), ("quarter", "N", 12, 3), ("day", "D", 8, 0), ("even", "L", 1, 0)], rows)
+        return pd.DataFrame({"name": [f"region_{key[0]}{end}" for end in made], "offset": 0, "content": list(made.values())})
+
+    write_files(adapters.table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", "n_name").groupBy("n_regionkey").applyInPandas(files, PIECE), path)
+    return shapefile.read_shapefile(spark, path).select("name", "key", "quarter", "day", "even", "geometry")

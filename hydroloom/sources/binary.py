@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydroloom.sources import geotiff, grib, netcdf, text
+from hydroloom.sources import geotiff, grib, netcdf, shapefile, text
 
 #: What file name endings mean.
 FORMATS = {"csv": "csv", "tif": "geotiff", "tiff": "geotiff", "nc": "netcdf", "grib": "grib", "grb": "grib", "json": "json", "geojson": "json", "txt": "txt", "asc": "ascii", "shp": "shp", "parquet": "parquet", "tmp": "tmp", "file": "file"}
@@ -41,7 +41,9 @@ def read(spark: SparkSession, path: str, kind: str | None = None, **options) ->
         return geotiff.read_geotiff(spark, path, **options)
     if kind == "grib":
         return grib.read_grib(spark, path, **options)
-    raise NotImplementedError(f"{kind} needs a decoder")
+    if kind == "shp":
+        return shapefile.read_shapefile(spark, path, **options)
+    raise NotImplementedError(f"{kind} has no decoder")
 
 
 def int_cube(files: DataFrame, rows: int, cols: int, scale: float = 10.0, dtype: str = "<i4", expected: int | None = None) -> DataFrame:

@@ -114,6 +114,8 @@ class Format:
     """One file format; instances are sent to tasks."""
 
     schema = ""
+    #: What the names of files end in, or of all.
+    ending = ""
 
     def __init__(self, options: dict[str, str]):
         self.options = options
@@ -152,7 +154,7 @@ class RangedReader(DataSourceReader):
             return [p for p in self.format.parts(file) if self.wanted(p)]
 
     def partitions(self) -> list[Work]:
-        files = list_files(self.path)
+        files = [f for f in list_files(self.path) if f[0].lower().endswith(self.format.ending)]
         if len(files) > self.planned:
             plans = [None] * len(files)
         else:

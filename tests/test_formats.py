@@ -14,7 +14,7 @@ from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual
 
 from hydroloom.sinks import files
 from hydroloom.sinks import netcdf as netcdf_sink
-from hydroloom.sources import binary, geotiff, grib, netcdf, ranged
+from hydroloom.sources import binary, geotiff, grib, netcdf, ranged, shapefile
 
 RNG = np.random.default_rng(1)
 
@@ -355,3 +355,49 @@ def test_grib_by_message(spark, tmp_path):
     assert grib.read_grib(spark, f"{tmp_path}/c.grib").filter("var = 'u'").count() == 8 * 600
     with pytest.raises(Exception, match="packing 42"):
         grib.read_grib(spark, f"{tmp_path}/c.grib").count()
+
+
+# -- shapefiles
+
+
+def test_shapes_and_attributes(spark, tmp_path):
+    ring = lambda x, y, size, clockwise=True: np.array([(x, y), (x, y + size), (x + size, y + size), (x + size, y), (x, y)][:: 1 if clockwise else -1], float)
+    polygons = [(5, [ring(0, 0, 10), ring(2, 2, 1, False), ring(20, 0, 5)]), None, (5, [ring(1, 1, 1, False)]), (5, [ring(-3, -3, 1)])]
+    rows = [["one", 1, 0.5, datetime(2024, 2, 29), True], [None, None, None, None, None], ["é", -7, 2.25, None, False], ["gone", 0, 0.0, None, None]]
+    fields = [("name", "C", 10, 0), ("N", "N", 6, 0), ("share", "N", 10, 3), ("day", "D", 8, 0), ("good", "L", 1, 0)]
+    made = shapefile.encode(polygons, shapefile.POLYGON, fields, rows)
+    table = bytearray(made[".dbf"])
+    table[-1 - 36] = 0x2A  # the last record is marked as deleted
+    for end, content in {**made, ".dbf": bytes(table)}.items():
+        (tmp_path / f"a{end}").write_bytes(content)
+    read = binary.read(spark, f"{tmp_path}/a.shp")
+    assert read.dtypes == [("path", "string"), ("record", "int"), ("geometry", "string"), ("name", "string"), ("N", "bigint"), ("share", "double"), ("day", "date"), ("good", "boolean")]
+    got = [tuple(r)[1:] for r in read.orderBy("record").collect()]
+    assert got == [
+        (0, "MULTIPOLYGON (((0.0 0.0, 0.0 10.0, 10.0 10.0, 10.0 0.0, 0.0 0.0), (2.0 2.0, 3.0 2.0, 3.0 3.0, 2.0 3.0, 2.0 2.0)), ((20.0 0.0, 20.0 5.0, 25.0 5.0, 25.0 0.0, 20.0 0.0)))", "one", 1, 0.5, datetime(2024, 2, 29).date(), True),
+        (1, None, None, None, None, None, None),
+        (2, "POLYGON ((1.0 1.0, 2.0 1.0, 2.0 2.0, 1.0 2.0, 1.0 1.0))", "é", -7, 2.25, None, False),
+    ]
+
+
+def test_shapefiles_without_index_or_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shapefile, "RUN", 7)
+    rng = np.random.default_rng(3)
+    lines = [(3, [np.round(rng.random((3, 2)), 2), np.round(rng.random((2, 2)), 2)]) for _ in range(20)]
+    made = shapefile.encode(lines, shapefile.LINE, [("k", "N", 5, 0)], [[i] for i in range(20)])
+    (tmp_path / "a.shp").write_bytes(made[".shp"])
+    reader = lambda: ranged.RangedReader(shapefile.Shapefile({}, [("k", "long")]), str(tmp_path), {"partition_bytes": 1})
+    rows = lambda: [r for p in reader().partitions() for b in reader().read(p) for r in b.to_pylist()]
+    bare = rows()
+    assert len(reader().partitions()) == 3 and [r["record"] for r in bare] == list(range(20)) and {r["k"] for r in bare} == {None}
+    (tmp_path / "a.shx").write_bytes(made[".shx"])
+    (tmp_path / "a.DBF").write_bytes(made[".dbf"])
+    whole = rows()
+    assert [r["geometry"] for r in whole] == [r["geometry"] for r in bare] and [r["k"] for r in whole] == list(range(20))
+    assert whole[0]["geometry"] == "MULTILINESTRING (" + ", ".join("(" + ", ".join(f"{x!r} {y!r}" for x, y in p.tolist()) + ")" for p in lines[0][1]) + ")"
+    points = shapefile.encode([(8, [np.array([(1, 2), (3.5, 4)])])], shapefile.POINTS, [], [[]])
+    assert shapefile.wkt(points[".shp"][108:]) == "MULTIPOINT (1.0 2.0, 3.5 4.0)"
+    assert shapefile.wkt(struct.pack("<i3d", 11, 1, 2, 9)) == "POINT (1.0 2.0)"
+    (tmp_path / "b.shp").write_bytes(bytes(200))
+    with pytest.raises(Exception, match="no shapefile"):
+        shapefile.read_shapefile(spark, str(tmp_path)).count()
