@@ -460,4 +460,4 @@ def convert_temperature_pipeline(spark, sf_dir):
     return done.withColumn("value", r6(F.coalesce("value", F.lit(NO_DATA))))
 
 
-from hydroloom.plans import file_queries, format_queries, library_queries  # noqa: E402,F401  registers the queries of the library's other parts
+from hydroloom.plans import file_queries, format_queries, library_queries, run_queries  # noqa: E402,F401  registers the queries of the library's other parts
