@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hydroloom.functions import json_text, strings, times
 from hydroloom.model import NO_DATA
-from hydroloom.operators import masks, series, shaping, spatial
+from hydroloom.operators import collections, masks, series, shaping, spatial
 from hydroloom.plans import adapters, mapping, pipelines
 from hydroloom.plans.adapters import SQL, with_views
 from hydroloom.plans.queries import AR, ES, LUT, POINTS, _moved, _overrides, _points, _template, query, r6
@@ -503,6 +503,21 @@ def namelist_overrides_repeated(spark, sf_dir):
     return namelist.build_values(template, overrides)
 
 
+@query(
+    with_views("ref")
+    + """SELECT v.var, row, col, lat, lon, CASE v.var WHEN 'size' THEN p_size::DOUBLE WHEN 'far' THEN ref_value * 2 ELSE ref_value END AS value, v.var <> 'far' AS same_box
+    FROM ref JOIN part ON p_partkey = row * 15 + col, (VALUES ('dem'), ('size'), ('far')) v(var)"""
+)
+def collected_grids_checked(spark, sf_dir):
+    """Three fields collected on the terrain's grid: one a third of a cell off is taken as it is, one further off is told."""
+    ref = adapters.ref(spark, sf_dir)
+    shifted = adapters.ref(spark, sf_dir, (0.03, 0.04))
+    far = adapters.ref(spark, sf_dir, (0.5, 0.0))
+    size = adapters.table(spark, sf_dir, "part").select(*adapters.cells("p_partkey", (0.03, -0.03)), C("p_size").cast("double").alias("value"))
+    parts = {"dem": shifted.withColumnRenamed("ref_value", "value"), "size": size, "far": far.select("row", "col", "lat", "lon", (C("ref_value") * 2).alias("value"))}
+    return collections.collect_grids(parts, ref).drop("time")
+
+
 @query("SELECT DISTINCT o_orderdate::TIMESTAMP AS time FROM orders WHERE o_orderkey % 5 > 0")
 def time_index_of_texts(spark, sf_dir):
     """Times written in four forms, and texts that are none."""
