@@ -37,6 +37,8 @@ from .common import free_name, written
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
 #: Of `keep_one`: fingerprints a text, bits of 128 in which candidates differ at most, words of a shingle and least similarity.
 PRINTS, FAR, WIDE_SHINGLE, SIMILAR = 5, 28, 5, 0.8
+#: Row numbers that are sent to every executor (about 30 bytes each).
+BROADCAST_NUMBERS = 4_000_000
 #: Texts of a group of candidates that one task compares; larger groups are cut into parts that meet pairwise.
 GROUP = 2_000
 #: Rows of an anchor from which it is cut into blocks of as many rows.
@@ -369,6 +371,11 @@ def alike_in_groups(members: DataFrame, least: float = SIMILAR, most: int = GROU
     return whole.select("block", "of", "set").repartition("block").sortWithinPartitions("block").mapInPandas(compare, "node long, root long")
 
 
+def _few(numbers: DataFrame) -> DataFrame:
+    """Counted rows of numbers are broadcast up to BROADCAST_NUMBERS; beyond that the texts are shuffled to meet them."""
+    return F.broadcast(numbers) if numbers.count() <= BROADCAST_NUMBERS else numbers
+
+
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", least: float = SIMILAR, prints: int = PRINTS) -> DataFrame:
     """One row of `docs` for each group of near copies, columns as they were: the smallest id, nulls last, then the first row.
 
@@ -400,10 +407,14 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", least: flo
     same = prints_of.join(shared, ["kind", "fp", "also"]).filter("class != root").select(F.col("class").alias("node"), "root")
     met = components(candidates(heads.select("kind", "fp", "also", "node"), FAR).unionByName(same))
     groups = met.select(F.col("node").alias("of"), F.col("root").alias("group")).unionByName(met.select(F.col("root").alias("of"), F.col("root").alias("group")).distinct())
+    groups = written(groups, "groups")
     # only texts of candidates are read again
-    members = written(texts.join(groups, F.col("row") == F.col("of")).select("of", "group", _shingles("text").alias("set")), "members")
+    members = written(texts.join(_few(groups), F.col("row") == F.col("of")).select("of", "group", _shingles("text").alias("set")), "members")
     roots = components(alike_in_groups(members, least))
-    rooted = classes.select("words", "low", F.col("low")["row"].alias("class")).join(roots, F.col("class") == F.col("node"), "left")
+    rooted = classes.select("words", "low", F.col("low")["row"].alias("class")).join(roots, F.col("class") == F.col("node"), "left").select("words", "low", F.coalesce("root", "class").alias("tree"))
     # of a group the class with the smallest first row stays, and in it that row
-    keep = rooted.groupBy(F.coalesce("root", "class").alias("of")).agg(F.min("low").alias("low")).select(F.col("low")["row"].alias(number))
-    return numbered.join(keep, number, "left_semi").drop(number)
+    keep = rooted.groupBy(F.col("tree").alias("of")).agg(F.min("low").alias("best")).select("of", F.col("best")["row"].alias("best"))
+    stays = rooted.join(keep, F.col("tree") == F.col("of")).select(F.col("words").alias("same"), "best")
+    gone = written(each.select("row", "words").join(stays, F.col("words") == F.col("same")).filter("row != best").select(F.col("row").alias(number)), "gone")
+    # what goes is less than what stays
+    return numbered.join(_few(gone), number, "left_anti").drop(number)

@@ -23,7 +23,9 @@ def test_texts_without_id(spark):
     assert kept(spark, rows) == [(7, text("c"), "5"), (None, text("a"), "1"), (None, text("b"), "2")]
 
 
-def test_one_id_with_two_texts(spark):
+@pytest.mark.parametrize("few", [0, 1_000])
+def test_one_id_with_two_texts(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "BROADCAST_NUMBERS", few)
     rows = [(1, text("a"), "1"), (1, text("b"), "2"), (1, text("b"), "3"), (2, text("b"), "4"), (3, text("c"), "5"), (3, text("a"), "6")]
     assert kept(spark, rows) == [(1, text("a"), "1"), (1, text("b"), "2"), (3, text("c"), "5")]
 
