@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hydroloom.functions import json_text, strings, times
+from hydroloom.functions import free_time, json_text, strings, times
 from hydroloom.model import NO_DATA
 from hydroloom.operators import collections, masks, series, shaping, spatial
 from hydroloom.plans import adapters, mapping, pipelines
@@ -518,6 +518,24 @@ def collected_grids_checked(spark, sf_dir):
     return collections.collect_grids(parts, ref).drop("time")
 
 
+FORMS = ("yyyy-MM-dd", "yyyy/MM/dd", "yyyy.MM.dd", "yyyyMMdd", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyyMMddHHmm", "d MMMM yyyy", "d MMM yyyy", "MMMM d, yyyy", "MMM d yyyy HH:mm", "EEE, dd MMM yyyy HH:mm:ss 'GMT'", "EEEE d MMMM yyyy", "MM/dd/yyyy", "MM/dd/yy", "MM-dd-yyyy h:mm a", "dd-MMM-yyyy HH'h'", "yyyy MMM d", "'run of' yyyy-MM-dd 'at' h a", "d'th of' MMMM, yyyy 'at' h:mm a")
+#: Of each form the parts of the time of day that it shows: hours, minutes, seconds.
+SHOWN = (0, 0, 0, 0, 2, 3, 2, 0, 0, 0, 2, 3, 0, 0, 0, 2, 1, 0, 1, 2)
+
+
+@query(
+    f"""WITH t AS (SELECT o_orderkey, o_orderdate::TIMESTAMP + INTERVAL 1 SECOND * (o_orderkey % 86400) AS time, (o_orderkey % {len(FORMS) + 1})::INT AS form FROM orders)
+    SELECT o_orderkey, form, CASE WHEN form = {len(FORMS)} THEN NULL ELSE CASE [{', '.join(map(str, SHOWN))}][form + 1] WHEN 0 THEN date_trunc('day', time)::TIMESTAMP WHEN 1 THEN date_trunc('hour', time) WHEN 2 THEN date_trunc('minute', time) ELSE time END END AS time FROM t"""
+)
+def times_of_free_text(spark, sf_dir):
+    """Order dates in twenty written forms, and texts without a time."""
+    time = C("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(secs=C("o_orderkey") % 86_400)
+    said = F.array(*[F.date_format(time, f) for f in FORMS], F.concat(F.lit("order "), C("o_orderkey") % 97))
+    form = (C("o_orderkey") % (len(FORMS) + 1)).cast("int")
+    texts = adapters.table(spark, sf_dir, "orders").select("o_orderkey", form.alias("form"), F.get(said, form).alias("said"))
+    return texts.select("o_orderkey", "form", free_time.parse_free(C("said")).alias("time"))
+
+
 @query("SELECT DISTINCT o_orderdate::TIMESTAMP AS time FROM orders WHERE o_orderkey % 5 > 0")
 def time_index_of_texts(spark, sf_dir):
     """Times written in four forms, and texts that are none."""
