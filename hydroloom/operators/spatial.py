@@ -87,10 +87,17 @@ def complete(grid: DataFrame, ref: DataFrame, fill: float | None = None) -> Data
 def merge_by_ref(sources: list[DataFrame], ref: DataFrame, method: str = "nn", radius: float = 18_000.0, most: int = 8, ref_no_data: float = NO_DATA, var_no_data: float | None = NO_DATA, table: DataFrame | None = None) -> DataFrame:
     """Tiles on the reference grid: each is regridded, and of several values the last source's counts; then the terrain's mask.
 
-    table: neighbours found before, for tiles that share their cells.
+    table: neighbours found before, for tiles that share their cells; these are regridded together.
     """
-    placed = [interpolate(s, ref, method, radius, most, table).filter(~nothing(F.col("value"))).withColumn("src", F.lit(i)) for i, s in enumerate(sources)]
-    every = reduce(DataFrame.unionByName, placed)
+    if table is not None:
+        # the tile's number goes along in the variable's name
+        mark = "\x1f"
+        told = [s.withColumn("var", F.concat(F.lit(f"{i}{mark}"), "var")) for i, s in enumerate(sources)]
+        whole = interpolate(reduce(DataFrame.unionByName, told), ref, method, radius, most, table).filter(~nothing(F.col("value")))
+        every = whole.withColumn("src", F.substring_index("var", mark, 1).cast("int")).withColumn("var", F.expr(f"substring(var, locate('{mark}', var) + 1)"))
+    else:
+        placed = [interpolate(s, ref, method, radius, most).filter(~nothing(F.col("value"))).withColumn("src", F.lit(i)) for i, s in enumerate(sources)]
+        every = reduce(DataFrame.unionByName, placed)
     last = every.groupBy("var", "time", "row", "col").agg(F.max_by("value", "src").alias("value"), F.first("lat").alias("lat"), F.first("lon").alias("lon"))
     return mask_by_ref(last.select("var", "time", "row", "col", "lat", "lon", "value"), ref, ref_no_data, var_no_data)
 

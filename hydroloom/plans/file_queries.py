@@ -155,9 +155,11 @@ def scan_geojson(spark, sf_dir):
 # grids
 
 
-@query("SELECT r::INT AS row, c::INT AS col, round(46.0::DOUBLE - 0.1::DOUBLE * r, 6) AS lat, round(10.0::DOUBLE + 0.1::DOUBLE * c, 6) AS lon, 1.0::DOUBLE AS value FROM range(21) a(r), range(16) b(c)")
+@query(with_views("ref") + ", rows AS (SELECT unnest(range(max(row) + 1)) AS r FROM ref) SELECT r::INT AS row, c::INT AS col, round(46.0::DOUBLE - 0.1::DOUBLE * r, 6) AS lat, round(10.0::DOUBLE + 0.1::DOUBLE * c, 6) AS lon, 1.0::DOUBLE AS value FROM rows, range(15) b(c)")
 def constant_grid(spark, sf_dir):
-    cells = spatial.regular_grid((44.0, 46.0), (10.0, 11.5), 0.1, spark)
+    """Ones on every cell of the terrain's box, also where no part stands."""
+    box = adapters.ref(spark, sf_dir).agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
+    cells = spatial.regular_grid((box[0], box[1]), (box[2], box[3]), 0.1, spark)
     return cells.select("row", "col", r6(C("lat")).alias("lat"), r6(C("lon")).alias("lon"), F.lit(1.0).alias("value"))
 
 

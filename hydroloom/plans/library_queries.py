@@ -42,25 +42,28 @@ RAD = f"greatest({LUT} * 0.65 * CASE WHEN raw <= 0 THEN 0 ELSE raw END, 0)"
 RH = f"least(greatest(100 * {ES.format('td')} / ({ES.format('t')}), 0), 100)"
 
 
-@query(
-    _wide()
-    + f""", far AS (SELECT * FROM (SELECT s.row AS src_row, s.col AS src_col, t.row, t.col, row_number() OVER (PARTITION BY t.row, t.col ORDER BY (s.x - t.x) ** 2 + (s.y - t.y) ** 2 + (s.z - t.z) ** 2, s.row, s.col) AS rank
-        FROM xyz_s s JOIN xyz_t t ON (s.x - t.x) ** 2 + (s.y - t.y) ** 2 + (s.z - t.z) ** 2 < 25000.0 * 25000.0) WHERE rank = 1),
-    fields AS (
-        SELECT 'AIR_T' AS var, 25 AS reach, time, row, col, t - 273.15 AS value FROM weather UNION ALL SELECT 'RAIN', 25, time, row, col, rain FROM weather
-        UNION ALL SELECT 'WIND_SPEED', 22, time, row, col, sqrt(u * u + v * v) FROM weather UNION ALL SELECT 'RH', 22, time, row, col, {RH} FROM weather
-        UNION ALL SELECT 'INC_RAD', 22, time, row, col, {RAD} FROM {AR}),
+#: Nearest cells within 25 km, and fields (var, reach, time, row, col, value) placed and masked.
+FAR = """, far AS (SELECT * FROM (SELECT s.row AS src_row, s.col AS src_col, t.row, t.col, row_number() OVER (PARTITION BY t.row, t.col ORDER BY (s.x - t.x) ** 2 + (s.y - t.y) ** 2 + (s.z - t.z) ** 2, s.row, s.col) AS rank
+        FROM xyz_s s JOIN xyz_t t ON (s.x - t.x) ** 2 + (s.y - t.y) ** 2 + (s.z - t.z) ** 2 < 25000.0 * 25000.0) WHERE rank = 1)"""
+MET = """,
     met AS (
         SELECT var, time, w.row, w.col, value FROM fields f JOIN weights w ON f.row = src_row AND f.col = src_col AND rank = 1 WHERE reach = 22
         UNION ALL SELECT var, time, w.row, w.col, value FROM fields f JOIN far w ON f.row = src_row AND f.col = src_col WHERE reach = 25)
     SELECT var, time, b.row, b.col, m.lat, m.lon, round(CASE WHEN ref_value <> -9999 THEN value END, 6) AS value FROM met b JOIN moved m ON m.row = b.row AND m.col = b.col"""
-)
+DIRECT = "SELECT 'AIR_T' AS var, 25 AS reach, time, row, col, t - 273.15 AS value FROM weather UNION ALL SELECT 'RAIN', 25, time, row, col, rain FROM weather"
+DERIVED = f"SELECT 'WIND_SPEED', 22, time, row, col, sqrt(u * u + v * v) FROM weather UNION ALL SELECT 'RH', 22, time, row, col, {RH} FROM weather"
+
+
+def _near(spark, sf_dir) -> dict:
+    """Nearest cells within both radii of the shipped lists."""
+    cells, ref = adapters.grid(spark, sf_dir).select("row", "col", "lat", "lon").distinct(), _moved(spark, sf_dir)
+    return {("nn", reach, 7): spatial.neighbours(cells, ref, reach, 1) for reach in (22_000, 25_000)}
+
+
+@query(_wide() + FAR + f", fields AS ({DIRECT} UNION ALL {DERIVED} UNION ALL SELECT 'INC_RAD', 22, time, row, col, {RAD} FROM {AR})" + MET)
 def icon_forcing_pipeline(spark, sf_dir):
     """The shipped ICON process lists: arguments bound to inputs, regridding, terrain mask, units."""
-    inputs, ref = _icon_inputs(spark, sf_dir), _moved(spark, sf_dir)
-    cells = adapters.grid(spark, sf_dir).select("row", "col", "lat", "lon").distinct()
-    near = {("nn", reach, 7): spatial.neighbours(cells, ref, reach, 1) for reach in (22_000, 25_000)}
-    return pipelines.icon(inputs, ref, tables=near).withColumn("value", r6(C("value")))
+    return pipelines.icon(_icon_inputs(spark, sf_dir), _moved(spark, sf_dir), tables=_near(spark, sf_dir)).withColumn("value", r6(C("value")))
 
 
 TILES = """, two AS (
@@ -396,21 +399,42 @@ def namelist_parse_continued(spark, sf_dir):
 # names, numbers and documents
 
 
-@query(
-    _wide()
-    + f""", fields AS (SELECT 'WIND_SPEED' AS var, time, row, col, sqrt(u * u + v * v) AS value FROM weather UNION ALL SELECT 'RH', time, row, col, {RH} FROM weather
-        UNION ALL SELECT 'INC_RAD', time - INTERVAL 30 MINUTE, row, col, base * 1000 / 3600 FROM weather)
-    SELECT var, time, w.row, w.col, m.lat, m.lon, round(CASE WHEN ref_value <> -9999 THEN value END, 6) AS value
-    FROM fields f JOIN weights w ON f.row = src_row AND f.col = src_col AND rank = 1 JOIN moved m ON m.row = w.row AND m.col = w.col"""
-)
+@query(_wide() + FAR + f", fields AS ({DIRECT} UNION ALL {DERIVED} UNION ALL SELECT 'INC_RAD', 22, time - INTERVAL 30 MINUTE, row, col, base * 1000 / 3600 FROM weather)" + MET)
 def ifs_forcing_pipeline(spark, sf_dir):
-    """The shipped IFS process lists: radiation from accumulated fields; the direct variables are those of ICON and left out here."""
-    inputs, ref = _icon_inputs(spark, sf_dir), _moved(spark, sf_dir)
+    """The shipped IFS process lists, all of them: radiation from accumulated fields."""
+    base = adapters.grid(spark, sf_dir).filter("var = 'click'")
+    inputs = _icon_inputs(spark, sf_dir) | {"SSRD": base.withColumn("value", C("value") * 1000), "STRD": base}
+    return pipelines.convert("ifs", inputs, _moved(spark, sf_dir), tables=_near(spark, sf_dir)).withColumn("value", r6(C("value")))
+
+
+def _placed(wide: str, narrow: str) -> str:
+    """SQL of a conversion that places and masks its variables: the click field times the variable's place in the list."""
+    reach = [(v, 25) for v in wide.split()] + [(v, 22) for v in narrow.split()]
+    return _wide() + FAR + ", fields AS (" + " UNION ALL ".join(f"SELECT '{v}' AS var, {r} AS reach, time, row, col, base * {i} AS value FROM weather" for i, (v, r) in enumerate(reach, 1)) + ")" + MET
+
+
+def _placing(spark, sf_dir, name: str) -> DataFrame:
     base = adapters.grid(spark, sf_dir).filter("var = 'click'")
-    inputs |= {"SSRD": base.withColumn("value", C("value") * 1000), "STRD": base}
-    lists = {k: v for k, v in pipelines.IFS.items() if k not in ("AIR_T", "RAIN")}
-    cells = base.select("row", "col", "lat", "lon").distinct()
-    return pipelines.run_process_lists(inputs, ref, lists, {("nn", 22_000, 7): spatial.neighbours(cells, ref, 22_000, 1)}).withColumn("value", r6(C("value")))
+    inputs = {v: base.withColumn("value", C("value") * i) for i, v in enumerate(pipelines.CONVERSIONS[name], 1)}
+    return pipelines.convert(name, inputs, _moved(spark, sf_dir), tables=_near(spark, sf_dir)).withColumn("value", r6(C("value")))
+
+
+@query(_placed("LAI AIR_T", "RH SR TP WIND"))
+def iwrn_forcing_pipeline(spark, sf_dir):
+    """The shipped IWRN list."""
+    return _placing(spark, sf_dir, "iwrn")
+
+
+@query(_placed("rain air_t", "rh inc_rad wind"))
+def itwater_forcing_pipeline(spark, sf_dir):
+    """The shipped ItWater forcing list."""
+    return _placing(spark, sf_dir, "itwater_forcing")
+
+
+@query(_placed("rain air_t", "rh inc_rad"))
+def s3m_forcing_pipeline(spark, sf_dir):
+    """The shipped snow model's list."""
+    return _placing(spark, sf_dir, "s3m")
 
 
 @query(

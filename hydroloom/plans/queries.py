@@ -157,27 +157,28 @@ def merge_tiles_last_wins(spark, sf_dir):
     return spatial.merge_by_ref(tiles, ref, table=tables)
 
 
-@query(with_views("grid") + "SELECT var, time, row, col, lat, lon, coalesce(value, -9999) AS value FROM grid WHERE time IN (TIMESTAMP '2024-01-02 00:00:00', TIMESTAMP '2024-01-02 01:00:00')")
+@query(with_views("grid") + "SELECT var, time, row, col, lat, lon, coalesce(value, -9999) AS value FROM grid")
 def merge_time_stack(spark, sf_dir):
+    """The grid stacked from its even and its odd hours."""
     g = adapters.grid(spark, sf_dir)
-    return pipelines.multi_time([(None, g.filter(C("time") == F.lit(t).cast("timestamp_ntz"))) for t in ("2024-01-02 00:00:00", "2024-01-02 01:00:00")])
+    return pipelines.multi_time([(None, g.filter(F.hour("time") % 2 == odd)) for odd in (0, 1)])
 
 
-@query(with_views("grid", "ref") + "SELECT var, time, row, col, lat, lon, value FROM grid WHERE time = TIMESTAMP '2024-01-02 00:00:00' UNION ALL SELECT 'terrain', NULL, row, col, lat, lon, ref_value FROM ref")
+@query(with_views("grid", "ref") + "SELECT var, time, row, col, lat, lon, coalesce(value, -9999) AS value FROM grid WHERE var = 'click' UNION ALL SELECT 'terrain', NULL, row, col, lat, lon, ref_value FROM ref")
 def merge_time_with_terrain(spark, sf_dir):
-    g = adapters.grid(spark, sf_dir).filter(C("time") == F.lit("2024-01-02 00:00:00").cast("timestamp_ntz"))
-    return pipelines.multi_time([(None, g)], adapters.ref(spark, sf_dir))
+    """All steps of one variable and the terrain."""
+    return pipelines.multi_time([(None, adapters.grid(spark, sf_dir).filter("var = 'click'"))], adapters.ref(spark, sf_dir))
 
 
 @query(with_views("grid") + "SELECT var, time, row, col, lat, lon, coalesce(value, -9999) AS value FROM grid")
 def merge_time_every_step(spark, sf_dir):
-    """All steps of the grid; merge_time_stack's SQL takes two of them."""
+    """All steps of the grid."""
     return pipelines.multi_time([(None, adapters.grid(spark, sf_dir))])
 
 
 @query(with_views("grid", "ref") + "SELECT var, time, row, col, lat, lon, coalesce(value, -9999) AS value FROM grid UNION ALL SELECT 'terrain', NULL, row, col, lat, lon, ref_value FROM ref")
 def merge_time_every_step_with_terrain(spark, sf_dir):
-    """All steps of the grid and the terrain; merge_time_with_terrain's SQL takes one step."""
+    """All steps of the grid and the terrain."""
     return pipelines.multi_time([(None, adapters.grid(spark, sf_dir))], adapters.ref(spark, sf_dir))
 
 
