@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from hydroloom.model import NO_DATA, nothing
 from hydroloom.operators.masks import small
+from hydroloom.shared import written
 
 
 def rename_or_drop(grid: DataFrame, names: Mapping[str, str]) -> DataFrame:
@@ -132,18 +133,19 @@ def exact_percentiles(grid: DataFrame, shares: Sequence[float], accuracy: int =
 
     Two passes: a sketch of bounded size gives values between which a percentile lies; then the
     rows below are counted, and only the counts of the distinct values between (some 4 in
-    `accuracy` of the rows, if they all differ) are put in order.
+    `accuracy` of the rows, if they all differ) are put in order.  The values are written once,
+    so that no pass makes them again.
     """
-    values = grid.filter(~nothing(F.col("value"))).select(F.col("var").alias("of"), F.col("value").alias("v"))
+    values = written(grid.filter(~nothing(F.col("value"))).select(F.col("var").alias("of"), F.col("value").alias("v")), "values")
     wide = 2 / accuracy
     marks = [x for s in shares for x in (max(0.0, s - wide), min(1.0, s + wide))]
     first = values.groupBy("of").agg(F.percentile_approx("v", marks, accuracy).alias("marks"), F.min("v").alias("least"), F.max("v").alias("most"), F.count("*").alias("n"))
     # a row a variable
-    first = F.broadcast(first.select(F.col("of").alias("name"), "marks", "least", "most", "n"))
+    first = F.broadcast(written(first.select(F.col("of").alias("name"), "marks", "least", "most", "n"), "marks"))
     met = values.join(first, F.col("of") == F.col("name"))
     low, high = (lambda i: F.col("marks")[2 * i]), (lambda i: F.col("marks")[2 * i + 1])
     around = [x for i in range(len(shares)) for x in (F.count_if(F.col("v") < low(i)).alias(f"below{i}"), F.max(F.when(F.col("v") < low(i), F.col("v"))).alias(f"before{i}"), F.min(F.when(F.col("v") > high(i), F.col("v"))).alias(f"after{i}"))]
-    sides = met.groupBy("of", "least", "most", "n").agg(*around)
+    sides = written(met.groupBy("of", "least", "most", "n").agg(*around), "sides")
     inside = F.filter(F.array(*[F.when(F.col("v").between(low(i), high(i)), F.lit(i)) for i in range(len(shares))]), lambda x: x.isNotNull())
     counts = met.select("of", "v", F.explode(inside).alias("i")).groupBy("of", "i", "v").agg(F.count("*").alias("held"))
     until = counts.withColumn("until", F.sum("held").over(Window.partitionBy("of", "i").orderBy("v")))
@@ -168,8 +170,10 @@ def percentile_stretch(grid: DataFrame, low: float = 0.02, high: float = 0.98, a
     """Values clipped to each variable's percentiles and scaled to 0..1; a variable of one value uses its ends.
 
     Percentiles are exact and interpolated (see `exact_percentiles`); with `accuracy` Spark's
-    sketch is used alone.
+    sketch is used alone.  The field is written once and read for the percentiles and for the
+    result.
     """
+    grid = written(grid, "field")
     if accuracy is None:
         box = exact_percentiles(grid, (low, high)).withColumnRenamed("var", "of")
     else:
