@@ -20,8 +20,8 @@ from .common import free_name
 
 #: n-gram lengths, size of the hashed feature space, and the most labelled rows that training reads.
 GRAMS, SIZE, MAX_LABELS = (3, 4, 5), 1 << 16, 20_000
-#: Above 0.5: at most about one in fifty URLs of ordinary words that training did not see is then blocked.
-THRESHOLD = 0.65
+#: At most about one in a hundred URLs of ordinary words and path shapes that training did not see is then blocked.
+THRESHOLD = 0.55
 
 
 @dataclass(frozen=True)
@@ -65,7 +65,24 @@ WANTED = {
 AROUND = ("{0}", "my{0}", "the-{0}", "{0}online", "{0}-world", "go{0}", "super{0}", "{0}24", "{0}-hub", "{0}zone", "best-{0}", "daily{0}")
 PREFIXES = ("", "www.", "m.", "blog.", "static.", "shop.")
 DOMAINS = ("com", "org", "net", "info", "io", "co.uk", "de", "fr", "es", "biz")
-PATHS = ("", "/", "/index.html", "/about", "/{1}/{0}", "/{0}/{1}.html", "/en/{1}", "/{1}", "/articles/{1}-{0}", "/category/{0}/page/{1}", "/login", "/wiki/{0}")
+#: Paths that either class has, and those of unwanted sites (tracking, redirects, offers, sessions, parked pages, cracked downloads) and of ordinary ones.
+PATHS = ("", "/", "/index.html", "/en/{1}", "/{0}/{1}.html", "/{1}/")
+UNWANTED_PATHS = (
+    "/click/{1}/out", "/redirect/{1}/landing", "/track/{1}/pixel.gif", "/aff/{1}/offer",
+    "/go/{1}/signup-bonus", "/promo/free-{0}-bonus", "/out/click/{1}", "/adserve/{1}/banner.gif",
+    "/offer/{1}/claim-now", "/sess/{2}/click", "/win/claim-prize/{1}", "/free-download/{0}-full-crack",
+    "/banner/track/{1}.gif", "/buy-cheap-{0}-online/{1}", "/parked/{2}/landing", "/cheap-{0}-no-prescription",
+    "/download/{0}-crack-keygen/{1}", "/aff/redirect/{2}", "/sponsored/{1}/offer", "/free-trial-{0}/join-now",
+    "/bonus/{1}/win-prize", "/pixel/sess/{2}.gif", "/promo/{1}/buy-now", "/xxx-{0}-videos/free/{1}",
+)
+WANTED_PATHS = (
+    "/articles/{1}/{0}-guide.html", "/docs/{0}/chapter-{3}.html", "/news/2019/{3}/{0}", "/events/{0}/programme",
+    "/library/{0}/catalogue", "/about-us/team", "/guide/{0}/introduction", "/members/{1}/profile",
+    "/research/papers/{1}.pdf", "/history/{0}.html", "/contact/opening-hours", "/wiki/{0}",
+    "/gallery/{0}/{1}.jpg", "/timetable/{3}/programme", "/support/faq/{0}", "/news/archive/{1}",
+    "/team/{0}/profile", "/articles/history-of-{0}", "/wiki/{0}/discussion", "/docs/faq/{1}.html",
+    "/opening-hours", "/events/archive/2018/{3}", "/library/papers/{1}", "/support/contact/{0}",
+)
 #: Share of unwanted URLs that training assumes.
 PRIOR = 0.2
 
@@ -75,17 +92,21 @@ def seed_words() -> list[tuple[str, int]]:
     return [(word, label) for label, lists in ((1, UNWANTED), (0, WANTED)) for words in lists.values() for word in words.split()]
 
 
-def seed_labels(words: Sequence[tuple[str, int]] | None = None) -> pd.DataFrame:
-    """The small labelled table (url, unwanted) made by rule from subject words.
+def seed_labels(words: Sequence[tuple[str, int]] | None = None, shapes: Sequence[int] | None = None, plain: bool = True) -> pd.DataFrame:
+    """The small labelled table (url, unwanted) made by rule from subject words and path shapes.
 
-    Each word takes every surrounding of AROUND once, with prefixes, domains and paths in turn
-    that do not depend on the label.
+    Each word takes every surrounding of AROUND twice, with prefixes and domains in turn that
+    do not depend on the label, and with paths of which one in four (`plain`) is one that either
+    class has; the others are those of its class (with `shapes` only these numbers of them).
     """
     rows = []
+    shapes = range(len(UNWANTED_PATHS)) if shapes is None else shapes
     for i, (word, label) in enumerate(seed_words() if words is None else words):
-        for j, around in enumerate(AROUND):
-            host = PREFIXES[(i + j) % len(PREFIXES)] + around.format(word) + "." + DOMAINS[(i * 3 + j) % len(DOMAINS)]
-            rows.append((f"https://{host}{PATHS[(i * 5 + j) % len(PATHS)].format(word, i * 7 + j * 31)}", label))
+        for j in range(2 * len(AROUND)):
+            host = PREFIXES[(i + j) % len(PREFIXES)] + AROUND[j % len(AROUND)].format(word) + "." + DOMAINS[(i * 3 + j) % len(DOMAINS)]
+            number = i * 7 + j * 31
+            own = PATHS[(i * 5 + j // 4) % len(PATHS)] if plain and j % 4 == 3 else (UNWANTED_PATHS if label else WANTED_PATHS)[shapes[(i * 11 + j) % len(shapes)]]
+            rows.append((f"https://{host}{own.format(word, number, xxhash.xxh32_hexdigest(word, number), number % 12 + 1)}", label))
     return pd.DataFrame(rows, columns=["url", "unwanted"])
 
 
