@@ -387,15 +387,15 @@ def nearest_run(spark, sf_dir):
 
 
 def _documents(spark, sf_dir) -> DataFrame:
-    """Hydrograph documents of users: flat JSON objects of comma-joined strings; every seventh value is a sentinel, the simulated series lacks its last two."""
+    """Hydrograph documents of users, one a day: flat JSON objects of comma-joined strings; every seventh value is a sentinel, the simulated series lacks its last two."""
     e = adapters.table(spark, sf_dir, "events")
     shown = F.when(C("event_id") % 7 == 0, "-9998").otherwise(F.format_string("%.2f", "value"))
-    held = e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", shown.alias("v"), F.date_format("ts", "yyyy-MM-dd HH:mm").alias("t")))).alias("all"))
+    held = e.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", shown.alias("v"), F.date_format("ts", "yyyy-MM-dd HH:mm").alias("t")))).alias("all"))
     values = F.transform("all", lambda x: x["v"])
-    return held.select(F.to_json(F.struct(F.lit("basin").alias("section_domain"), C("user_id").cast("string").alias("section_name"), F.lit("2024-01-31 00:00").alias("time_run"), F.array_join(F.transform("all", lambda x: x["t"]), ",").alias("time_period"), F.array_join(values, ",").alias("time_series_discharge_observed"), F.array_join(F.slice(values, F.lit(1), F.greatest(F.size("all") - 2, F.lit(0))), ",").alias("time_series_discharge_simulated"))).alias("json"))
+    return held.select(F.to_json(F.struct(F.lit("basin").alias("section_domain"), C("user_id").cast("string").alias("section_name"), F.date_format("day", "yyyy-MM-dd HH:mm").alias("time_run"), F.array_join(F.transform("all", lambda x: x["t"]), ",").alias("time_period"), F.array_join(values, ",").alias("time_series_discharge_observed"), F.array_join(F.slice(values, F.lit(1), F.greatest(F.size("all") - 2, F.lit(0))), ",").alias("time_series_discharge_simulated"))).alias("json"))
 
 
-HYDRO = """WITH e AS (SELECT user_id, ts, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+HYDRO = """WITH e AS (SELECT user_id, ts, event_id, value, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) - 1 AS pos, count(*) OVER (PARTITION BY user_id, ts::DATE) AS n FROM events),
     h AS (SELECT user_id::VARCHAR AS section, 'observed' AS kind, pos::INT AS pos, date_trunc('minute', ts) AS time, CASE WHEN event_id % 7 <> 0 THEN round(value, 2) END AS value FROM e
     UNION ALL SELECT user_id::VARCHAR, 'simulated', pos::INT, date_trunc('minute', ts), CASE WHEN event_id % 7 <> 0 AND pos < n - 2 THEN round(value, 2) END FROM e) """
 
