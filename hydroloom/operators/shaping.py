@@ -128,6 +128,22 @@ def narrow_types(grid: DataFrame) -> DataFrame:
     return box.select("var", "least", "most", kind.otherwise("int64").alias("kind"))
 
 
+#: Spark's smallest type for each kind; unsigned numbers go to the next signed one.
+SPARK_KINDS = {"float32": "float", "float64": "double", "int8": "tinyint", "int16": "smallint", "int32": "int", "int64": "bigint", "uint8": "smallint", "uint16": "int", "uint32": "bigint"}
+
+
+def cast_narrow(grid: DataFrame) -> DataFrame:
+    """Rows one column a variable (time, row, col, lat, lon, then the variables by name), each in the smallest type that holds it.
+
+    A variable without a value is a float.  Of a cell given twice the larger value stands.
+    """
+    grid = grid.withColumn("value", F.when(~nothing(F.col("value")), F.col("value")))
+    # a row a variable comes to the driver, since column types are part of the plan
+    kinds = {r["var"]: SPARK_KINDS[r["kind"]] if r["least"] is not None else "float" for r in narrow_types(grid).collect()}
+    wide = grid.groupBy("time", "row", "col", "lat", "lon").pivot("var", sorted(kinds)).agg(F.max("value")) if kinds else grid.select("time", "row", "col", "lat", "lon").limit(0)
+    return wide.select("time", "row", "col", "lat", "lon", *[F.col(f"`{v}`").cast(kinds[v]).alias(v) for v in sorted(kinds)])
+
+
 def exact_percentiles(grid: DataFrame, shares: Sequence[float], accuracy: int = 10_000) -> DataFrame:
     """(var, ends, least, most): each variable's interpolated percentiles, none for a variable without values.
 

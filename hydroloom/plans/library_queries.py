@@ -560,6 +560,19 @@ def times_of_free_text(spark, sf_dir):
     return texts.select("o_orderkey", "form", free_time.parse_free(C("said")).alias("time"))
 
 
+@query(
+    """SELECT date_trunc('day', o_orderdate)::TIMESTAMP AS time, (o_orderkey // 100)::INT AS row, (o_orderkey % 100)::INT AS col, 0.0::DOUBLE AS lat, 0.0::DOUBLE AS lon,
+        max(length(o_orderpriority))::SMALLINT AS priority, max(o_totalprice)::FLOAT AS price, max(-(o_orderkey % 100))::TINYINT AS small FROM orders GROUP BY ALL"""
+)
+def fields_cast_narrow(spark, sf_dir):
+    """Orders as fields of their own cells, each in the smallest type that holds it."""
+    o, k = adapters.table(spark, sf_dir, "orders"), C("o_orderkey")
+    values = {"priority": F.length("o_orderpriority"), "price": C("o_totalprice"), "small": -(k % 100)}
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("var"), v.cast("double").alias("value")) for n, v in values.items()]))
+    cells = o.select(C("o_orderdate").cast("timestamp_ntz").alias("time"), F.floor(k / 100).cast("int").alias("row"), (k % 100).cast("int").alias("col"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"), each.alias("x"))
+    return shaping.cast_narrow(cells.select("time", "row", "col", "lat", "lon", "x.var", "x.value"))
+
+
 @query("SELECT DISTINCT o_orderdate::TIMESTAMP AS time FROM orders WHERE o_orderkey % 5 > 0")
 def time_index_of_texts(spark, sf_dir):
     """Times written in four forms, and texts that are none."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Mapping
 from typing import Any
 
@@ -66,6 +67,32 @@ def flatten(tree: Mapping[str, Any], sep: str = ":") -> dict[str, Any]:
     return out
 
 
+def flatten_by(tree: Mapping[str, Any], keys: str = "path", sep: str = ":") -> dict[str, Any]:
+    """A flat table of a tree's values under their whole path, its first part (`first`) or its last (`last`); a key made twice raises."""
+    if keys not in ("path", "first", "last"):
+        raise ValueError(f"no kind of keys: {keys!r}")
+    whole = flatten(tree, sep)
+    part = {"path": lambda k: k, "first": lambda k: k.split(sep)[0], "last": lambda k: k.split(sep)[-1]}[keys]
+    if twice := [k for k, n in Counter(map(part, whole)).items() if n > 1]:
+        raise KeyError(f"{sorted(twice)} are made more than once")
+    return {part(k): v for k, v in whole.items()}
+
+
+def reconcile(data: Mapping[str, Any], wanted: Mapping[str, Any], mode: str = "strict") -> list[str]:
+    """The keys that both have, in order; raises where the mode's rule is broken.
+
+    strict: the same keys; less_from_data: each of `data` is wanted; less_from_fx: each wanted one is
+    in `data`; lazy: at least one is in both.
+    """
+    left, missing, both = data.keys() - wanted.keys(), wanted.keys() - data.keys(), data.keys() & wanted.keys()
+    broken = {"strict": left | missing, "less_from_data": left, "less_from_fx": missing, "lazy": set() if both else left | missing or {"no key at all"}}
+    if mode not in broken:
+        raise ValueError(f"no mode: {mode!r}")
+    if broken[mode]:
+        raise KeyError(f"{mode}: {sorted(broken[mode])}")
+    return sorted(both)
+
+
 def unflatten(flat: Mapping[str, Any], sep: str = ":") -> dict[str, Any]:
     out: dict[str, Any] = {}
     for key, value in flat.items():

@@ -22,6 +22,18 @@ def format_of(path: str) -> str:
     return FORMATS[ending]
 
 
+def check_format(frame: DataFrame, kind: str) -> DataFrame:
+    """`frame`, if its columns are those that a format takes: cells for fields (geotiff, netcdf, ascii), lines for txt; else raises."""
+    needs = {"geotiff": {"row", "col", "value"}, "ascii": {"row", "col", "value"}, "netcdf": {"var", "time", "row", "col", "value"}, "txt": {"value"}, "csv": set(), "json": set(), "parquet": set()}
+    if kind not in needs:
+        raise ValueError(f"{kind} is not written")
+    if lacking := needs[kind] - set(frame.columns):
+        raise ValueError(f"{kind} needs {sorted(lacking)}")
+    if kind == "csv" and (nested := [n for n, t in frame.dtypes if t.startswith(("array", "map", "struct"))]):
+        raise ValueError(f"csv can't hold {nested}")
+    return frame
+
+
 def read(spark: SparkSession, path: str, kind: str | None = None, **options) -> DataFrame:
     """Read by format: rasters and fields as cells, shapefiles as records; of netcdf the classic kinds only. Options are the format's own."""
     kind = kind or format_of(path)
