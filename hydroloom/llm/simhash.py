@@ -16,7 +16,7 @@ tables.
 One fingerprint of three bits reaches near copies only where very little differs, so `keep_one`
 looks for them on smaller blocks: each half of each of PRINTS fingerprints is a block with
 anchors of its own, where all that are within two bits of an anchor meet, and what differs in
-few bits of the whole and of the next fingerprint is a candidate.  Its fingerprints are of a
+few bits of the whole and of the next two fingerprints is a candidate.  Its fingerprints are of a
 text's different words, of which an edit changes fewer than of shingles.  Candidates make
 groups, and within a group all texts' sets of shingles are compared themselves: fingerprints
 only decide what is compared.
@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from .common import free_name, written
 
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
-#: Of `keep_one`: fingerprints a text, bits of 128 in which candidates differ at most, words of a shingle and least similarity.
-PRINTS, FAR, WIDE_SHINGLE, SIMILAR = 5, 28, 5, 0.8
+#: Of `keep_one`: fingerprints a text, bits of 192 in which candidates differ at most, words of a shingle and least similarity.
+PRINTS, FAR, WIDE_SHINGLE, SIMILAR = 5, 42, 5, 0.8
 #: Row numbers that are sent to every executor (about 30 bytes each).
 BROADCAST_NUMBERS = 4_000_000
 #: Texts of a group of candidates that one task compares; larger groups are cut into parts that meet pairwise.
@@ -148,13 +148,13 @@ def _flips(syndrome: int) -> list[int]:
 
 
 def _along(distinct: DataFrame) -> list[str]:
-    return [c for c in ("node", "also") if c in distinct.columns]
+    return [c for c in ("node", "also", "more") if c in distinct.columns]
 
 
 def at_anchors(distinct: DataFrame) -> DataFrame:
     """(anchor, fp, home) rows, 31 a fingerprint on average; `distinct` has a long column fp.
 
-    Columns `node` and `also` go along; those of different `kind` (a small number) have different anchors.
+    Columns `node`, `also` and `more` go along; those of different `kind` (a small number) have different anchors.
     """
     node = _along(distinct)
     kind = F.shiftleft(F.col("kind").cast("long"), 32) if "kind" in distinct.columns else F.lit(0).cast("long")
@@ -187,14 +187,14 @@ def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _forest(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]:
     """Rows sorted by block in; (node, root) of the links within blocks out, at most one row a node and window.
 
-    A row's node is its column `node` if there is one, else its fingerprint; bits of a column
-    `also` count with the fingerprint's.
+    A row's node is its column `node` if there is one, else its fingerprint; bits of columns
+    `also` and `more` count with the fingerprint's.
     """
 
     def links(rows: pd.DataFrame) -> pd.DataFrame:
         block, fp, home = (rows[c].to_numpy() for c in ("block", "fp", "home"))
         of = rows["node"].to_numpy() if "node" in rows else fp
-        also = rows["also"].to_numpy() if "also" in rows else None
+        besides = [rows[c].to_numpy() for c in ("also", "more") if c in rows]
         first = np.searchsorted(block, block)
         size = np.searchsorted(block, block, "right") - first
         at = np.flatnonzero(home & (size > 1))
@@ -208,8 +208,8 @@ def _forest(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame
             right = first[left] + np.arange(len(left)) - np.repeat(np.cumsum(size[part]) - size[part], size[part])
             # counted on unsigned numbers: of signed ones numpy counts the absolute value
             apart = np.bitwise_count((fp[left] ^ fp[right]).view(np.uint64))
-            if also is not None:
-                apart += np.bitwise_count((also[left] ^ also[right]).view(np.uint64))
+            for bits_of in besides:
+                apart += np.bitwise_count((bits_of[left] ^ bits_of[right]).view(np.uint64))
             near = apart <= bits
             node, root = _roots(np.concatenate((node, of[left[near]])), np.concatenate((root, of[right[near]])))
             done = until
@@ -382,7 +382,7 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", least: flo
     Groups are connected by pairs whose sets of five-word shingles are `least` alike or more
     (A-Z lower-cased; texts of fewer words by their whole sequence); rows of equal words are
     always one group, so are all without a word.  Which texts are compared, fingerprints say:
-    all of a group of `candidates` (two texts that differ in at most FAR bits of two
+    all of a group of `candidates` (two texts that differ in at most FAR bits of three
     fingerprints, in two or fewer of half of one, and what these connect).  Of pairs of
     similarity 0.8 nine in ten are found so (tested on planted copies), of more alike ones
     almost all.
@@ -399,13 +399,13 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", least: flo
     # rows of equal words are one class, a node by the number of its first row
     each = written(rows.select("row", "words", "fps", first.alias("low")), "fingerprints")
     classes = written(each.groupBy("words").agg(F.min("low").alias("low"), F.first("fps").alias("fps")), "classes")
-    # each fingerprint with the next one of its text
-    prints_of = classes.select(F.col("low")["row"].alias("class"), "fps", F.posexplode("fps").alias("kind", "fp")).select("class", "kind", "fp", F.get("fps", (F.col("kind") + 1) % prints).alias("also"))
-    # classes of the same two fingerprints meet the first of them only
-    heads = written(prints_of.groupBy("kind", "fp", "also").agg(F.min("class").alias("node"), F.count("*").alias("n")), "heads")
-    shared = heads.filter("n > 1").select("kind", "fp", "also", F.col("node").alias("root"))
-    same = prints_of.join(shared, ["kind", "fp", "also"]).filter("class != root").select(F.col("class").alias("node"), "root")
-    met = components(candidates(heads.select("kind", "fp", "also", "node"), FAR).unionByName(same))
+    # each fingerprint with the next two of its text
+    prints_of = classes.select(F.col("low")["row"].alias("class"), "fps", F.posexplode("fps").alias("kind", "fp")).select("class", "kind", "fp", *[F.get("fps", (F.col("kind") + i) % prints).alias(c) for i, c in ((1, "also"), (2, "more"))])
+    # classes of the same three fingerprints meet the first of them only
+    heads = written(prints_of.groupBy("kind", "fp", "also", "more").agg(F.min("class").alias("node"), F.count("*").alias("n")), "heads")
+    shared = heads.filter("n > 1").select("kind", "fp", "also", "more", F.col("node").alias("root"))
+    same = prints_of.join(shared, ["kind", "fp", "also", "more"]).filter("class != root").select(F.col("class").alias("node"), "root")
+    met = components(candidates(heads.select("kind", "fp", "also", "more", "node"), FAR).unionByName(same))
     groups = met.select(F.col("node").alias("of"), F.col("root").alias("group")).unionByName(met.select(F.col("root").alias("of"), F.col("root").alias("group")).distinct())
     groups = written(groups, "groups")
     # only texts of candidates are read again
