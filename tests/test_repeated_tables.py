@@ -25,3 +25,12 @@ def turned(tmp_path_factory):
 @pytest.mark.parametrize("name", ["weights_table", "interpolate_nn", "interpolate_idw", "interpolate_gauss", "convert_temperature_pipeline", "itwater_updating_pipeline", "multi_variable_fields", "merge_tiles_last_wins", "multi_tile_merge"])
 def test_cells_a_whole_turn_apart(spark, turned, name):
     assert oracle.compare(spark, QUERIES[name], ORACLES[name], turned) > 0
+
+
+@pytest.mark.parametrize("name", ["resample_points_min_neighbours", "resample_supported_points"])
+def test_points_at_one_place(spark, tmp_path, name):
+    """Four suppliers at a place, some of them at a cell's centre, seen also from cells a whole turn on."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT i AS s_suppkey, (i * 7919 % 100000) / 100.0::DOUBLE AS s_acctbal FROM range(6000) r(i)) TO '{tmp_path}/supplier.parquet'")
+    con.execute(f"COPY (SELECT i + s AS p_partkey, 1 + i % 50 AS p_size, 900.5 + i % 90 AS p_retailprice FROM range(300) r(i), (VALUES (0), ({TURN})) t(s)) TO '{tmp_path}/part.parquet'")
+    assert oracle.compare(spark, QUERIES[name], ORACLES[name], str(tmp_path)) > 0
