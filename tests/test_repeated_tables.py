@@ -27,6 +27,11 @@ def test_cells_a_whole_turn_apart(spark, turned, name):
     assert oracle.compare(spark, QUERIES[name], ORACLES[name], turned) > 0
 
 
+def test_tiles_of_one_geometry_merge_before_they_are_placed(spark, turned):
+    plan = QUERIES["merge_tiles_last_wins"](spark, turned)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")]
+
+
 @pytest.mark.parametrize("name", ["resample_points_min_neighbours", "resample_supported_points"])
 def test_points_at_one_place(spark, tmp_path, name):
     """Four suppliers at a place, some of them at a cell's centre, seen also from cells a whole turn on."""
