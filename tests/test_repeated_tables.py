@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import oracle
+from hydroloom.operators import masks
 from hydroloom.plans.queries import ORACLES, QUERIES
 
 #: Keys of cells 3,600 rows (a whole turn of 360 degrees) apart.
@@ -27,6 +28,18 @@ def test_cells_a_whole_turn_apart(spark, turned, name):
     assert oracle.compare(spark, QUERIES[name], ORACLES[name], turned) > 0
 
 
+@pytest.mark.parametrize("name", ["interpolate_idw", "interpolate_gauss"])
+def test_weights_dealt_by_region(spark, turned, name, monkeypatch):
+    """The same rows where the weights aren't broadcast, and no shuffle of rows of the finer grid."""
+    monkeypatch.setattr(masks, "BROADCAST_CELLS", 10)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    assert oracle.compare(spark, QUERIES[name], ORACLES[name], turned) > 0
+    plan = QUERIES[name](spark, turned)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Exchange" not in plan[: plan.index("SortMergeJoin")]
+
+
 def test_tiles_of_one_geometry_merge_before_they_are_placed(spark, turned):
     plan = QUERIES["merge_tiles_last_wins"](spark, turned)._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan[: plan.index("Join")]
