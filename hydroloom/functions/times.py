@@ -257,9 +257,26 @@ def intersect(a: tuple[datetime, datetime], b: tuple[datetime, datetime]) -> tup
     return start, end
 
 
+def _shape(form: str) -> str | None:
+    """A pattern that all texts of a format fit, of formats of yyyy, MM, dd, HH, mm, ss and signs; None of others."""
+    parts = re.findall(r"yyyy|MM|dd|HH|mm|ss|[-:/. ]", form)
+    if "".join(parts) != form:
+        return None
+    return "^" + "".join(r"[+-]?\d{4,}" if p == "yyyy" else r"\d{2}" if p.isalpha() else re.escape(p) for p in parts) + "$"
+
+
 def parse_any(text: Column, formats: tuple[str, ...] = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyyMMddHHmm", "yyyyMMdd", "yyyy-MM-dd")) -> Column:
-    """The time by the first format that fits, else NULL."""
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]).cast("timestamp_ntz")
+    """The time by the first format that fits, else NULL.
+
+    A text that can't fit a format by its form isn't parsed by it: each such trial costs an exception.
+    """
+
+    def trial(form: str) -> Column:
+        shape = _shape(form)
+        parsed = F.try_to_timestamp(text, F.lit(form))
+        return parsed if shape is None else F.when(text.rlike(shape), parsed)
+
+    return F.coalesce(*[trial(f) for f in formats]).cast("timestamp_ntz")
 
 
 def time_from_name(name: Column, digits: int = 12) -> Column:

@@ -178,6 +178,20 @@ def test_times(spark):
     assert value(spark, times.cf_decode(times.cf_encode(T("2024-05-06 07:08:09"), "1858-11-17"), "1858-11-17")) == datetime(2024, 5, 6, 7, 8, 9)
 
 
+def test_texts_are_tried_by_fitting_formats_only(spark):
+    """What each text gives is as if every format were tried, but no format is tried on a text whose form it can't have."""
+    texts = ["202401020304", "20240102", "2024-01-02", "2024-01-02 03:04", "2024-01-02 03:04:05", "2024-13-02", "2024-01-02 03", "20240102030405", "", "x", "2024-01-02\n", " 20240102", "02024-01-02"]
+    formats = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyyMMddHHmm", "yyyyMMdd", "yyyy-MM-dd")
+    frame = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    every = F.coalesce(*[F.try_to_timestamp("t", F.lit(f)) for f in formats]).cast("timestamp_ntz")
+    got = frame.select("t", times.parse_any(F.col("t")).alias("got"), every.alias("want"))
+    assert [r for r in got.collect() if r["got"] != r["want"]] == [] and got.filter("got is not null").count() >= 5
+    plan = frame.select(times.parse_any(F.col("t")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("RLIKE(t#") == len(formats)
+    # a format with words isn't judged by its form
+    assert value(spark, times.parse_any(F.lit("2 Jan 2024"), ("d MMM yyyy",))) == datetime(2024, 1, 2)
+
+
 def test_strings(spark):
     assert strings.fill("{run:%Y/%m}/{var}_{x}.nc", {"run": datetime(2024, 2, 1), "var": ["a", "b"]}) == ["2024/02/a_{x}.nc", "2024/02/b_{x}.nc"]
     time, tags = strings.date_and_tags(F.lit("in/2024/01/hmc_20240102_po.txt"), "in/%Y/%m/hmc_%Y%m%d_{basin}.txt")
