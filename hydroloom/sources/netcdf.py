@@ -1,7 +1,8 @@
 """Classic NetCDF files (CDF-1 and CDF-2): fields by step, decoded with numpy; NetCDF-4 is HDF5 and raises.
 
 A field's step is one part of a file: its bytes are read alone, and only if no filter on
-variable or time rules it out.  Axes are read once a task and file.
+variable or time rules it out.  A task holds a run of a step's rows and their coordinates, so
+its memory doesn't grow with the grid; axes of one dimension are read once a task and file.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from hydroloom.model import NO_DATA
-from hydroloom.sources.ranged import Format, Part, RangedFile, RangedSource, load
+from hydroloom.sources import ranged
+from hydroloom.sources.ranged import Format, Part, RangedFile, RangedSource, field_batches, load
 
 #: Fixed values of the format: number types in the order of their codes 1 to 6, and list tags.
 TYPES = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8"}
@@ -112,14 +114,21 @@ class Header:
         v = self.vars[var]
         return math.prod(v["shape"][1:] if step else [n or self.records for n in v["shape"]]) * v["type"].itemsize
 
-    def part(self, var: str, step: int | None = None) -> np.ndarray:
-        """The values of one step along the first dimension, or all; packed numbers scaled, fill values NaN."""
+    def part(self, var: str, step: int | None = None, rows: tuple[int, int] | None = None) -> np.ndarray:
+        """The values of one step along the first dimension, or all; packed numbers scaled, fill values NaN.
+
+        rows: only these of the first dimension that is left.
+        """
         v = self.vars[var]
         if step is None and v["shape"][:1] == [0]:
-            return np.stack([self.part(var, i) for i in range(self.records)]) if self.records else np.empty((0, *v["shape"][1:]))
+            steps = range(self.records)[slice(*rows)] if rows else range(self.records)
+            return np.stack([self.part(var, i) for i in steps]) if steps else np.empty((0, *v["shape"][1:]))
         shape = v["shape"] if step is None else v["shape"][1:]
+        begin = v["begin"] + (step or 0) * (self.stride if v["shape"][:1] == [0] else math.prod(shape) * v["type"].itemsize)
+        if rows:
+            begin += rows[0] * math.prod(shape[1:]) * v["type"].itemsize
+            shape = [rows[1] - rows[0], *shape[1:]]
         width = math.prod(shape) * v["type"].itemsize
-        begin = v["begin"] + (step or 0) * (self.stride if v["shape"][:1] == [0] else width)
         raw = np.frombuffer(self.read(begin, width), v["type"]).astype("f8").reshape(shape)
         about = v["about"]
         for mark in ("_FillValue", "missing_value"):
@@ -171,18 +180,25 @@ class NetCdf(Format):
 
     def batches(self, file: RangedFile, part: Part) -> Iterator[pa.RecordBatch]:
         head, axes = self.head(file), self.last[2]
-        if not axes:
-            axes["lat"], axes["lon"] = head.part(self.axis_y), head.part(self.axis_x)
-        lat, lon = axes["lat"], axes["lon"]
         name, step = part.what
-        value = head.part(name, step)
-        rows, cols = value.shape
-        row, col = np.repeat(np.arange(rows, dtype="i4"), cols), np.tile(np.arange(cols, dtype="i4"), rows)
-        each = [lat.ravel(), lon.ravel()] if lat.ndim == 2 else [lat[row], lon[col]]
-        value = value.ravel()
-        n, when = len(value), part.shared["time"]
-        columns = [pa.array([file.path], pa.string()).take(pa.array(np.zeros(n, "i4"))), pa.array([name], pa.string()).take(pa.array(np.zeros(n, "i4"))), pa.array([when], pa.timestamp("us")).take(pa.array(np.zeros(n, "i4")))]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(row), pa.array(col), *map(pa.array, each), pa.array(value, mask=np.isnan(value))], names=["path", "var", "time", "row", "col", "lat", "lon", "value"])
+        rows, cols = [n or head.records for n in head.vars[name]["shape"][-2:]]
+        shared = {"path": (file.path, pa.string()), "var": (name, pa.string()), "time": (part.shared["time"], pa.timestamp("us"))}
+        run = max(1, ranged.CELLS // max(cols, 1))
+        for low in range(0, rows, run):
+            high = min(rows, low + run)
+
+            def placed(row: np.ndarray, col: np.ndarray, low: int = low, high: int = high) -> list[np.ndarray]:
+                out = []
+                for axis, along in ((self.axis_y, row), (self.axis_x, col)):
+                    flat = len(head.vars[axis]["dims"]) == 2
+                    key = (low, high) if flat else None
+                    if axis not in axes or axes[axis][1] != key:
+                        axes[axis] = (head.part(axis, None, key), key)
+                    held = axes[axis][0]
+                    out.append(held[row - low, col] if flat else held[along])
+                return out
+
+            yield from field_batches(shared, head.part(name, step, (low, high)), low, placed, self.known)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"last": None}

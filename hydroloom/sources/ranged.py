@@ -25,15 +25,18 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
 #: Files whose headers the driver reads, at so many at a time; bytes of one partition.
 PLANNED, AT_ONCE, PARTITION_BYTES = 1_000, 32, 16 << 20
 #: Bytes of an unpacked file that stay in memory.
 SPOOL = 64 << 20
+#: Cells of a field that become one batch.
+CELLS = 1 << 17
 
 
 def place(path: str) -> tuple[fs.FileSystem, str]:
@@ -116,6 +119,8 @@ class Format:
     schema = ""
     #: What the names of files end in, or of all.
     ending = ""
+    #: Whether only rows with a value are asked for; a format may leave the others out.
+    known = False
 
     def __init__(self, options: dict[str, str]):
         self.options = options
@@ -127,14 +132,37 @@ class Format:
         raise NotImplementedError
 
 
+def field_batches(shared: dict[str, tuple[Any, pa.DataType]], values: np.ndarray, first: int, axes: Any, known: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (shared columns, row, col, lat, lon, value) of a run of a field's rows that begins at row `first`, about CELLS in a batch.
+
+    axes: gives (lat, lon) of cells by (row, col), and is asked only if there are such; NaN is
+    NULL, or has no row if only known values are asked for.
+    """
+    cols = values.shape[1]
+    step = max(1, CELLS // max(cols, 1))
+    for low in range(0, len(values), step):
+        value = values[low : low + step].ravel()
+        none = np.isnan(value)
+        at = np.flatnonzero(~none) if known else np.arange(len(value))
+        if not len(at):
+            continue
+        row, col = np.divmod(at, cols)
+        row = (row + first + low).astype("i4")
+        lat, lon = axes(row, col)
+        zero = pa.array(np.zeros(len(at), "i4"))
+        same = [pa.array([v], kind).take(zero) for v, kind in shared.values()]
+        yield pa.RecordBatch.from_arrays([*same, pa.array(row), pa.array(col.astype("i4")), pa.array(lat), pa.array(lon), pa.array(value[at], mask=none[at])], names=[*shared, "row", "col", "lat", "lon", "value"])
+
+
 _HOLDS = {EqualTo: lambda a, b: a == b, In: lambda a, b: a in b, GreaterThan: lambda a, b: a > b, GreaterThanOrEqual: lambda a, b: a >= b, LessThan: lambda a, b: a < b, LessThanOrEqual: lambda a, b: a <= b}
 
 
 class RangedReader(DataSourceReader):
     """Reads the parts that no filter rules out.
 
-    Filters on a column that a part shares with all its rows leave parts out; Spark still
-    applies them to the rows.
+    Filters on a column that a part shares with all its rows leave parts out, and a format may
+    leave out rows without a value if the filter is that there is one; Spark still applies them
+    to the rows.
     """
 
     def __init__(self, format: Format, path: str, options: dict[str, str]):
@@ -144,6 +172,7 @@ class RangedReader(DataSourceReader):
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         self.filters = [f for f in filters if type(f) in _HOLDS and len(f.attribute) == 1]
+        self.format.known = any(isinstance(f, IsNotNull) and f.attribute == ("value",) for f in filters)
         return filters
 
     def wanted(self, part: Part) -> bool:
@@ -162,6 +191,9 @@ class RangedReader(DataSourceReader):
                 plans = list(pool.map(lambda f: None if f[0].endswith(".gz") else self.plan(f[0]), files))
         out, held, size = [], [], 0
         for (path, length), parts in zip(files, plans, strict=True):
+            # what a packed file holds isn't known from its size: it is a partition, unless files are many
+            if path.endswith(".gz") and len(files) <= self.planned:
+                length = max(length, self.partition_bytes)
             for one in [None] if parts is None else parts:
                 own = length if one is None else one.bytes
                 if held and size + own > self.partition_bytes:
