@@ -2,7 +2,9 @@
 
 Rows are (name, offset, content): the piece of the file `name` (may hold folders) that begins
 at `offset`.  `write_files` brings a file's pieces to one task in order, so a task holds one
-piece at a time and a file may be larger than memory.  Tasks write below `_temporary`; only
+piece at a time and a file may be larger than memory.  With a `fill` what no piece holds up to
+the next one is filled with it, so that files which hold mostly one number need few pieces; a
+file then ends with its last piece, which may be empty.  Tasks write below `_temporary`; only
 when all have ended does the driver move the files to their names.  A task that fails, is tried
 again or runs twice leaves nothing behind: files are published from the attempt that Spark
 commits, and an abort removes the folder of the attempts.
@@ -26,6 +28,9 @@ from hydroloom.sources.ranged import place
 PIECES = "name string, offset long, content binary"
 #: Files that the driver moves at a time.
 AT_ONCE = 32
+#: Bytes of fill that are written at a time, and tasks that files are dealt to at most.
+RUN_BYTES = 1 << 20
+MOST_TASKS = 2_000
 
 
 @dataclass
@@ -36,8 +41,8 @@ class Written(WriterCommitMessage):
 
 
 class FilesWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, packed: bool, overwrite: bool):
-        self.path, self.packed, self.overwrite = path, packed, overwrite
+    def __init__(self, path: str, packed: bool, overwrite: bool, fill: bytes = b""):
+        self.path, self.packed, self.overwrite, self.fill = path, packed, overwrite, fill
         self.attempts = f"{path}/_temporary/{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
@@ -45,6 +50,7 @@ class FilesWriter(DataSourceArrowWriter):
         done: dict[str, str] = {}
         name = held = raw = None
         at = 0
+        many = self.fill * (RUN_BYTES // max(len(self.fill), 1))
 
         def close() -> None:
             if held is not None:
@@ -64,6 +70,11 @@ class FilesWriter(DataSourceArrowWriter):
                         system.create_dir(own)
                         raw = system.open_output_stream(done[new], compression=None)
                         held = gzip.GzipFile(fileobj=raw, mode="wb", mtime=0) if self.packed else raw
+                    if self.fill and offset > at and (offset - at) % len(self.fill) == 0:
+                        for _ in range((offset - at) // len(many)):
+                            held.write(many)
+                        held.write(many[: (offset - at) % len(many)])
+                        at = offset
                     if offset != at:
                         raise ValueError(f"{name}: a piece begins at {offset}, the one before ends at {at}")
                     data = content.as_buffer() if content.is_valid else b""
@@ -122,11 +133,18 @@ class FilesSink(DataSource):
     def writer(self, schema, overwrite: bool) -> FilesWriter:
         if "path" not in self.options:
             raise ValueError("no path")
-        return FilesWriter(self.options["path"].rstrip("/"), str(self.options.get("gzip", "false")).lower() == "true", overwrite)
+        return FilesWriter(self.options["path"].rstrip("/"), str(self.options.get("gzip", "false")).lower() == "true", overwrite, bytes.fromhex(self.options.get("fill", "")))
 
 
-def write_files(pieces: DataFrame, path: str, packed: bool = False, overwrite: bool = False) -> None:
-    """Write the files that rows (name, offset, content) make up below `path`; with `packed` gzipped, `.gz` added to the names."""
+def write_files(pieces: DataFrame, path: str, packed: bool = False, overwrite: bool = False, fill: bytes = b"", files: int | None = None) -> None:
+    """Write the files that rows (name, offset, content) make up below `path`; with `packed` gzipped, `.gz` added to the names.
+
+    fill: what gaps between pieces hold; without it they raise.  files: their number, if known,
+    by which they are dealt to tasks.
+    """
     pieces.sparkSession.dataSource.register(FilesSink)
-    ordered = pieces.select("name", "offset", "content").repartition("name").sortWithinPartitions("name", "offset")
-    ordered.write.format(FilesSink.name()).option("gzip", str(packed).lower()).mode("overwrite" if overwrite else "append").save(path)
+    # several tasks a file, so that few tasks have two
+    dealt = ["name"] if files is None else [min(max(4 * files, 1), MOST_TASKS), "name"]
+    ordered = pieces.select("name", "offset", "content").repartition(*dealt).sortWithinPartitions("name", "offset")
+    writer = ordered.write.format(FilesSink.name()).option("gzip", str(packed).lower()).option("fill", fill.hex())
+    writer.mode("overwrite" if overwrite else "append").save(path)

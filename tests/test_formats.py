@@ -10,7 +10,7 @@ from datetime import datetime
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual
+from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, IsNotNull
 
 from hydroloom.sinks import files
 from hydroloom.sinks import netcdf as netcdf_sink
@@ -148,6 +148,16 @@ def test_a_failing_task_leaves_no_file(spark, tmp_path, rows, said):
     assert listed(path) == [] and not os.path.exists(f"{path}/_temporary")
 
 
+def test_gaps_are_filled(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "RUN_BYTES", 8)
+    rows = [("a", 0, b"head"), ("a", 30, b"xy"), ("a", 36, b""), ("b", 2, b"cd")]
+    files.write_files(pieces(spark, rows), str(tmp_path), fill=b"01", files=2)
+    assert (tmp_path / "a").read_bytes() == b"head" + b"01" * 13 + b"xy" + b"01" * 2 and (tmp_path / "b").read_bytes() == b"01cd"
+    for bad in ([("c", 0, b"head"), ("c", 5, b"x")], [("c", 0, b"head"), ("c", 2, b"x")]):
+        with pytest.raises(Exception, match="begins at"):
+            files.write_files(pieces(spark, bad), str(tmp_path), fill=b"01")
+
+
 # -- NetCDF
 
 
@@ -220,6 +230,26 @@ def test_filters_leave_bytes_unread(spark, tmp_path):
     assert netcdf.read_netcdf(spark, str(tmp_path), partition_bytes=48, **HMC).rdd.getNumPartitions() == 60
 
 
+@pytest.mark.parametrize("packed", [False, True])
+def test_a_task_holds_a_run_of_rows(spark, tmp_path, packed, monkeypatch):
+    """Steps are written and read by runs of rows, their coordinates with them, and rows without a value are left out at the source if they aren't asked for."""
+    grid, ref, rows = fields(spark)
+    monkeypatch.setattr(netcdf_sink, "CELLS", 4)
+    netcdf_sink.write_netcdf(grid, ref, str(tmp_path), day(), packed=packed)
+    want = sorted((v, t, 2 - r, c, 46.0 - 0.5 * r, 10.0 + 0.5 * c, float(np.float32(x))) for v, t, r, c, x in rows if x is not None and x > -9999)
+    monkeypatch.setattr(ranged, "CELLS", 8)
+    for known in (False, True):
+        reader = ranged.RangedReader(netcdf.NetCdf(HMC), str(tmp_path), {})
+        reader.pushFilters([IsNotNull(("value",))] if known else [])
+        works = reader.partitions()
+        # what a packed file holds can't be told from its size
+        assert len(works) == (2 if packed else 1)
+        batches = [b for w in works for b in reader.read(w)]
+        assert max(b.num_rows for b in batches) <= 8
+        got = [tuple(r[k] for k in ("var", "time", "row", "col", "lat", "lon", "value")) for b in batches for r in b.to_pylist()]
+        assert sorted(r for r in got if r[-1] is not None) == want and len(got) == (len(want) if known else 2 * 30 * 12)
+
+
 def test_long_headers_and_broken_files(spark, tmp_path):
     variables = [(f"v{i:05d}", ["time", "lat", "lon"], ">f4", {"long_name": "x" * 40}) for i in range(400)]
     fixed = [("time", ["time"], ">f8", {"units": "days since 2000-01-01"}), ("lat", ["lat"], ">f8", {}), ("lon", ["lon"], ">f8", {})]
@@ -329,6 +359,22 @@ def test_edition_1(tmp_path):
     assert [(r["lat"], r["lon"]) for r in rows[::5]] == [(46.0, -1.5), (45.5, -0.5)]
 
 
+def test_grib_rows_without_a_value(tmp_path, monkeypatch):
+    """Cells outside the bitmap have no row if only values are asked for, and count for a task's work."""
+    field = np.full((40, 5), np.nan)
+    field[3, 2], field[39, 0] = 1.5, 2.5
+    (tmp_path / "a.grib").write_bytes(grib.encode(field, 46.0, 10.0, 0.1, 0.1, datetime(2024, 1, 1), 0, (0, 0, 0), 32, 6))
+    monkeypatch.setattr(ranged, "CELLS", 16)
+    for known in (False, True):
+        reader = ranged.RangedReader(grib.Grib({}), str(tmp_path), {})
+        reader.pushFilters([IsNotNull(("value",))] if known else [])
+        (work,) = reader.partitions()
+        assert work.files[0][1][0].bytes == 800
+        batches = list(reader.read(work))
+        assert max(b.num_rows for b in batches) <= 16 and sum(b.num_rows for b in batches) == (2 if known else 200)
+        assert [(r["row"], r["col"], round(r["lat"], 6), round(r["lon"], 6), r["value"]) for b in batches for r in b.to_pylist() if r["value"] is not None] == [(3, 2, 45.7, 10.2, 1.5), (39, 0, 42.1, 10.0, 2.5)]
+
+
 def test_grib_by_message(spark, tmp_path):
     field = np.round(RNG.random((20, 30)) * 100, 1)
     content = b"".join(grib.encode(field + h, 46, 10, 0.5, 0.5, START, h, key, 24, 1) for h in range(8) for key in ((0, 0, 0), (0, 2, 2), (0, 2, 3)))
