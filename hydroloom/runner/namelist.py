@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hydroloom.functions.strings import fortran_text
-from hydroloom.operators.masks import small
+from hydroloom.operators.masks import counted, small
+
+#: Parameters of a template that one task compares with patterns.
+PARAMS = 20_000
 
 
 def build_updates(template: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -19,19 +22,22 @@ def build_updates(template: DataFrame, overrides: DataFrame) -> DataFrame:
     by_value wins; of several patterns the first by key does.  Of a key that is given more than
     once the last one counts: the highest `ord` where overrides have such a column, else the
     greatest value.  A parameter meets patterns by its substrings of the patterns' lengths, an
-    equi-join.
+    equi-join; parameters are dealt to as many tasks as they need and stay there, if the
+    patterns are few enough to be sent to all.
     """
     active = overrides.filter(F.coalesce("active", F.lit(True)))
     last = F.max_by("value", F.struct("ord", "value") if "ord" in overrides.columns else F.col("value"))
     given = active.groupBy("kind", "key").agg(last.alias("value"))
     exact = given.filter("kind = 'by_value'").select(F.col("key").alias("param"), F.col("value").alias("exact"))
     pattern = given.filter("kind = 'by_pattern'").select("key", F.col("value").alias("like"))
-    params = template.select("param").distinct()
+    tasks = max(-(-counted(template) // PARAMS), int(template.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    params = template.select("param").repartition(tasks, "param").distinct()
     lengths = pattern.agg(F.collect_set(F.length("key")).alias("lengths"))
     parts = params.join(F.broadcast(lengths)).select("param", F.explode(F.filter("lengths", lambda n: n <= F.length("param"))).alias("n"))
     starts = parts.withColumn("at", F.explode(F.sequence(F.lit(1), F.length("param") - F.col("n") + 1)))
-    pieces = starts.select("param", F.substring("param", F.col("at"), F.col("n")).alias("key")).distinct()
-    matched = pieces.join(pattern, "key").groupBy("param").agg(F.min_by("like", "key").alias("like"))
+    pieces = starts.select("param", F.substring("param", F.col("at"), F.col("n")).alias("key"))
+    # a piece that a parameter has twice is as good as one
+    matched = pieces.join(small(pattern), "key").groupBy("param").agg(F.min_by("like", "key").alias("like"))
     both = exact.join(matched, "param", "full")
     return both.select("param", F.coalesce("exact", "like").alias("value"), F.when(F.col("exact").isNotNull(), "by_value").otherwise("by_pattern").alias("kind"))
 

@@ -122,6 +122,18 @@ def test_time_rules(spark):
     assert shown(spark, times.expected_times(leap)) == [None]
 
 
+def test_namelist_parameters_are_dealt(spark, monkeypatch):
+    """Parameters are dealt to tasks by their number and meet the patterns there: nothing made of them is shuffled before each has its own."""
+    template = spark.createDataFrame([("A", i, f"par{i}", "default", str(i)) for i in range(300)], "section string, ord int, param string, mode string, default_value string")
+    user = spark.createDataFrame([("by_pattern", str(k), f"v{k}", True) for k in (1, 11, 7, 23, 99)] + [("by_value", "par5", "own", True)], "kind string, key string, value string, active boolean")
+    monkeypatch.setattr(namelist, "PARAMS", 20)
+    want = {i: "own" if i == 5 else next((f"v{k}" for k in sorted(map(str, (1, 11, 7, 23, 99))) if k in f"par{i}"), str(i)) for i in range(300)}
+    assert {r["ord"]: r["value"] for r in namelist.build_values(template, user).collect()} == want
+    plan = namelist.build_updates(template, user)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(param#" in plan and ", 15), REPARTITION_BY_NUM" in plan
+    assert plan.count("Exchange hashpartitioning(param#") == 2
+
+
 def test_namelist_patterns_and_names(spark):
     template = spark.createDataFrame([("A", 1, "path_in", "default", "1"), ("A", 2, "path_out", "mandatory", None)], "section string, ord int, param string, mode string, default_value string")
     user = spark.createDataFrame([("by_pattern", "out", "y", True, "B"), ("by_pattern", "path_", "x", True, None), ("by_pattern", "longer than any", "z", True, None)], "kind string, key string, value string, active boolean, section string")
