@@ -85,6 +85,9 @@ def floor_to(time: Column, freq: str) -> Column:
     width = n * UNITS[unit]
     if width > 86_400 or 86_400 % width:
         raise ValueError(f"{freq!r} does not divide a day")
+    if width % 3600 == 0:
+        # whole hours need neither minutes nor decimals
+        return floor_time(time, "day") + F.make_dt_interval(F.lit(0), F.hour(time) - F.hour(time) % (width // 3600))
     past = F.hour(time) * 3600 + F.minute(time) * 60 + F.floor(F.second(time))
     return floor_time(time, "day") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (past - past % width).cast("decimal(18,6)"))
 
@@ -95,6 +98,8 @@ def shift(time: Column, steps: Column | int, freq: str) -> Column:
     count = steps if isinstance(steps, Column) else F.lit(steps)
     if unit in ("month", "year"):
         return F.add_months(time, (count * n * (12 if unit == "year" else 1)).cast("int")).cast("timestamp_ntz") + (time - floor_time(time, "day"))
+    if isinstance(steps, int):
+        return time + F.expr(f"INTERVAL '{steps * n * UNITS[unit]}' SECOND")
     return time + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (count * n * UNITS[unit]).cast("decimal(18,6)"))
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -122,6 +122,17 @@ def test_time_rules(spark):
     assert shown(spark, times.expected_times(leap)) == [None]
 
 
+def test_whole_hours(spark):
+    """Floors to whole hours and shifts by whole steps read neither minutes nor seconds, before 1970 too."""
+    frame = spark.createDataFrame([(datetime(1969, 12, 31, 23, 59, 59, 999999),), (datetime(2024, 2, 29, 5, 0, 0),), (datetime(2024, 2, 29, 17, 30, 1, 5),)], "t timestamp_ntz")
+    made = frame.select("t", times.floor_to(F.col("t"), "h").alias("h"), times.floor_to(F.col("t"), "6h").alias("six"), times.floor_to(F.col("t"), "d").alias("d"), times.shift(F.col("t"), -3, "6h").alias("back"), times.shift(F.col("t"), 2, "15min").alias("on"))
+    for r in made.collect():
+        t = r["t"]
+        assert r["h"] == t.replace(minute=0, second=0, microsecond=0) and r["six"] == r["h"].replace(hour=t.hour // 6 * 6) and r["d"] == r["h"].replace(hour=0)
+        assert r["back"] == t - timedelta(hours=18) and r["on"] == t + timedelta(minutes=30)
+    assert "minute(" not in made._jdf.queryExecution().analyzed().toString()
+
+
 def test_namelist_parameters_are_dealt(spark, monkeypatch):
     """Parameters are dealt to tasks by their number and meet the patterns there: nothing made of them is shuffled before each has its own."""
     template = spark.createDataFrame([("A", i, f"par{i}", "default", str(i)) for i in range(300)], "section string, ord int, param string, mode string, default_value string")
