@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import oracle
-from hydroloom.operators import masks
+from hydroloom.operators import masks, spatial
 from hydroloom.plans.queries import ORACLES, QUERIES
 
 #: Keys of cells 3,600 rows (a whole turn of 360 degrees) apart.
@@ -52,3 +52,79 @@ def test_points_at_one_place(spark, tmp_path, name):
     con.execute(f"COPY (SELECT i AS s_suppkey, (i * 7919 % 100000) / 100.0::DOUBLE AS s_acctbal FROM range(6000) r(i)) TO '{tmp_path}/supplier.parquet'")
     con.execute(f"COPY (SELECT i + s AS p_partkey, 1 + i % 50 AS p_size, 900.5 + i % 90 AS p_retailprice FROM range(300) r(i), (VALUES (0), ({TURN})) t(s)) TO '{tmp_path}/part.parquet'")
     assert oracle.compare(spark, QUERIES[name], ORACLES[name], str(tmp_path)) > 0
+
+
+FORCING = ["icon_forcing_pipeline", "itwater_forcing_pipeline", "iwrn_forcing_pipeline", "s3m_forcing_pipeline", "ifs_forcing_pipeline"]
+
+
+@pytest.mark.parametrize("bound", [10, None])
+@pytest.mark.parametrize("name", FORCING)
+def test_forcing_with_the_mask_among_the_weights(spark, turned, name, bound, monkeypatch):
+    """The same rows with the weights broadcast and dealt; placed rows meet no mask, and beyond the bound no task holds a whole reference."""
+    monkeypatch.setattr(masks, "BROADCAST_CELLS", bound or masks.BROADCAST_CELLS)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert oracle.compare(spark, QUERIES[name], ORACLES[name], turned) > 0
+        plan = QUERIES[name](spark, turned)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "LeftOuter" not in plan
+    assert ("BroadcastExchange" in plan) == (bound is None)
+    if bound:
+        assert "Exchange" not in plan[: plan.index("SortMergeJoin")]
+
+
+def test_a_reference_of_a_million_cells_is_not_broadcast(spark, turned, monkeypatch):
+    """Every task would hold its weights."""
+    monkeypatch.setattr(spatial, "counted", lambda df: 1_200_000)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES["itwater_forcing_pipeline"](spark, turned)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastExchange" not in plan
+
+
+def _joined_rows(df) -> int:
+    """Rows made by the joins of a frame that is run without adaptive execution."""
+    df.collect()
+    nodes, total = [df._jdf.queryExecution().executedPlan()], 0
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName().endswith("Join"):
+            total += node.metrics().apply("numOutputRows").value()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+@pytest.mark.parametrize("most", [1, 3])
+def test_cells_of_a_place_do_not_multiply_neighbours(spark, most):
+    """Six sources and six targets at each of 100 places, whole turns apart."""
+    schema = "row int, col int, lat double, lon double"
+    cells = lambda lat, lon: spark.createDataFrame([(i + 3600 * t, j, round(lat - 0.1 * (i + 3600 * t), 6), round(lon + 0.1 * j, 6)) for t in range(6) for i in range(10) for j in range(10)], schema)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        # some 13 places are within 22 km: 6 x 6 x 13 x 100 pairs
+        assert _joined_rows(spatial.neighbours(cells(46.0, 10.0), cells(46.03, 10.04), 22_000, most)) < 12_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_neighbours_of_mixed_places_as_by_brute_force(spark):
+    """Sources alone, in twos a fifth of a millimetre apart, and whole turns apart, against all pairs."""
+    con = duckdb.connect()
+    lat, lon = "46.0::DOUBLE - 0.1 * (i // 7) - 360.0 * t", "10.0::DOUBLE + 0.1 * (i % 7) + (CASE WHEN i % 3 = 0 THEN 2e-9 * t ELSE 0 END)"
+    con.execute(f"CREATE TABLE s AS SELECT (i * 10 + t)::INT AS row, (t % 2)::INT AS col, {lat} AS lat, {lon} AS lon FROM range(49) r(i), range(5) k(t) WHERE i % 4 > 0 OR t = 0")
+    con.execute(f"CREATE TABLE t AS SELECT row, col, lat + (row * 7919 % 100) / 1000.0::DOUBLE AS lat, lon + (row % 3) / 100.0::DOUBLE AS lon FROM s")
+    xyz = "SELECT row, col, cos(radians(lat)) * cos(radians(lon)) * 6370997.0 AS x, cos(radians(lat)) * sin(radians(lon)) * 6370997.0 AS y, sin(radians(lat)) * 6370997.0 AS z FROM "
+    schema = "row int, col int, lat double, lon double"
+    frame = lambda name: spark.createDataFrame(con.execute(f"SELECT * FROM {name}").fetchall(), schema)
+    for most in (1, 4):
+        tables = spatial.neighbours_within(frame("s"), frame("t"), (9_000, 22_000), most)
+        for radius, table in tables.items():
+            pairs = f"SELECT s.row AS a, s.col AS b, t.row, t.col, (s.x - t.x) ** 2 + (s.y - t.y) ** 2 + (s.z - t.z) ** 2 AS d2 FROM ({xyz} s) s, ({xyz} t) t"
+            want = con.execute(f"SELECT a, b, row, col, rank FROM (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY d2, a, b) AS rank FROM ({pairs}) WHERE d2 < {radius}::DOUBLE * {radius}) WHERE rank <= {most}").fetchall()
+            assert sorted(tuple(r) for r in table.select("src_row", "src_col", "row", "col", "rank").collect()) == sorted(want) != []
