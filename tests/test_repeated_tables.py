@@ -87,6 +87,17 @@ def test_a_reference_of_a_million_cells_is_not_broadcast(spark, turned, monkeypa
     assert "BroadcastExchange" not in plan
 
 
+def _plan(spark, name, sf_dir) -> list[str]:
+    return QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().split("\n")
+
+
+@pytest.mark.parametrize("name", ["icon_forcing_pipeline", "ifs_forcing_pipeline"])
+def test_computed_variables_are_not_computed_while_exploded(spark, turned, name):
+    """There Spark evaluates each repeated part of an expression anew; clear sky has over a hundred."""
+    made = [line for line in _plan(spark, name, turned) if "Generate explode(array(struct(kind" in line]
+    assert made and not any("CASE" in line or "EXP(" in line or "dayofyear" in line for line in made)
+
+
 def _joined_rows(df) -> int:
     """Rows made by the joins of a frame that is run without adaptive execution."""
     df.collect()
