@@ -98,6 +98,17 @@ def test_computed_variables_are_not_computed_while_exploded(spark, turned, name)
     assert made and not any("CASE" in line or "EXP(" in line or "dayofyear" in line for line in made)
 
 
+@pytest.mark.parametrize("name", FORCING)
+def test_points_of_the_sphere_are_made_of_dealt_cells(spark, turned, name):
+    """Not of a field's rows, and not by as few tasks as the files of the targets have."""
+    lines = _plan(spark, name, turned)
+    places = [i for i, line in enumerate(lines) if "ArrowEvalPython" in line and "_xyz" in line]
+    assert places
+    for i in places:
+        below = next(line for line in lines[i:] if "Exchange" in line or "FileScan" in line)
+        assert "Exchange" in below
+
+
 def _joined_rows(df) -> int:
     """Rows made by the joins of a frame that is run without adaptive execution."""
     df.collect()
